@@ -21,7 +21,7 @@ def micros(ts: Column) -> Column:
 def cell(us: Column, width: Column | int) -> Column:
     """Number of the fixed-width time cell holding ``us`` (floor, also before 1970)."""
     width = F.lit(width) if isinstance(width, int) else width
-    return F.floor((us - F.pmod(us, width)) / width).cast("bigint")
+    return F.call_function("div", us - F.pmod(us, width), width)
 
 
 def utc_now() -> Column:

@@ -133,6 +133,21 @@ def fire(
     return fired
 
 
+def describe(fired: DataFrame, rules: tuple[Rule, ...] = BUILT_IN) -> DataFrame:
+    """Alert rows of ``fire`` with number, name, description, severity and technique."""
+    if len(rules) >= RULE_SLOTS:
+        raise ValueError("too many rules")
+    texts = catalogue.catalogue(fired.sparkSession, rules).select(
+        F.col("id").alias("rule_id"), "position", F.col("name").alias("rule_name"),
+        "description", "severity", "mitre",
+    )
+    return fired.join(F.broadcast(texts), "rule_id").select(  # fewer than RULE_SLOTS rows
+        (F.col("event_id") * RULE_SLOTS + F.col("position")).alias("alert_id"),
+        "event_id", "ts", "rule_id", "rule_name", "description", "severity", "mitre",
+        "source_ip", "geo_ip",
+    )
+
+
 def detect(
     events: DataFrame,
     rules: tuple[Rule, ...] = BUILT_IN,
@@ -141,21 +156,7 @@ def detect(
     staged: bool = True,
 ) -> DataFrame:
     """Alerts of parsed events, without location: add it with ``enrich.add_geo``."""
-    if len(rules) >= RULE_SLOTS:
-        raise ValueError("too many rules")
-    texts = catalogue.catalogue(events.sparkSession, rules).select(
-        F.col("id").alias("rule_id"), "position", F.col("name").alias("rule_name"),
-        "description", "severity", "mitre",
-    )
-    return (
-        fire(events, rules, mode, only, staged)
-        .join(F.broadcast(texts), "rule_id")  # at most RULE_SLOTS rows
-        .select(
-            (F.col("event_id") * RULE_SLOTS + F.col("position")).alias("alert_id"),
-            "event_id", "ts", "rule_id", "rule_name", "description", "severity", "mitre",
-            "source_ip", "geo_ip",
-        )
-    )
+    return describe(fire(events, rules, mode, only, staged), rules)
 
 
 def flag_events(events: DataFrame, alerts: DataFrame, rules: tuple[Rule, ...] = BUILT_IN) -> DataFrame:

@@ -18,6 +18,15 @@ def _as_logs(lines: DataFrame, source: Column, ts: Column | None) -> DataFrame:
     )
 
 
+def spread(lines: DataFrame) -> DataFrame:
+    """Input with fewer splits than cores (say one gzip file) over all cores before parsing.
+
+    Input with enough splits, the usual case, goes on unchanged.
+    """
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    return lines.repartition(cores) if lines.rdd.getNumPartitions() < cores else lines
+
+
 def number_rows(lines: DataFrame) -> DataFrame:
     """Add a unique ``event_id`` that rises in file order (with gaps, no shuffle)."""
     return lines.select(F.monotonically_increasing_id().alias("event_id"), "*")

@@ -1,0 +1,153 @@
+"""Keyed stream state: the admission limit, sliding counts and follow-up correlation.
+
+Rows of a key are taken in time order within a micro-batch, whose size the source bounds
+(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).  The state of a key holds at most ``limit``
+or threshold many times; a timer drops it once the watermark has passed the longest window.
+"""
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from logwarden import fixed_values as fixed
+from logwarden.functions.clock import MICROS, micros
+from logwarden.operators.detect import REFERENCE, smallest_counts
+from logwarden.operators.rules import FollowUp, Rule, WindowCount
+
+
+def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable", ignore_index=True)
+
+
+class _Timed(StatefulProcessor):
+    """Lists of times per key, dropped by a timer after ``keep_us``."""
+
+    names: list[str]
+    keep_us: int
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        lists = [T.StructField(name, T.ArrayType(T.LongType())) for name in self.names]
+        self.times = handle.getValueState("times", T.StructType(lists))
+
+    def load(self) -> dict[str, list[int]]:
+        stored = self.times.get() if self.times.exists() else [[]] * len(self.names)
+        return {name: list(values or []) for name, values in zip(self.names, stored)}
+
+    def save(self, times: dict[str, list[int]], latest_us: int) -> None:
+        self.times.update(tuple(times[name] for name in self.names))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((latest_us + self.keep_us) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.times.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class Admission(_Timed):
+    """Rows of a source admitted while fewer than ``limit`` were in ``[t - width, t]``."""
+
+    names = ["held"]
+
+    def __init__(self, columns: list[str], limit: int, seconds: int):
+        self.columns, self.limit, self.keep_us = columns, limit, seconds * MICROS
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _in_order(rows)
+        held = self.load()["held"]
+        start, kept = 0, []
+        for us in pdf["us"].tolist():
+            while start < len(held) and held[start] < us - self.keep_us:
+                start += 1
+            kept.append(len(held) - start < self.limit)
+            if kept[-1]:
+                held.append(us)
+        self.save({"held": held[start:]}, int(pdf["us"].iloc[-1]))
+        yield pdf.loc[kept, self.columns]
+
+
+class Correlation(_Timed):
+    """Matches of one key that reach their rule's count, or that follow enough other matches."""
+
+    def __init__(self, rules: tuple[Rule, ...], mode: str, columns: list[str]):
+        self.columns = columns
+        self.pruned = mode == REFERENCE
+        self.counts, self.after, self.width, self.length = {}, {}, {}, {}
+        for counter, members in smallest_counts(rules, mode).items():
+            for rule_id, least in members.items():
+                self.counts[rule_id] = (counter, least)
+            self.length[counter] = max(members.values())
+        for rule in rules:
+            if isinstance(rule.threshold, WindowCount):
+                self.width[rule.threshold.counter] = rule.threshold.seconds * MICROS
+            elif isinstance(rule.threshold, FollowUp):
+                limit = rule.threshold
+                self.after[rule.id] = (limit.counter, limit.at_least, limit.seconds * MICROS)
+                self.length[limit.counter] = max(self.length[limit.counter], limit.at_least)
+        self.names = list(self.length)
+        spans = [*self.width.values(), *[span for _, _, span in self.after.values()]]
+        self.keep_us = max(spans)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _in_order(rows)
+        times = self.load()
+        fires = [False] * len(pdf)
+        events: dict[tuple[int, int], list[int]] = {}
+        for place, mark in enumerate(zip(pdf["us"].tolist(), pdf["event_id"].tolist())):
+            events.setdefault(mark, []).append(place)
+        tags = pdf["rule_id"].tolist()
+        for (us, _), places in events.items():
+            matched = {tags[p]: p for p in places}
+            for counter in {self.counts[tag][0] for tag in matched if tag in self.counts}:
+                times[counter] = [*times[counter], us][-self.length[counter]:]
+            for tag, place in matched.items():
+                if tag in self.counts:
+                    counter, least = self.counts[tag]
+                    fires[place] = self._within(times[counter], least, us - self.width[counter])
+                else:
+                    counter, least, span = self.after[tag]
+                    near = self._within(times[counter], least, us - span)
+                    fires[place] = near and (not self.pruned or self._within(
+                        times[counter], least, times[counter][-1] - self.width[counter]
+                    ))
+        self.save(times, int(pdf["us"].iloc[-1]))
+        yield pdf.loc[fires, self.columns]
+
+    @staticmethod
+    def _within(times: list[int], least: int, since: int) -> bool:
+        return len(times) >= least and times[-least] >= since
+
+
+def admitted(
+    logs: DataFrame, delay: str = "10 seconds", limit: int = fixed.RATE_LIMIT_ROWS,
+    seconds: int = fixed.RATE_LIMIT_SECONDS,
+) -> DataFrame:
+    """Streaming admission per source; ``event_id, ts, source, raw`` in and out."""
+    timed = logs.withColumn("us", micros(F.col("ts"))).withColumn("_at", F.to_timestamp_ltz("ts"))
+    processor = Admission(logs.columns, limit, seconds)
+    return timed.withWatermark("_at", delay).groupBy("source").transformWithStateInPandas(
+        processor, logs.schema, "Append", "EventTime"
+    )
+
+
+def correlated(
+    matches: DataFrame, rules: tuple[Rule, ...], mode: str = REFERENCE, delay: str = "10 seconds"
+) -> DataFrame:
+    """Streaming counterpart of the batch correlation, on the output of ``match_rules``."""
+    counting = [r.id for r in rules if r.threshold is not None]
+    timed = matches.filter(F.col("rule_id").isin(counting)).withColumns({
+        "key": F.coalesce("source_ip", F.lit(fixed.UNKNOWN_KEY)),
+        "us": micros(F.col("ts")), "_at": F.to_timestamp_ltz("ts"),
+    })
+    processor = Correlation(rules, mode, matches.columns)
+    return timed.withWatermark("_at", delay).groupBy("key").transformWithStateInPandas(
+        processor, matches.schema, "Append", "EventTime"
+    )

@@ -14,6 +14,8 @@ from logwarden.plans import jobs, reports
 from logwarden.sources import fastlog, store
 from logwarden.sources import logs as sources
 from logwarden.staging import new_path, stage
+from logwarden.streaming import jobs as streams
+from logwarden.streaming import stateful
 from verification import derived, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +38,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def lines(spark, folder, sql=derived.LOGS, ts=derived.SPARK_TS) -> DataFrame:
-    return spark.sql(derived.for_spark(sql, ts), events=table(spark, folder, "events"))
+    given = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value")
+    return spark.sql(derived.for_spark(sql, ts), events=sources.spread(given))
 
 
 def events(spark, folder) -> DataFrame:
@@ -605,3 +608,49 @@ def _(spark, folder):
     parsed = events(spark, folder)
     now = parsed.agg(F.max("ts")).first()[0]
     return reports.stats_document(parsed, alerts(spark, folder), now)
+
+
+# --- Streams -----------------------------------------------------------------------------
+
+
+def _stream(spark, folder, ts=derived.SPARK_TS) -> DataFrame:
+    """The derived log lines as a file stream over the given table."""
+    given = table(spark, folder, "events").schema
+    files = spark.readStream.schema(given).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return spark.sql(derived.for_spark(derived.LOGS, ts), events=files)
+
+
+def _finished(stream: DataFrame, label: str, output_mode: str = "append", change=None) -> DataFrame:
+    """Run the stream over all input and give what its sink holds."""
+    root = new_path(stream.sparkSession, label)
+    run = streams.start(stream, f"{root}/out", f"{root}/state", output_mode, True, change=change)
+    run.awaitTermination()
+    if run.exception():
+        raise RuntimeError(str(run.exception()))
+    return stream.sparkSession.read.parquet(f"{root}/out").drop("batch")
+
+
+@query("stream_events", EV + "SELECT event_id, category, message, src_ip, status FROM ev")
+def _(spark, folder):
+    out = streams.stream_events(_stream(spark, folder)).select("event_id", "category", "message", "src_ip", "status")
+    return _finished(out, "stream_events")
+
+
+for _mode, _name in ((detect.REFERENCE, "stream_alerts"), (detect.DOCUMENTED, "stream_alerts_documented")):
+    @query(_name, oracle.base(_mode) + f"SELECT {ALERT_COLUMNS} FROM alerts")
+    def _(spark, folder, mode=_mode, name=_name):
+        out = streams.stream_alerts(streams.stream_events(_stream(spark, folder)), mode=mode)
+        return _finished(out.select(ALERT_LIST), name)
+
+
+@query("stream_rate_limit", oracle.RATE_LIMIT)
+def _(spark, folder):
+    admitted = stateful.admitted(_stream(spark, folder, derived.SPARK_FAST_TS))
+    return _finished(admitted.select("source", "event_id"), "stream_rate_limit")
+
+
+@query("stream_events_by_hour", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:00:00') AS hour, count(*) AS n FROM events GROUP BY 1")
+def _(spark, folder):
+    given = table(spark, folder, "events").schema
+    files = spark.readStream.schema(given).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return _finished(streams.hourly_counts(files.select("event_id", "ts")), "stream_hours", "complete")
