@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from logwarden.functions.clock import micros
 from logwarden.operators.clean import strip_lines, tidy_lines
 from logwarden.operators.detect import REFERENCE, describe, match_rules
 from logwarden.operators.parse import parse
@@ -36,9 +37,9 @@ def stream_alerts(
 
 def hourly_counts(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Events per hour; in append mode an hour appears once the watermark has passed it."""
-    at = events.withColumn("_at", F.to_timestamp_ltz("ts")).withWatermark("_at", delay)
-    counted = at.groupBy(F.window("_at", "1 hour")).agg(F.count("*").alias("n"))
-    return counted.select(hour_label(F.col("window.start").cast("timestamp_ntz")).alias("hour"), "n")
+    at = events.withColumn("_at", F.timestamp_micros(micros(F.col("ts")))).withWatermark("_at", delay)
+    hour = hour_label(F.col("ts")).alias("hour")
+    return at.groupBy(F.window("_at", "1 hour"), hour).agg(F.count("*").alias("n")).select("hour", "n")
 
 
 def batch_folder(path: str, change: Callable[[DataFrame], DataFrame] | None = None):

@@ -131,7 +131,7 @@ def admitted(
     seconds: int = fixed.RATE_LIMIT_SECONDS,
 ) -> DataFrame:
     """Streaming admission per source; ``event_id, ts, source, raw`` in and out."""
-    timed = logs.withColumn("us", micros(F.col("ts"))).withColumn("_at", F.to_timestamp_ltz("ts"))
+    timed = logs.withColumn("us", micros(F.col("ts"))).withColumn("_at", F.timestamp_micros("us"))
     processor = Admission(logs.columns, limit, seconds)
     return timed.withWatermark("_at", delay).groupBy("source").transformWithStateInPandas(
         processor, logs.schema, "Append", "EventTime"
@@ -145,7 +145,7 @@ def correlated(
     counting = [r.id for r in rules if r.threshold is not None]
     timed = matches.filter(F.col("rule_id").isin(counting)).withColumns({
         "key": F.coalesce("source_ip", F.lit(fixed.UNKNOWN_KEY)),
-        "us": micros(F.col("ts")), "_at": F.to_timestamp_ltz("ts"),
+        "us": micros(F.col("ts")), "_at": F.timestamp_micros(micros(F.col("ts"))),
     })
     processor = Correlation(rules, mode, matches.columns)
     return timed.withWatermark("_at", delay).groupBy("key").transformWithStateInPandas(
