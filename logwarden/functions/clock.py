@@ -24,5 +24,21 @@ def cell(us: Column, width: Column | int) -> Column:
     return F.call_function("div", us - F.pmod(us, width), width)
 
 
+def _part(ts: Column, start: int, length: int) -> Column:
+    # as text, because the date formatting functions go through the session zone
+    return F.substr(ts.cast("string"), F.lit(start), F.lit(length))
+
+
+def hour_label(ts: Column) -> Column:
+    """``2024-01-31T13:00:00``"""
+    return F.concat(_part(ts, 1, 10), F.lit("T"), _part(ts, 12, 2), F.lit(":00:00"))
+
+
+def iso_utc(ts: Column) -> Column:
+    """``2024-01-31T13:59:59.000001+00:00``"""
+    fraction = F.rpad(_part(ts, 21, 6), 6, "0")
+    return F.concat(_part(ts, 1, 10), F.lit("T"), _part(ts, 12, 8), F.lit("."), fraction, F.lit("+00:00"))
+
+
 def utc_now() -> Column:
     return F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from logwarden import fixed_values as fixed
 from logwarden import schema
+from logwarden.functions import clock
 
 
 def rank(severity: Column) -> Column:
@@ -60,7 +61,7 @@ def notification(brand: str = "Security log analytics") -> Column:
         field("Location", location(F.col("geo"))),
         field("ISP", F.coalesce(F.col("geo")["isp"], F.lit("Unknown"))),
     )
-    moment = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    moment = clock.iso_utc(F.col("ts"))
     message = F.struct(
         F.concat(badge, F.lit(" SIEM Alert — "), F.coalesce("rule_name", F.lit("Unknown"))).alias("title"),
         F.coalesce("description", F.lit("")).alias("description"),

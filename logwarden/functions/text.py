@@ -74,4 +74,4 @@ def tls_version(raw: Column) -> Column:
 
 
 def display_time(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss 'UTC'")
+    return F.concat(F.substr(ts.cast("string"), F.lit(1), F.lit(19)), F.lit(" UTC"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logwarden import fixed_values as fixed
 from logwarden.functions import text
+from logwarden.functions.clock import hour_label
 
 
 def newest(rows: DataFrame, key: str, limit: int) -> DataFrame:
@@ -75,21 +76,14 @@ def events_by_category(events: DataFrame) -> DataFrame:
     return events.groupBy("category").agg(F.count("*").alias("n"))
 
 
-def hour_label(ts: Column) -> Column:
-    return F.date_format(F.date_trunc("hour", ts), "yyyy-MM-dd'T'HH:mm:ss")
-
-
 def events_by_hour(events: DataFrame, now: datetime | Column, whole_day: bool = False) -> DataFrame:
     """Events per hour of the last 24 hours; ``whole_day`` counts from the start of the first day."""
     now = F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz") if isinstance(now, datetime) else now
     since = now - F.expr("INTERVAL 24 HOURS")
     if whole_day:
         since = since.cast("date").cast("timestamp_ntz")
-    return (
-        events.filter(F.col("ts") >= since)
-        .groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.count("*").alias("n"))
-        .select(hour_label(F.col("ts")).alias("hour"), "n").orderBy("hour")
-    )
+    recent = events.filter(F.col("ts") >= since)
+    return recent.groupBy(hour_label(F.col("ts")).alias("hour")).agg(F.count("*").alias("n")).orderBy("hour")
 
 
 def top_addresses(events: DataFrame, alerted_only: bool = False) -> DataFrame:

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logwarden.functions.clock import micros
+from logwarden.functions.clock import hour_label, micros
 from logwarden.operators.clean import strip_lines, tidy_lines
 from logwarden.operators.detect import REFERENCE, describe, match_rules
 from logwarden.operators.parse import parse
 from logwarden.operators.rules import BUILT_IN, Rule
-from logwarden.plans.reports import hour_label
 from logwarden.streaming import stateful
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -24,7 +23,7 @@ def stream_events(logs: DataFrame, limited: bool = False) -> DataFrame:
 
 
 def stream_alerts(
-    events: DataFrame, rules: tuple[Rule, ...] = BUILT_IN, mode: str = REFERENCE, delay: str = "10 seconds"
+    events: DataFrame, rules: tuple[Rule, ...] = BUILT_IN, mode: str = REFERENCE, delay: int = 10
 ) -> DataFrame:
     """Alerts as they happen: matches without a threshold directly, the others through keyed state."""
     matches = match_rules(events, {r.id: r.match() for r in rules})
@@ -35,9 +34,9 @@ def stream_alerts(
     return describe(fired, rules)
 
 
-def hourly_counts(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def hourly_counts(events: DataFrame, delay: int = 600) -> DataFrame:
     """Events per hour; in append mode an hour appears once the watermark has passed it."""
-    at = events.withColumn("_at", F.timestamp_micros(micros(F.col("ts")))).withWatermark("_at", delay)
+    at = events.withColumn("_at", F.timestamp_micros(micros(F.col("ts")))).withWatermark("_at", f"{delay} seconds")
     hour = hour_label(F.col("ts")).alias("hour")
     return at.groupBy(F.window("_at", "1 hour"), hour).agg(F.count("*").alias("n")).select("hour", "n")
 

@@ -1,10 +1,13 @@
 """Keyed stream state: the admission limit, sliding counts and follow-up correlation.
 
 Rows of a key are taken in time order within a micro-batch, whose size the source bounds
-(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).  The state of a key holds at most ``limit``
-or threshold many times; a timer drops it once the watermark has passed the longest window.
+(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).  A row sees the rows that came before it
+and lie in its window, also when it is late itself.  The state of a key holds the times of the
+allowed delay and, before these, as many as the limit or threshold needs; a timer drops it
+once the watermark has passed the longest window.  Later rows are dropped and counted.
 """
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,28 +60,29 @@ class Admission(_Timed):
 
     names = ["held"]
 
-    def __init__(self, columns: list[str], limit: int, seconds: int):
-        self.columns, self.limit, self.keep_us = columns, limit, seconds * MICROS
+    def __init__(self, columns: list[str], limit: int, seconds: int, delay: int):
+        self.columns, self.limit, self.width = columns, limit, seconds * MICROS
+        self.keep_us = self.width + delay * MICROS
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_order(rows)
         held = self.load()["held"]
-        start, kept = 0, []
+        kept = []
         for us in pdf["us"].tolist():
-            while start < len(held) and held[start] < us - self.keep_us:
-                start += 1
-            kept.append(len(held) - start < self.limit)
+            recent = bisect_right(held, us) - bisect_left(held, us - self.width)
+            kept.append(recent < self.limit)
             if kept[-1]:
-                held.append(us)
-        self.save({"held": held[start:]}, int(pdf["us"].iloc[-1]))
+                insort(held, us)
+        latest = max(int(pdf["us"].iloc[-1]), held[-1] if held else 0)
+        self.save({"held": held[bisect_left(held, latest - self.keep_us):]}, latest)
         yield pdf.loc[kept, self.columns]
 
 
 class Correlation(_Timed):
     """Matches of one key that reach their rule's count, or that follow enough other matches."""
 
-    def __init__(self, rules: tuple[Rule, ...], mode: str, columns: list[str]):
-        self.columns = columns
+    def __init__(self, rules: tuple[Rule, ...], mode: str, columns: list[str], delay: int):
+        self.columns, self.delay = columns, delay * MICROS
         self.pruned = mode == REFERENCE
         self.counts, self.after, self.width, self.length = {}, {}, {}, {}
         for counter, members in smallest_counts(rules, mode).items():
@@ -94,7 +98,7 @@ class Correlation(_Timed):
                 self.length[limit.counter] = max(self.length[limit.counter], limit.at_least)
         self.names = list(self.length)
         spans = [*self.width.values(), *[span for _, _, span in self.after.values()]]
-        self.keep_us = max(spans)
+        self.keep_us = max(spans) + self.delay
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_order(rows)
@@ -107,39 +111,41 @@ class Correlation(_Timed):
         for (us, _), places in events.items():
             matched = {tags[p]: p for p in places}
             for counter in {self.counts[tag][0] for tag in matched if tag in self.counts}:
-                times[counter] = [*times[counter], us][-self.length[counter]:]
+                insort(times[counter], us)
             for tag, place in matched.items():
+                counter, least = self.counts[tag] if tag in self.counts else self.after[tag][:2]
+                seen = times[counter]
+                so_far = bisect_right(seen, us)
+                if so_far < least:
+                    continue
+                oldest, latest = seen[so_far - least], seen[so_far - 1]
                 if tag in self.counts:
-                    counter, least = self.counts[tag]
-                    fires[place] = self._within(times[counter], least, us - self.width[counter])
+                    fires[place] = oldest >= us - self.width[counter]
                 else:
-                    counter, least, span = self.after[tag]
-                    near = self._within(times[counter], least, us - span)
-                    fires[place] = near and (not self.pruned or self._within(
-                        times[counter], least, times[counter][-1] - self.width[counter]
-                    ))
-        self.save(times, int(pdf["us"].iloc[-1]))
+                    near = oldest >= us - self.after[tag][2]
+                    fires[place] = near and (not self.pruned or oldest >= latest - self.width[counter])
+        newest = max(int(pdf["us"].iloc[-1]), *[seen[-1] for seen in times.values() if seen], 0)
+        for counter, seen in times.items():
+            first = bisect_left(seen, newest - self.delay) - self.length[counter]
+            times[counter] = seen[max(first, 0):]
+        self.save(times, newest)
         yield pdf.loc[fires, self.columns]
 
-    @staticmethod
-    def _within(times: list[int], least: int, since: int) -> bool:
-        return len(times) >= least and times[-least] >= since
-
 
 def admitted(
-    logs: DataFrame, delay: str = "10 seconds", limit: int = fixed.RATE_LIMIT_ROWS,
+    logs: DataFrame, delay: int = 10, limit: int = fixed.RATE_LIMIT_ROWS,
     seconds: int = fixed.RATE_LIMIT_SECONDS,
 ) -> DataFrame:
     """Streaming admission per source; ``event_id, ts, source, raw`` in and out."""
     timed = logs.withColumn("us", micros(F.col("ts"))).withColumn("_at", F.timestamp_micros("us"))
-    processor = Admission(logs.columns, limit, seconds)
-    return timed.withWatermark("_at", delay).groupBy("source").transformWithStateInPandas(
+    processor = Admission(logs.columns, limit, seconds, delay)
+    return timed.withWatermark("_at", f"{delay} seconds").groupBy("source").transformWithStateInPandas(
         processor, logs.schema, "Append", "EventTime"
     )
 
 
 def correlated(
-    matches: DataFrame, rules: tuple[Rule, ...], mode: str = REFERENCE, delay: str = "10 seconds"
+    matches: DataFrame, rules: tuple[Rule, ...], mode: str = REFERENCE, delay: int = 10
 ) -> DataFrame:
     """Streaming counterpart of the batch correlation, on the output of ``match_rules``."""
     counting = [r.id for r in rules if r.threshold is not None]
@@ -147,7 +153,7 @@ def correlated(
         "key": F.coalesce("source_ip", F.lit(fixed.UNKNOWN_KEY)),
         "us": micros(F.col("ts")), "_at": F.timestamp_micros(micros(F.col("ts"))),
     })
-    processor = Correlation(rules, mode, matches.columns)
-    return timed.withWatermark("_at", delay).groupBy("key").transformWithStateInPandas(
+    processor = Correlation(rules, mode, matches.columns, delay)
+    return timed.withWatermark("_at", f"{delay} seconds").groupBy("key").transformWithStateInPandas(
         processor, matches.schema, "Append", "EventTime"
     )
