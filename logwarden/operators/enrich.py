@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logwarden import fixed_values as fixed
 from logwarden import schema
+from logwarden.functions import text
 from logwarden.functions.net import ip_number, is_private
 
 BLOCK = 65_536
@@ -68,6 +69,15 @@ def add_geo(rows: DataFrame, ranges: DataFrame, row_id: str = "alert_id") -> Dat
     )
 
 
+def known_clients(events: DataFrame, blocklist: DataFrame) -> DataFrame:
+    """TLS events whose client fingerprint is on a list ``ja3, family`` of any length.
+
+    The list is joined as it is: Spark broadcasts it when its measured size allows.
+    """
+    seen = events.filter(F.contains("raw", F.lit(fixed.TLS_MARKER))).withColumn("ja3", text.ja3(F.col("raw")))
+    return seen.filter(F.col("ja3") != "").join(blocklist.dropDuplicates(["ja3"]), "ja3")
+
+
 def unlocated(alerts: DataFrame) -> DataFrame:
     """Alerts in table layout when no range table is at hand: only private ones are placed."""
     private = F.col("geo_ip").isNotNull() & is_private(F.col("geo_ip"))

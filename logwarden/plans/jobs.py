@@ -45,3 +45,7 @@ def outbox(alerts: DataFrame, lowest: str = "HIGH", brand: str = "Security log a
     return alerts.filter(severity.at_least(F.coalesce("severity", F.lit("LOW")), lowest)).select(
         "alert_id", severity.notification(brand).alias("payload")
     )
+
+
+def append_outbox(alerts: DataFrame, path: str, lowest: str = "HIGH", brand: str = "Security log analytics") -> None:
+    outbox(alerts, lowest, brand).write.mode("append").parquet(path)

@@ -9,12 +9,19 @@ from pyspark.sql import functions as F
 from logwarden import fixed_values as fixed
 from logwarden.functions import text
 from logwarden.functions.clock import hour_label
+from logwarden.staging import BROADCAST_ROWS
 
 
 def newest(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """Newest rows first; a negative limit means all."""
-    ordered = rows.orderBy(F.desc(key))
-    return ordered if limit < 0 else ordered.limit(limit)
+    """Newest rows first; a negative limit means all.
+
+    The smallest wanted key is found on the key column alone.  As a scalar subquery it becomes
+    a filter of the scan, so the wide columns are read only where the newest rows are stored.
+    """
+    if limit < 0:
+        return rows.orderBy(F.desc(key))
+    top = rows.select(key).orderBy(F.desc(key)).limit(limit).agg(F.min(key))
+    return rows.filter(F.col(key) >= top.scalar()).orderBy(F.desc(key)).limit(limit)
 
 
 def recent_events(
@@ -53,9 +60,17 @@ def page_of_events(events: DataFrame, category: str) -> DataFrame:
 
 
 def alert_details(alerts: DataFrame, events: DataFrame) -> DataFrame:
-    """Alerts with the event that caused them."""
-    cause = events.select("event_id", "source", "category", "raw")
-    return alerts.join(cause, "event_id")
+    """Alerts with the event that caused them; both should be stored tables.
+
+    If the alerted ids are few they pick their events before anything is shuffled; otherwise
+    both sides are shuffled by the event id, which is even.  A shared day column prunes days.
+    """
+    keys = [c for c in ("event_id", "dt") if c in alerts.columns and c in events.columns]
+    alerted = alerts.select("event_id").distinct()
+    cause = events.select(*keys, "source", "category", "raw")
+    if alerts.count() <= BROADCAST_ROWS:
+        cause = cause.join(F.broadcast(alerted), "event_id", "left_semi")
+    return alerts.join(cause, keys)
 
 
 def totals(events: DataFrame, alerts: DataFrame) -> DataFrame:

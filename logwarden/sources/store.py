@@ -31,8 +31,16 @@ def event_rows(events: DataFrame) -> DataFrame:
     })
 
 
-def append_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    event_rows(events).write.mode(mode).partitionBy("dt", "category").parquet(path)
+def append_events(events: DataFrame, path: str, mode: str = "append", compact: bool = False) -> None:
+    """Append to the table partitioned by day and category.
+
+    ``compact`` shuffles once so that a partition gets few large files; a day or category
+    holding most rows is split over many of them.
+    """
+    rows = event_rows(events)
+    if compact:
+        rows = rows.hint("rebalance", "dt", "category")
+    rows.write.mode(mode).partitionBy("dt", "category").parquet(path)
 
 
 def append_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:

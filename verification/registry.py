@@ -418,6 +418,15 @@ def _(spark, folder):
     return _located(spark, folder).groupBy(place).agg(F.count("*").alias("n"))
 
 
+_FAMILIES = oracle.rows(fixed.BAD_JA3)
+
+
+@query("ja3_blocklist", EV + f"SELECT event_id, b.ja3, family FROM ({oracle.TLS}) t JOIN ({_FAMILIES}) b(ja3, family) ON b.ja3 = t.ja3")
+def _(spark, folder):
+    listed = spark.createDataFrame(fixed.BAD_JA3, "ja3 string, family string")
+    return enrich.known_clients(lines(spark, folder), listed).select("event_id", "ja3", "family")
+
+
 @query("min_severity_filter", AL + "SELECT alert_id, severity FROM alerts WHERE severity IN ('HIGH', 'CRITICAL')")
 def _(spark, folder):
     return alerts(spark, folder).filter(severity.at_least(F.col("severity"), "HIGH")).select("alert_id", "severity")
@@ -479,7 +488,8 @@ def _(spark, folder):
 
 @query("alert_event_join", AL + "SELECT alert_id, rule_id, source, category, ev.raw FROM alerts JOIN ev ON ev.event_id = alerts.event_id")
 def _(spark, folder):
-    joined = reports.alert_details(alerts(spark, folder), events(spark, folder))
+    found = stage(alerts(spark, folder), "alerts")
+    joined = reports.alert_details(found, events(spark, folder))
     return joined.select("alert_id", "rule_id", "source", "category", "raw")
 
 
@@ -654,3 +664,27 @@ def _(spark, folder):
     given = table(spark, folder, "events").schema
     files = spark.readStream.schema(given).option("pathGlobFilter", "events.parquet").parquet(folder)
     return _finished(streams.hourly_counts(files.select("event_id", "ts")), "stream_hours", "complete")
+
+
+@query("stream_located_alerts", GEO + "SELECT alert_id, rule_id, country, city FROM geo")
+def _(spark, folder):
+    """Alerts of a stream, located per micro-batch by the batch join."""
+    out = streams.stream_alerts(streams.stream_events(_stream(spark, folder)))
+    known = stage(ranges(spark, folder), "ranges")
+    located = _finished(out, "stream_geo", change=lambda batch: enrich.add_geo(batch, known))
+    return located.select("alert_id", "rule_id", "geo.country", "geo.city")
+
+
+@query("stream_outbox", GEO + f"SELECT alert_id, {oracle.payload()} AS payload FROM geo WHERE severity = 'CRITICAL'")
+def _(spark, folder):
+    out = streams.stream_alerts(streams.stream_events(_stream(spark, folder)))
+    known = stage(ranges(spark, folder), "ranges")
+    return _finished(out, "stream_outbox", change=lambda batch: jobs.outbox(enrich.add_geo(batch, known), "CRITICAL"))
+
+
+@query("stream_signature_hits", SIG + "SELECT flow_id, sid FROM hits")
+def _(spark, folder):
+    given = table(spark, folder, "events").schema
+    files = spark.readStream.schema(given).option("pathGlobFilter", "events.parquet").parquet(folder)
+    flows = spark.sql(derived.for_spark(derived.FLOWS), events=files)
+    return _finished(signatures.match_signatures(flows).select("flow_id", "sid"), "stream_signatures")
