@@ -8,6 +8,7 @@ from logwarden import fixed_values as fixed
 # Unix lines: '.' stops at \n only.  Unicode classes: \w \d \s \b as in Unicode text.
 MODE = "(?dU)"
 ANY_CASE = "(?diU)"
+SEPARATOR = "\x01"
 
 
 def strip(text: Column) -> Column:
@@ -27,6 +28,22 @@ def extract(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(text, MODE + pattern, group)
 
 
+def join_groups(text: Column, pattern: str, groups: tuple[int, ...]) -> Column:
+    """Several groups of the first match by one regex run, joined by a separator.
+
+    The whole text is replaced, and the result is shorter than a matching text, so an
+    unchanged text means no match.  Only the last group may hold the separator.  Keep the
+    result as a column before ``split_groups``, so that it is computed once.
+    """
+    whole = rf"\A{pattern[1:]}" if pattern.startswith("^") else rf"\A(?s:.*?){pattern}"
+    return F.regexp_replace(text, MODE + whole + r"(?s:.*)\z", SEPARATOR.join(f"${g}" for g in groups))
+
+
+def split_groups(joined: Column, text: Column, groups: int) -> Column:
+    """The joined groups as an array, null when there was no match."""
+    return F.when(joined != text, F.split(joined, SEPARATOR, groups))
+
+
 def like_any_case(text: Column, pattern: str) -> Column:
     return text.rlike(ANY_CASE + pattern)
 

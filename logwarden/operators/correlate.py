@@ -15,6 +15,8 @@ from logwarden.functions.clock import MICROS, cell
 from logwarden.staging import stage
 
 KEYS = ["counter", "key", "cell"]
+# Spark cuts groups on the map side up to this many rows (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
 
 
 def heads_and_tails(hits: DataFrame, rows: int) -> DataFrame:
@@ -68,6 +70,13 @@ def not_reached(hits: DataFrame, limits: dict[str, dict[str, int]]) -> DataFrame
     )
 
 
+def below_count(hits: DataFrame, limits: dict[str, int], seconds: int) -> DataFrame:
+    """``not_reached`` of one counter for counts of any size, by exact trailing counts."""
+    counted = trailing_count(hits, "key", F.col("us"), seconds)
+    short = [F.when(F.col("recent") < n, F.lit(rule_id)) for rule_id, n in limits.items()]
+    return counted.select("event_id", F.explode(F.array_compact(F.array(*short))).alias("rule_id"))
+
+
 def not_supported(
     followups: DataFrame, hits: DataFrame, at_least: int, seconds: int, hit_seconds: int, pruned: bool
 ) -> DataFrame:
@@ -119,7 +128,8 @@ def trailing_count(
     Every row becomes an end mark at ``t`` and a start mark at ``t - seconds``; its count is
     the number of end marks between the two in the order (key, time).  The marks are cut into
     ranges of that order by sampled bounds, which split a busy key and even a busy instant,
-    and counts before a range are carried by one small row per range.
+    and counts before a range are carried by one small row per range.  ``rows`` is read twice
+    (once for the sample), so it should be a written table.
     """
     end = F.struct(F.col("_us").alias("at"), F.lit(1).alias("is_end"))
     start = F.struct((F.col("_us") - seconds * MICROS).alias("at"), F.lit(0).alias("is_end"))

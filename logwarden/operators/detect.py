@@ -103,9 +103,13 @@ def fire(
         c: {i: n for i, n in members.items() if i in tests}
         for c, members in limits.items() if any(i in tests for i in members)
     }
-    if wanted:
-        counted = {c: f for c, f in feeds.items() if c in wanted}
-        silent.append(correlate.not_reached(_counter_hits(matches, counted), wanted))
+    small = {c: members for c, members in wanted.items() if max(members.values()) <= correlate.GROUP_LIMIT}
+    if small:
+        counted = {c: f for c, f in feeds.items() if c in small}
+        silent.append(correlate.not_reached(_counter_hits(matches, counted), small))
+    for counter in wanted.keys() - small.keys():
+        hits = _counter_hits(matches, {counter: feeds[counter]})
+        silent.append(correlate.below_count(hits, wanted[counter], feeds[counter][1]))
     for rule in followups:
         counter = rule.threshold.counter
         hits = _counter_hits(matches, {counter: feeds[counter]})

@@ -19,13 +19,13 @@ _EVE_ALERT = T.StructType([
 
 
 def _probes(raw: Column, source: Column) -> dict[str, Column]:
-    """Per format one value that is set exactly when the line has that format."""
+    """Per format one value that tells whether the line has that format."""
     maybe_auth = F.contains(raw, F.lit("su")) | F.contains(raw, F.lit("sshd"))
     maybe_eve = (source == "suricata") & F.startswith(text.strip(raw), F.lit("{"))
     eve = F.from_json(raw, _EVE)
     return {
-        "_auth": F.when(maybe_auth, text.extract(raw, fixed.AUTH_LINE, 6)),
-        "_web": text.extract(raw, fixed.WEB_LINE, 5),
+        "_auth_line": F.when(maybe_auth, text.join_groups(raw, fixed.AUTH_LINE, (4, 5, 6))),
+        "_web_line": text.join_groups(raw, fixed.WEB_LINE, (1, 3, 5, 4)),
         "_kernel": text.extract(raw, fixed.KERNEL_LINE),
         "_eve": F.when(maybe_eve & (eve["event_type"] == "alert"), eve),
         "_priority": text.extract(raw, fixed.PRIORITY_LINE, 2),
@@ -51,23 +51,28 @@ def parse(logs: DataFrame, documented_http: bool = False) -> DataFrame:
     """
     raw, source = F.col("raw"), F.col("source")
     category = (
-        F.when(_is_set("_auth"), "auth")
-        .when(_is_set("_web"), "web")
+        F.when(F.col("_auth").isNotNull(), "auth")
+        .when(F.col("_web").isNotNull(), "web")
         .when(_is_set("_kernel"), "kernel")
         .when(_eve_usable(raw), "suricata")
         .when(_is_set("_priority"), "syslog")
         .otherwise("generic")
     )
-    probed = logs.withColumns(_probes(raw, source)).withColumn("category", category)
+    probed = logs.withColumns(_probes(raw, source)).withColumns({
+        "_auth": text.split_groups(F.col("_auth_line"), raw, 3),
+        "_web": text.split_groups(F.col("_web_line"), raw, 4),
+    }).withColumn("category", category)
 
     kind = F.col("category")
 
     def only(name: str, value: Column) -> Column:
         return F.when(kind == name, value)
 
-    uri = text.extract(raw, fixed.WEB_LINE, 4)
+    def part(name: str, place: int) -> Column:
+        return F.get(name, F.lit(place))
+
     split = probed.withColumns({
-        "full_uri": only("web", uri),
+        "full_uri": only("web", part("_web", 3)),
         "_alert": only("suricata", F.from_json(F.coalesce("_eve.alert", F.lit("{}")), _EVE_ALERT)),
     })
 
@@ -83,20 +88,20 @@ def parse(logs: DataFrame, documented_http: bool = False) -> DataFrame:
         return F.when(http == "{}", "").otherwise(F.get_json_object(http, f"$.{name}"))
 
     fields = {
-        "process": only("auth", text.extract(raw, fixed.AUTH_LINE, 4)),
-        "pid": only("auth", text.extract(raw, fixed.AUTH_LINE, 5)),
-        "message": F.when(kind == "auth", F.col("_auth"))
+        "process": part("_auth", 0),
+        "pid": part("_auth", 1),
+        "message": F.when(kind == "auth", part("_auth", 2))
         .when(kind == "kernel", F.col("_kernel"))
         .when(kind == "syslog", text.strip(F.col("_priority")))
         .when(kind == "generic", raw),
-        "src_ip": F.when(kind == "auth", text.first_ipv4(F.col("_auth")))
-        .when(kind == "web", text.extract(raw, fixed.WEB_LINE, 1))
+        "src_ip": F.when(kind == "auth", text.first_ipv4(part("_auth", 2)))
+        .when(kind == "web", part("_web", 0))
         .when(kind == "suricata", F.coalesce("_eve.src_ip", F.lit(""))),
-        "method": only("web", text.extract(raw, fixed.WEB_LINE, 3)),
+        "method": only("web", part("_web", 1)),
         "path": only("web", F.split_part(full_uri, F.lit("?"), F.lit(1))),
         "query": only("web", text.percent_decode(query)),
         "full_uri": full_uri,
-        "status": only("web", F.col("_web").try_cast("int")),
+        "status": only("web", part("_web", 2).try_cast("int")),
         "size": only("web", F.lit(0)),
         "signature": only("suricata", F.coalesce("_alert.signature", F.lit(""))),
         "signature_id": only(

@@ -124,6 +124,13 @@ def test_custom_rules(spark):
         with_rule(rules[-1], rules)
 
 
+def test_very_large_counts(spark):
+    rule = Rule("T-3", "n", "d", "LOW", "web", None, lambda: F.col("status") == 404, WindowCount("any_404", 1200, 10))
+    rows = [(n * 7_000, n, "1.1.1.1", "4xx") for n in range(1500)]
+    found = detect(parse(table(spark, rows)), with_rule(rule), only=("T-3",))
+    assert {r.event_id for r in found.collect()} == set(range(1199, 1500))
+
+
 def test_trailing_count_equals_plain_counting(spark):
     rows = [(us, e, key) for us, e, key, _ in random_rows(5, 3000)] + [(7, 3000 + n, "9.9.9.9") for n in range(500)]
     rows.sort()

@@ -379,7 +379,7 @@ def _(spark, folder):
 @query("trailing_count", EV + "SELECT event_id, src_ip, count(*) OVER (PARTITION BY src_ip ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS "
        "PRECEDING AND CURRENT ROW) AS recent FROM ev WHERE src_ip IS NOT NULL")
 def _(spark, folder):
-    seen = events(spark, folder).filter(F.col("src_ip").isNotNull()).select("event_id", "ts", "src_ip")
+    seen = stage(events(spark, folder).filter(F.col("src_ip").isNotNull()).select("event_id", "ts", "src_ip"), "seen")
     counts = correlate.trailing_count(seen, "src_ip", clock.micros(F.col("ts")), fixed.WINDOW_SECONDS)
     return seen.select("event_id", "src_ip").join(counts, "event_id")
 
