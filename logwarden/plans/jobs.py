@@ -15,7 +15,8 @@ from logwarden.staging import stage
 
 
 def located(alerts: DataFrame, ranges: DataFrame | None) -> DataFrame:
-    return unlocated(alerts) if ranges is None else add_geo(alerts, ranges)
+    """Alerts with location; they are read twice for it, so they are written once first."""
+    return unlocated(alerts) if ranges is None else add_geo(stage(alerts, "unlocated"), ranges)
 
 
 def run_batch(

@@ -28,7 +28,7 @@ def spread(lines: DataFrame) -> DataFrame:
 
 
 def number_rows(lines: DataFrame) -> DataFrame:
-    """Add a unique ``event_id`` that rises in file order (with gaps, no shuffle)."""
+    """Add a unique ``event_id`` that rises within every input split (with gaps, no shuffle)."""
     return lines.select(F.monotonically_increasing_id().alias("event_id"), "*")
 
 
@@ -38,10 +38,13 @@ def read_lines(spark: SparkSession, path: str, source: str, ts: Column | None =
 
 
 def stream_lines(
-    spark: SparkSession, path: str, source: str, ts: Column | None = None, max_files: int = 1000
+    spark: SparkSession, path: str, source: str, ts: Column | None = None, max_bytes: str = "2g"
 ) -> DataFrame:
-    """Lines of files as they land in a directory (rotated, never appended)."""
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
+    """Lines of files as they land in a directory (rotated, never appended).
+
+    ``max_bytes`` bounds a micro-batch, and with it what one busy key can bring to one task.
+    """
+    lines = spark.readStream.option("maxBytesPerTrigger", max_bytes).text(path)
     return _as_logs(lines, F.lit(source), ts)
 
 

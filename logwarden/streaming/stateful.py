@@ -1,7 +1,7 @@
 """Keyed stream state: the admission limit, sliding counts and follow-up correlation.
 
 Rows of a key are taken in time order within a micro-batch, whose size the source bounds
-(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).  A row sees the rows that came before it
+(``maxBytesPerTrigger``, ``maxOffsetsPerTrigger``).  A row sees the rows that came before it
 and lie in its window, also when it is late itself.  The state of a key holds the times of the
 allowed delay and, before these, as many as the limit or threshold needs; a timer drops it
 once the watermark has passed the longest window.  Later rows are dropped and counted.

@@ -400,7 +400,7 @@ def _(spark, folder):
 
 
 def _located(spark, folder):
-    return enrich.add_geo(alerts(spark, folder), ranges(spark, folder))
+    return jobs.located(alerts(spark, folder), ranges(spark, folder))
 
 
 GEO = oracle.with_geo()
@@ -671,7 +671,7 @@ def _(spark, folder):
     """Alerts of a stream, located per micro-batch by the batch join."""
     out = streams.stream_alerts(streams.stream_events(_stream(spark, folder)))
     known = stage(ranges(spark, folder), "ranges")
-    located = _finished(out, "stream_geo", change=lambda batch: enrich.add_geo(batch, known))
+    located = _finished(out, "stream_geo", change=lambda batch: jobs.located(batch, known))
     return located.select("alert_id", "rule_id", "geo.country", "geo.city")
 
 
@@ -679,7 +679,7 @@ def _(spark, folder):
 def _(spark, folder):
     out = streams.stream_alerts(streams.stream_events(_stream(spark, folder)))
     known = stage(ranges(spark, folder), "ranges")
-    return _finished(out, "stream_outbox", change=lambda batch: jobs.outbox(enrich.add_geo(batch, known), "CRITICAL"))
+    return _finished(out, "stream_outbox", change=lambda batch: jobs.outbox(jobs.located(batch, known), "CRITICAL"))
 
 
 @query("stream_signature_hits", SIG + "SELECT flow_id, sid FROM hits")
