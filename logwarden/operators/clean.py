@@ -12,7 +12,7 @@ from logwarden.functions.clock import MICROS, cell, micros
 from logwarden.staging import new_path, sized, stage
 
 CHUNK_TICKS = 4_000_000
-TICKS = "source string, run bigint, us bigint, admitted bigint"
+TICKS = "source string, run bigint, us bigint, rows bigint, admitted bigint"
 
 
 def strip_lines(logs: DataFrame) -> DataFrame:
@@ -72,16 +72,15 @@ def rate_limit(
     counts = stage(timed.groupBy("source", "cell").count(), "cells")
     before = counts.select("source", (F.col("cell") + 1).alias("cell"), F.col("count").alias("before"))
     total = F.coalesce("count", F.lit(0)) + F.coalesce("before", F.lit(0))
-    busy = counts.join(before, ["source", "cell"], "left").filter(total > limit).select("source", "cell", "count")
-    busy = stage(busy, "busy")
-    if busy.isEmpty():
-        return logs
-
+    busy = counts.join(before, ["source", "cell"], "left").filter(total > limit).select("source", "cell")
     # Busy cells plus the quiet cell before each run, which sets its starting point.
     lead = busy.select("source", (F.col("cell") - 1).alias("cell")).join(counts, ["source", "cell"], "left_semi")
-    needed = busy.select("source", "cell").unionByName(lead).distinct()
+    needed = stage(busy.unionByName(lead).distinct(), "needed")
+    if needed.isEmpty():
+        return logs
+
     in_order = W.partitionBy("source").orderBy("cell")
-    needed = sized(stage(needed, "needed"))
+    needed = sized(needed)
     ticks = timed.join(needed, ["source", "cell"], "left_semi")
     ticks = stage(ticks.groupBy("source", "cell", "us").agg(F.count("*").alias("rows")), "ticks")
 
@@ -104,18 +103,18 @@ def rate_limit(
         fresh = (taken > 0) & (pdf["given"].to_numpy() < 0)
         return pd.DataFrame({
             "source": pdf["source"].to_numpy()[fresh], "run": pdf["run"].to_numpy()[fresh],
-            "us": us[fresh], "admitted": taken[fresh],
+            "us": us[fresh], "rows": pdf["rows"].to_numpy()[fresh], "admitted": taken[fresh],
         })
 
-    parts, handed = [], None
+    root, handed = new_path(spark, "admitted"), None
     for number in range(plan.agg(F.max("chunk")).first()[0] + 1):
         todo = chunked.filter(F.col("chunk") == number).select(
             "source", "run", "us", "rows", F.lit(-1).cast("bigint").alias("given")
         )
         if handed is not None:
             todo = todo.unionByName(handed)
-        done = stage(todo.groupBy("source", "run").applyInPandas(walk, TICKS), f"admitted{number}")
-        parts.append(done)
+        todo.groupBy("source", "run").applyInPandas(walk, TICKS).write.parquet(f"{root}/round={number}")
+        done = spark.read.schema(TICKS).parquet(f"{root}/round={number}")
         # The last ``seconds`` before the next chunk hold at most ``limit`` admitted rows.
         following = plan.filter(F.col("chunk") == number + 1).groupBy("source", "run").agg(
             (F.min("cell") * width - width).alias("since")
@@ -123,13 +122,8 @@ def rate_limit(
         handed = done.join(following, ["source", "run"]).filter(F.col("us") >= F.col("since")).select(
             "source", "run", "us", F.col("admitted").alias("rows"), F.col("admitted").alias("given")
         )
-    admitted = parts[0]
-    for more in parts[1:]:
-        admitted = admitted.unionByName(more)
 
-    decided = sized(stage(
-        admitted.join(ticks, ["source", "us"]).select("source", "us", "admitted", "rows"), "decided"
-    ))
+    decided = sized(spark.read.schema(TICKS).parquet(f"{root}/round=*").drop("run"))
     quiet = timed.join(needed, ["source", "cell"], "left_anti")
     walked = timed.join(needed, ["source", "cell"], "left_semi").join(decided, ["source", "us"])
     first = W.partitionBy("source", "us").orderBy("event_id")
