@@ -29,6 +29,7 @@ SEVERITY_COLOURS = {"CRITICAL": 0xFF0000, "HIGH": 0xFF6600, "MEDIUM": 0xFFAA00,
 SEVERITY_MARKS = {"CRITICAL": "🔴", "HIGH": "🟠", "MEDIUM": "🟡", "LOW": "🟢"}
 OTHER_COLOUR = 0x888888
 OTHER_MARK = "⚪"
+MESSAGE_TITLE = " SIEM Alert — "
 
 # --- Detection rules (fixed values): id, name, description, severity, category, mitre ---
 RULES = [

@@ -63,7 +63,7 @@ def notification(brand: str = "Security log analytics") -> Column:
     )
     moment = clock.iso_utc(F.col("ts"))
     message = F.struct(
-        F.concat(badge, F.lit(" SIEM Alert — "), F.coalesce("rule_name", F.lit("Unknown"))).alias("title"),
+        F.concat(badge, F.lit(fixed.MESSAGE_TITLE), F.coalesce("rule_name", F.lit("Unknown"))).alias("title"),
         F.coalesce("description", F.lit("")).alias("description"),
         colour(severity).alias("color"),
         fields.alias("fields"),

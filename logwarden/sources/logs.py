@@ -38,7 +38,7 @@ def read_lines(spark: SparkSession, path: str, source: str, ts: Column | None =
 
 
 def stream_lines(
-    spark: SparkSession, path: str, source: str, ts: Column | None = None, max_bytes: str = "2g"
+    spark: SparkSession, path: str, source: str, ts: Column | None = None, max_bytes: int = 2 * 1024**3
 ) -> DataFrame:
     """Lines of files as they land in a directory (rotated, never appended).
 
