@@ -58,7 +58,10 @@ def parse(logs: DataFrame, documented_http: bool = False) -> DataFrame:
         .when(_is_set("_priority"), "syslog")
         .otherwise("generic")
     )
-    probed = logs.withColumns(_probes(raw, source)).withColumns({
+    # Through a generator, so that a filter on a parsed column is not pushed below the probes,
+    # where it would run their patterns again for every use.
+    probes = F.struct(*[probe.alias(name) for name, probe in _probes(raw, source).items()])
+    probed = logs.select("*", F.inline(F.array(probes))).withColumns({
         "_auth": text.split_groups(F.col("_auth_line"), raw, 3),
         "_web": text.split_groups(F.col("_web_line"), raw, 4),
     }).withColumn("category", category)
