@@ -75,10 +75,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     texts = keyed(docs)
     runs = repeats.repeated_runs(texts, sampler(window))
     held = repeats.contents(runs)
-    whole = runs.join(held.filter("n > 1").select("seed", "block", "count"), ["seed", "block", "count"], "left_semi")
+    whole = stage(runs.join(held.filter("n > 1").select("seed", "block", "count"), ["seed", "block", "count"], "left_semi")
+                  .select("doc", "row_key", "start", "count"), "whole")
     spots = repeats.spots(texts, repeats.to_open(held), window_names(window))
     number = F.sum("n").over(repeats.by_key())
-    repeated = spots.withColumn("all", number).filter("n = 0 OR all > 1")
+    repeated = stage(spots.withColumn("all", number).filter("n = 0 OR all > 1").select("doc", "row_key", "start"), "repeated")
     return stage(repeats.spans(whole, repeated, window), "covered")
 
 

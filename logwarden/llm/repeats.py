@@ -18,7 +18,7 @@ from logwarden.llm.common import stage
 
 RUNS = "seed long, block long, doc long, row_key int, start int, count int"
 SEEDS = "seed long, n long"
-SPOTS = "key long, doc long, row_key int, start int, n long"
+SPOTS = "key long, doc long, row_key int, start int, n int"
 # sample(data, offsets) -> seed, block, row, start in the row, count of windows
 Sample = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
 
@@ -55,8 +55,9 @@ def repeated_runs(texts: DataFrame, sample: Sample) -> DataFrame:
 
 
 def contents(runs: DataFrame) -> DataFrame:
-    """One row per content of a seed: how often it occurs and where first."""
-    return runs.groupBy("seed", "block", "count").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start", "row_key")).alias("first"))
+    """One row per content of a seed: how often it occurs and where first; written once."""
+    return stage(runs.groupBy("seed", "block", "count").agg(
+        F.count("*").alias("n"), F.min(F.struct("doc", "start", "row_key")).alias("first")), "contents")
 
 
 def to_open(held: DataFrame) -> DataFrame:
@@ -86,19 +87,17 @@ def spots(texts: DataFrame, opened: DataFrame, names: Callable) -> DataFrame:
             key = names(*arrays.plain(batch.column("text")), row, start)
             doc, row_key = np.asarray(batch.column("doc"))[row], np.asarray(batch.column("row_key"))[row]
             order = np.lexsort((start, doc, key))
-            key, doc, row_key, start = key[order], doc[order], row_key[order], start[order].astype(np.int32)
             head = np.ones(len(key), bool)
-            head[1:] = key[1:] != key[:-1]
-            n = np.zeros(len(key), np.int64)
-            n[head] = np.diff(np.append(np.flatnonzero(head), len(key)))
-            # places level with the head (repeated rows of one id) stay open like it
-            level = np.cumsum(head) - 1
-            heads = np.flatnonzero(head)[level] if len(key) else level
-            same = ~head & (doc == doc[heads]) & (start == start[heads])
-            n[same] = 1
+            head[1:] = key[order[1:]] != key[order[:-1]]
+            number = np.diff(np.append(np.flatnonzero(head), len(key)))
+            first = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+            n = np.zeros(len(key), np.int32)
+            # places level with the first (repeated rows of one id) stay open like it
+            n[order] = (doc[order] == doc[first]) & (start[order] == start[first])
+            n[order[head]] = number
             key = np.where(n > 0, key, arrays.mix(doc.view(np.uint64) * arrays.BASE + start.astype(np.uint64)))
             yield pa.RecordBatch.from_arrays(
-                [arrays.signed(key), pa.array(doc), pa.array(row_key), pa.array(start), pa.array(n)],
+                [arrays.signed(key), pa.array(doc), pa.array(row_key), pa.array(start.astype(np.int32)), pa.array(n)],
                 ["key", "doc", "row_key", "start", "n"])
 
     return (texts.select("doc", "row_key", "text").join(opened.hint("shuffle_hash"), ["doc", "row_key"])

@@ -113,11 +113,13 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, seed_bytes: int
     texts = keyed(docs)
     runs = repeats.repeated_runs(texts, sampler(threshold, seed_bytes))
     held = repeats.contents(runs)
-    later = (runs.join(held.filter("n > 1").select("seed", "block", "count", "first"), ["seed", "block", "count"])
-             .filter(F.struct("doc", "start") > F.struct("first.doc", "first.start")))
+    later = stage(runs.join(held.filter("n > 1").select("seed", "block", "count", "first"), ["seed", "block", "count"])
+                  .filter(F.struct("doc", "start") > F.struct("first.doc", "first.start"))
+                  .select("doc", "row_key", "start", "count"), "later")
     spots = repeats.spots(texts, repeats.to_open(held), pair_names(threshold))
     first = F.min(F.when(F.col("n") > 0, F.struct("doc", "start"))).over(repeats.by_key())
-    repeated = spots.withColumn("first", first).filter((F.col("n") == 0) | (F.struct("doc", "start") > F.col("first")))
+    repeated = stage(spots.withColumn("first", first).filter((F.col("n") == 0) | (F.struct("doc", "start") > F.col("first")))
+                     .select("doc", "row_key", "start"), "repeated")
     return stage(repeats.spans(later, repeated, threshold), "covered")
 
 
