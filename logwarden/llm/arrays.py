@@ -58,6 +58,40 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def packed(values: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """Binary column of the values between the row offsets."""
+    return pa.Array.from_buffers(pa.large_binary(), len(rows) - 1, [
+        None, pa.py_buffer((rows * values.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a binary column in one array, and the offsets of its rows."""
+    column = column.cast(pa.large_binary())
+    rows = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    values = np.frombuffer(raw, np.uint8)[rows[0]:rows[-1]].view(kind) if raw else np.zeros(0, kind)
+    return values, (rows - rows[0]) // np.dtype(kind).itemsize
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by ``column``, cut so that no value is in two of them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.asarray(batch.column(column))
+        if held and values[0] != held[-1].column(column)[-1].as_py():
+            yield pa.concat_batches(held)
+            held = []
+        cut = int(np.flatnonzero(values == values[-1])[0])
+        if cut:
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
+
+
 def plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column in one buffer and the offsets of its rows; null is empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

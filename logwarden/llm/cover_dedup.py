@@ -79,7 +79,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                   .select("doc", "row_key", "start", "count"), "whole")
     spots = repeats.spots(texts, repeats.to_open(held), window_names(window))
     number = F.sum("n").over(repeats.by_key())
-    repeated = stage(spots.withColumn("all", number).filter("n = 0 OR all > 1").select("doc", "row_key", "start"), "repeated")
+    repeated = stage(spots.withColumn("all", number).filter("n = 0 OR all > 1")
+                     .select("doc", "row_key", "start", F.lit(1).alias("count")), "repeated")
     return stage(repeats.spans(whole, repeated, window), "covered")
 
 

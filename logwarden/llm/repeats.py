@@ -19,6 +19,7 @@ from logwarden.llm.common import stage
 RUNS = "seed long, block long, doc long, row_key int, start int, count int"
 SEEDS = "seed long, n long"
 SPOTS = "key long, doc long, row_key int, start int, n int"
+CROWD = 1_000  # contents of a seed from which its windows are dealt one by one
 # sample(data, offsets) -> seed, block, row, start in the row, count of windows
 Sample = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
 
@@ -60,11 +61,41 @@ def contents(runs: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min(F.struct("doc", "start", "row_key")).alias("first")), "contents")
 
 
-def to_open(held: DataFrame) -> DataFrame:
-    """First places of the contents of seeds that have several: (doc, row_key, [(start, count)])."""
-    mixed = held.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("seed")
-    return (held.join(mixed, "seed", "left_semi").select("first.doc", "first.row_key", "first.start", "count")
-            .groupBy("doc", "row_key").agg(F.collect_list(F.struct("start", "count")).alias("open")))
+def to_open(held: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """First places of the contents of seeds that have several: (doc, row_key, [(start, count,
+    seed, crowded)]), crowded if the seed has more than ``crowd`` contents."""
+    mixed = held.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    return (held.join(mixed, "seed").select("first.doc", "first.row_key", "first.start", "count", "seed", (F.col("kinds") > crowd).alias("crowded"))
+            .groupBy("doc", "row_key").agg(F.collect_list(F.struct("start", "count", "seed", "crowded")).alias("open")))
+
+
+def opened_windows(opened: pa.Array):
+    """Row, start and count of each opened run, and its index and step for each of its windows."""
+    flat = opened.flatten()
+    row = np.repeat(np.arange(len(opened)), np.diff(np.asarray(opened.offsets)))
+    count = np.asarray(flat.field("count")).astype(np.int64)
+    run = np.repeat(np.arange(len(count)), count)
+    step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    return flat, row, np.asarray(flat.field("start")).astype(np.int64), count, run, step
+
+
+def first_of_key(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each key of a batch the number of its places at the first one, by (doc, start), else 0;
+    places level with the first (repeated rows of one id) have 1."""
+    order = np.lexsort((start, doc, key))
+    head = np.ones(len(key), bool)
+    head[1:] = key[order[1:]] != key[order[:-1]]
+    number = np.diff(np.append(np.flatnonzero(head), len(key)))
+    first = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+    n = np.zeros(len(key), np.int32)
+    n[order] = (doc[order] == doc[first]) & (start[order] == start[first])
+    n[order[head]] = number
+    return n
+
+
+def own_key(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A key of its own for a place that is settled."""
+    return arrays.mix(doc.view(np.uint64) * arrays.BASE + start.astype(np.uint64))
 
 
 def spots(texts: DataFrame, opened: DataFrame, names: Callable) -> DataFrame:
@@ -76,26 +107,13 @@ def spots(texts: DataFrame, opened: DataFrame, names: Callable) -> DataFrame:
     """
     def name(batches):
         for batch in arrays.pieces(batches):
-            opened = batch.column("open")
-            flat = opened.flatten()
-            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(opened.offsets)))
-            start, count = np.asarray(flat.field("start")), np.asarray(flat.field("count"))
-            # single windows, each place once
-            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at = np.unique(np.repeat(row, count).astype(np.int64) << 40 | (np.repeat(start, count) + step))
+            _, row, start, _, run, step = opened_windows(batch.column("open"))
+            at = np.unique(row[run].astype(np.int64) << 40 | (start[run] + step))  # each place once
             row, start = at >> 40, at & ((1 << 40) - 1)
             key = names(*arrays.plain(batch.column("text")), row, start)
             doc, row_key = np.asarray(batch.column("doc"))[row], np.asarray(batch.column("row_key"))[row]
-            order = np.lexsort((start, doc, key))
-            head = np.ones(len(key), bool)
-            head[1:] = key[order[1:]] != key[order[:-1]]
-            number = np.diff(np.append(np.flatnonzero(head), len(key)))
-            first = order[np.flatnonzero(head)][np.cumsum(head) - 1]
-            n = np.zeros(len(key), np.int32)
-            # places level with the first (repeated rows of one id) stay open like it
-            n[order] = (doc[order] == doc[first]) & (start[order] == start[first])
-            n[order[head]] = number
-            key = np.where(n > 0, key, arrays.mix(doc.view(np.uint64) * arrays.BASE + start.astype(np.uint64)))
+            n = first_of_key(key, doc, start)
+            key = np.where(n > 0, key, own_key(doc, start))
             yield pa.RecordBatch.from_arrays(
                 [arrays.signed(key), pa.array(doc), pa.array(row_key), pa.array(start.astype(np.int32)), pa.array(n)],
                 ["key", "doc", "row_key", "start", "n"])
@@ -109,9 +127,9 @@ def by_key():
 
 
 def spans(runs: DataFrame, singles: DataFrame, length: int) -> DataFrame:
-    """Covered [start, end) of each text as one array, ordered by start: whole runs and windows."""
-    every = runs.select("doc", "row_key", "start", (F.col("start") + F.col("count") - 1 + length).alias("end")).unionAll(
-        singles.select("doc", "row_key", "start", (F.col("start") + length).alias("end")))
+    """Covered [start, end) of each text as one array, ordered by start: whole runs and
+    the windows of opened ones."""
+    every = runs.unionByName(singles).select("doc", "row_key", "start", (F.col("start") + F.col("count") - 1 + length).alias("end"))
     return every.groupBy("doc", "row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("covered"))
 
 

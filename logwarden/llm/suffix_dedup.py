@@ -94,17 +94,64 @@ def sampler(threshold: int, seed_bytes: int):
     return sample
 
 
-def pair_names(threshold: int):
-    """Name of a window: the pair of ranks of its halves, at the offset that reaches the threshold."""
+def opened_names(texts: DataFrame, opened: DataFrame, threshold: int) -> DataFrame:
+    """Ranks of the windows of opened runs: the pair (rank of the first half, rank of the half at
+    the offset that reaches the threshold) for each window of a run.
+
+    A run goes to its seed's ``bucket``. Windows of crowded seeds go one by one to the bucket of
+    their pair; of equal pairs in a batch only the first goes on, the others are settled.
+    """
     half = (threshold + 1) // 2
 
-    def names(data, offsets, row, start):
-        windows = arrays.Windows(arrays.BYTE_VALUES[data])
-        at = offsets[row] + start
-        rank, further = windows.hash(at, at + half), windows.hash(at + threshold - half, at + threshold)
-        return arrays.mix(rank * arrays.BASE + further)
+    def name(batches):
+        for batch in arrays.pieces(batches):
+            flat, row, start, count, run, step = repeats.opened_windows(batch.column("open"))
+            data, offsets = arrays.plain(batch.column("text"))
+            windows = arrays.Windows(arrays.BYTE_VALUES[data])
+            at = offsets[row[run]] + start[run] + step
+            rank, further = windows.hash(at, at + half), windows.hash(at + threshold - half, at + threshold)
+            pair = arrays.mix(rank * arrays.BASE + further)
+            seed = np.asarray(flat.field("seed"))
+            crowded = flat.field("crowded").to_numpy(zero_copy_only=False).astype(bool)
+            doc, row_key = np.asarray(batch.column("doc"))[row], np.asarray(batch.column("row_key"))[row]
+            runs = pa.RecordBatch.from_arrays(
+                [pa.array(seed), pa.array(doc), pa.array(row_key), pa.array(start.astype(np.int32)), pa.array(np.ones(len(row), bool)),
+                 arrays.packed(pair, np.append(0, np.cumsum(count)))], fields)
+            yield runs.filter(pa.array(~crowded))
+            one = np.flatnonzero(crowded[run])
+            run, step, pair = run[one], step[one], pair[one]
+            doc, row_key, start = doc[run], row_key[run], start[run] + step
+            first = repeats.first_of_key(pair, doc, start) > 0
+            bucket = np.where(first, pair, repeats.own_key(doc, start))
+            yield pa.RecordBatch.from_arrays(
+                [arrays.signed(bucket), pa.array(doc), pa.array(row_key), pa.array(start.astype(np.int32)), pa.array(first),
+                 arrays.packed(pair, np.arange(len(pair) + 1))], fields)
+
+    fields = ["bucket", "doc", "row_key", "start", "open", "ranks"]
+    return (texts.select("doc", "row_key", "text").join(opened.hint("shuffle_hash"), ["doc", "row_key"]).select("doc", "row_key", "text", "open")
+            .mapInArrow(name, "bucket long, doc long, row_key int, start int, open boolean, ranks binary"))
+
+
+def later_of_equal(named: DataFrame) -> DataFrame:
+    """Stretches (doc, row_key, start, count) of windows whose rank has an earlier place."""
+    def rank(batches):
+        for batch in arrays.whole_groups(batches, "bucket"):
+            pair, rows = arrays.unpacked(batch.column("ranks"), np.uint64)
+            run = np.repeat(np.arange(batch.num_rows), np.diff(rows))
+            doc, begin = np.asarray(batch.column("doc")), np.asarray(batch.column("start")).astype(np.int64)
+            start = begin[run] + np.arange(len(run)) - rows[run]
+            settled = ~batch.column("open").to_numpy(zero_copy_only=False).astype(bool)
+            gone = (repeats.first_of_key(pair, doc[run], start) == 0) | settled[run]
+            edge = np.ones(len(run), bool)
+            edge[1:] = (run[1:] != run[:-1]) | (gone[1:] != gone[:-1])
+            head = np.flatnonzero(edge)
+            count = np.diff(np.append(head, len(run)))
+            head, count = head[gone[head]], count[gone[head]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc").take(pa.array(run[head])), batch.column("row_key").take(pa.array(run[head])),
+                 pa.array(start[head].astype(np.int32)), pa.array(count.astype(np.int32))], ["doc", "row_key", "start", "count"])
 
-    return names
+    return named.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rank, "doc long, row_key int, start int, count int")
 
 
 def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, seed_bytes: int = SEED_BYTES) -> DataFrame:
@@ -116,10 +163,7 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, seed_bytes: int
     later = stage(runs.join(held.filter("n > 1").select("seed", "block", "count", "first"), ["seed", "block", "count"])
                   .filter(F.struct("doc", "start") > F.struct("first.doc", "first.start"))
                   .select("doc", "row_key", "start", "count"), "later")
-    spots = repeats.spots(texts, repeats.to_open(held), pair_names(threshold))
-    first = F.min(F.when(F.col("n") > 0, F.struct("doc", "start"))).over(repeats.by_key())
-    repeated = stage(spots.withColumn("first", first).filter((F.col("n") == 0) | (F.struct("doc", "start") > F.col("first")))
-                     .select("doc", "row_key", "start"), "repeated")
+    repeated = stage(later_of_equal(opened_names(texts, repeats.to_open(held), threshold)), "repeated")
     return stage(repeats.spans(later, repeated, threshold), "covered")
 
 
