@@ -2,21 +2,71 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logwarden.llm import cover_dedup, suffix_dedup
+from logwarden.llm import cover_dedup, packing, quality, search, secrets, simhash, suffix_dedup, tokens, toxicity, warc
 from logwarden.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+END_ID = 2
 
 
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, folder, "documents"), threshold=100).drop("kept")
 
 
+def pieces(docs: DataFrame) -> DataFrame:
+    tokenizer = tokens.json_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.cut_pieces(docs, tokenizer, END_ID, packing.LIMIT)
+
+
+def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(pieces(table(spark, folder, "documents")))
+
+
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents"))
+
+
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.groups(table(spark, folder, "documents"), size=4, bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.archive(table(spark, folder, "pages"), least=100)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "range", "place")
+
+
+def op6_top_k_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.top(table(spark, folder, "embeddings"), every=50, k=5, scale=256)
+
+
+def op7_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select(
+        "doc_id", *[secrets.count(F.col("spans"), kind).alias(f"n_{kind}") for kind in secrets.BASE],
+        F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cover_dedup.dedup(table(spark, folder, "documents"), window=35).drop("kept")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_suffix_dedup, op9_substring_dedup)}
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = tokens.ranks_tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    decoded = tokens.decode(tokens.encode(table(spark, folder, "documents"), tokenizer), tokenizer)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (
+    op1_suffix_dedup, op2_best_fit_packing, op3_quality_rules, op4_simhash, op5_warc, op6_top_k_search, op7_secret_scans,
+    op8_toxicity, op9_substring_dedup, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}

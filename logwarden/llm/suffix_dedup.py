@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logwarden.llm import arrays, repeats
-from logwarden.llm.common import keyed, stage
+from logwarden.llm.common import LOWEST, keyed, stage
 
 THRESHOLD = 100
 SEED_BYTES = 32
@@ -197,3 +197,31 @@ def remove(docs: DataFrame, covered: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Every row of ``docs`` with the bytes that are left."""
     return remove(docs, repeated_spans(docs, threshold))
+
+
+def cut_rows(docs: DataFrame, covered: DataFrame) -> DataFrame:
+    """``docs`` with the covered bytes taken out of ``text``; bytes of characters that lost some
+    of theirs go too, and ``n_chars``, where there is one, follows. Null texts stay null."""
+    names = docs.columns
+
+    def cut(batches):
+        for batch in batches:
+            left = []
+            for text, covered in zip(batch.column("c_text").cast(pa.binary()).to_pylist(), batch.column("covered").to_pylist()):
+                kept, at = [], 0
+                for start, end in repeats.merged(covered):
+                    kept.append(text[at:start])
+                    at = end
+                left.append(None if text is None else b"".join([*kept, text[at:]]).decode("utf-8", "ignore"))
+            columns = dict(zip(names, batch.columns))
+            columns["text"] = pa.array(left, pa.string())
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in left], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+    own = [F.col(f"`{c}`").alias(f"c_{c}") for c in names]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"),
+                       (F.crc32(text.cast("binary")) - F.lit(1 << 31)).cast("int").alias("row_key"))
+    kinds = ", ".join(f"`{f.name}` {'long' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema)
+    return repeats.with_spans(rows, covered).select(*[f"c_{c}" for c in names], "covered").mapInArrow(cut, kinds)
