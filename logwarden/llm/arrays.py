@@ -93,8 +93,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.
 
 
 def plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a string column in one buffer and the offsets of its rows; null is empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """Bytes of a string or binary column in one buffer and the offsets of its rows; null is empty."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     buffers = column.buffers()
     offsets = np.frombuffer(buffers[1], np.int64)[column.offset:column.offset + len(column) + 1]
     if buffers[2] is None:

@@ -28,8 +28,8 @@ MAX_REPEATED = 20  # percent of the words
 COMMON = 12
 COMMON_LETTERS = 4
 MAX_LANGUAGES = 1_000
-MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.25
-LEAST_WORDS, MAX_WORD_DISTANCE = 100, 0.45
+MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.36
+LEAST_WORDS, MAX_WORD_DISTANCE = 100, 0.26
 ALL = ""
 BLANK = "[ \\t-\\r]+"
 CLASSES = ("lower", "upper", "digit", "mark", "symbol", "rest", "blank")
@@ -148,32 +148,36 @@ def references(counted: DataFrame) -> DataFrame:
     return passing.groupBy("ref").agg(*sums, F.sum("n_words").alias("ref_words"))
 
 
-def distance(own: list[Column], reference: list[Column]) -> Column:
+def distance(own: Column, reference: Column) -> Column:
     """Jensen-Shannon distance (base 2, 0 to 1) of two histograms of counts; null if one is empty."""
-    def share(parts):
-        total = sum(parts[1:], parts[0])
-        return [F.when(total > 0, x / total) for x in parts]
+    def total(parts):
+        return F.aggregate(parts, F.lit(0.0), lambda held, x: held + x)
 
-    def part(p, m):
+    def shares(parts):
+        return let(total(parts), lambda n: F.when(n > 0, F.transform(parts, lambda x: x / n)))
+
+    def gain(p, m):
         return F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
 
-    pairs = list(zip(share(own), share(reference)))
-    terms = [part(p, (p + q) / 2) + part(q, (p + q) / 2) for p, q in pairs]
-    empty = pairs[0][0].isNull() | pairs[0][1].isNull()
-    return F.when(~empty, F.sqrt(F.greatest(F.lit(0.0), sum(terms[1:], terms[0]) / 2)))
+    terms = F.zip_with(shares(own), shares(reference), lambda p, q: gain(p, (p + q) / 2) + gain(q, (p + q) / 2))
+    return let(total(terms) / 2, lambda x: F.sqrt(F.when(x < 0, 0.0).otherwise(x)))  # rounding may go below zero
+
+
+def histograms(prefix: str, words: str) -> list[Column]:
+    """Character-class and common-word histograms as arrays of doubles."""
+    chars = F.array(*[F.col(f"{prefix}{c}").cast("double") for c in CLASSES])
+    common = [F.coalesce(F.col(f"{prefix}{k}"), F.lit(0)).cast("double") for k in range(COMMON)]
+    return [chars, F.array(*common, F.col(words) - sum(common[1:], common[0]))]
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Counts, distances and the verdict ``kept`` of every row."""
     counted = stage(features(docs, stage(common_words(docs), "common")), "features")
     joined = counted.join(F.broadcast(references(counted)), "ref", "left")
-    inside = [F.col("common")[k] for k in range(COMMON)]
-    held = [F.coalesce(F.col(f"ref_{k}"), F.lit(0)) for k in range(COMMON)]
-    others = F.col("n_words") - sum(inside[1:], inside[0])
-    chars = distance([F.col(f"classes.{c}") for c in CLASSES], [F.col(f"ref_{c}") for c in CLASSES])
-    words = distance([*inside, others], [*held, F.col("ref_words") - sum(held[1:], held[0])])
+    own = joined.select("*", *[F.col("classes")[c].alias(f"own_{c}") for c in CLASSES], *[F.col("common")[k].alias(f"own_{k}") for k in range(COMMON)])
+    chars, words = map(distance, histograms("own_", "n_words"), histograms("ref_", "ref_words"))
     size = sum([F.col(f"classes.{c}") for c in CLASSES[1:]], F.col("classes.lower"))
-    return joined.select(
+    return own.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.when(size >= MIN_CHARS, chars).alias("char_distance"), F.when(F.col("n_words") >= LEAST_WORDS, words).alias("word_distance"),
     ).withColumn("kept", ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE)
