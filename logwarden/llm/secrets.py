@@ -165,4 +165,4 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
     joined = docs.withColumn(blob, F.unhex(F.sha2(text_of().cast("binary"), 256))).join(
         known.select(F.col("blob").alias(blob), F.col("spans").alias(spans)).hint("shuffle_hash"), blob, "left")
     clean = F.when(F.col(spans).isNull(), text).otherwise(whole)
-    return joined.withColumn("text", clean).select(*docs.columns)
+    return joined.withColumn("text", clean).select(*[F.col(f"`{c}`") for c in docs.columns])

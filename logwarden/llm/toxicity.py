@@ -5,7 +5,8 @@ Three parts are learned:
 * a character trigram model from the whole corpus (counts of every batch, summed by Spark),
 * a lexicon of words and word beginnings that toxic documents hold much more often, with their
   log odds, from at most TRAIN_ROWS labelled rows outside the held-out quarter (a bounded sample
-  by hash order) and at most LEXICON entries,
+  by hash order) and at most LEXICON entries; the clearest first, others only where they explain
+  toxic documents that hold none of those,
 * the chance that a document without any of them is toxic.
 
 A word that looks disguised (a digit or sign inside or before letters, a letter three times in a
@@ -36,7 +37,7 @@ LEXICON = 4_096
 HELD_OUT = 2  # remainder of crc32(id) modulo 4
 THRESHOLD = 0.3
 BEGINNINGS = (4, 5)  # letters of word beginnings that are features beside whole words
-LEAST_DOCS, LEAST_ODDS = 3, 1.5
+LEAST_DOCS, LEAST_ODDS = 3, (5.0, 3.5, 1.5)  # lower bounds of log odds, round by round
 MOST_LOGIT = 12.0
 LONGEST = 40  # characters of a word that is decoded; longer ones stand as they are
 REMEMBERED = 200_000
@@ -70,7 +71,8 @@ class Model:
     """What the tasks need; its size is bounded by LEXICON and the trigram alphabet."""
 
     weights: dict[str, float]
-    plain_logit: float
+    plain_logit: float  # of texts without any feature
+    prior: float  # of texts with some, before their weights
     trigrams: np.ndarray  # log chances, by the two characters before
 
     def logit(self, word: str) -> tuple[str, float] | None:
@@ -171,12 +173,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     sizes = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     bad, good = sizes["toxic"], sizes["n"] - sizes["toxic"]
+    prior = math.log((bad + 0.5) / (good + 0.5))
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (good + 1))
     doubt = 1.96 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("n") - F.col("toxic") + 0.5))
-    strong = (sample.mapInArrow(count, "feature string, toxic long, n long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-              .filter(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).filter(F.col("odds") - doubt >= LEAST_ODDS)
-              .orderBy(F.desc(F.col("odds") * F.col("toxic")), "feature").limit(LEXICON).collect())
-    weights = {row["feature"]: float(row["odds"]) for row in strong}
+    weights: dict[str, float] = {}
+    flat = np.zeros((SIZE, SIZE, SIZE))
+    for least in LEAST_ODDS:
+        # clean texts, and toxic ones that nothing explains yet: chance companions of clear words stay out
+        left = scored(sample, Model(weights, 0.0, prior, flat)).filter("hits = 0 or toxic = 0").select("text", "toxic")
+        strong = (left.mapInArrow(count, "feature string, toxic long, n long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+                  .filter(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).filter(F.col("odds") - doubt >= least)
+                  .orderBy(F.desc(F.col("odds") * F.col("toxic")), "feature").limit(LEXICON - len(weights)).collect())
+        weights |= {row["feature"]: float(row["odds"]) for row in strong}
 
     corpus = corpus_trigrams(docs)
     own = np.zeros((SIZE, SIZE, SIZE))
@@ -187,12 +195,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 own[a, b, c] += weight
     def chances(counts, k):
         return (counts + k) / (counts + k).sum(axis=2, keepdims=True)
-    model = Model(weights, 0.0, np.log(0.5 * chances(corpus, 1.0) + 0.5 * chances(own, 0.01)))
+    model = Model(weights, 0.0, prior, np.log(0.5 * chances(corpus, 1.0) + 0.5 * chances(own, 0.01)))
 
     # what is left without any feature
     plain_rows = scored(sample, model).filter("hits = 0").agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     chance = (plain_rows["toxic"] + 0.02) / (plain_rows["n"] + 1.0) if bad else 1e-9
-    prior = math.log((bad + 0.5) / (good + 0.5))
     return dataclasses.replace(model, plain_logit=min(math.log(chance / (1 - chance)), prior))
 
 
@@ -226,7 +233,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 pairs = {(r, found[i]) for r, i in zip(row.tolist(), index[at].tolist())}
                 pairs |= {(r, hit) for r, word in spelled if (hit := look_up(word, model))}
                 for r, (_, weight) in pairs:
-                    logits[r] += weight
+                    logits[r] = (logits[r] if hits[r] else model.prior) + weight
                     hits[r] += 1
             score = 1 / (1 + np.exp(-np.clip(logits, -30, MOST_LOGIT)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(hits)], [*names, "score", "hits"])

@@ -148,7 +148,7 @@ def test_loser_tree():
 def test_search(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(size=6).tolist()) for k in range(300)] + [(400 + k, [0.5] * 6) for k in range(60)]
-    rows += [(None, [1.0] * 6), (500, None), (501, [1.0, None, 0, 0, 0, 0]), (502, [float("nan")] * 6), (550, [float("inf")] * 6), (600, [0.25] * 6),
+    rows += [(None, [1.0] * 6), (500, None), (501, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (502, [float("nan")] * 6), (550, [float("inf")] * 6), (600, [0.25] * 6),
              (600, [0.25] * 6), (601, [3.0, 1.0])]
     monkeypatch.setattr(search, "LEAF_ROWS", 32)
     monkeypatch.setattr(search, "PART_LEAVES", 3)
