@@ -1,18 +1,21 @@
 """Byte-level BPE over Arrow batches with the tokenizers library.
 
-A batch is one buffer of bytes. It is cut where a single space stands between two characters
-that are no white space: there the split pattern always begins a new match, so the ids of a text
-are the ids of its parts in order. Equal parts are found by Arrow's dictionary encoding and each
-is encoded once (a bounded memory of parts serves later batches); many parts go through the
-library as one text and are told apart by the offsets it returns.
+A batch is one buffer of bytes. It is cut where the split pattern always begins a new match: at a
+single space between two characters that are no white space, and between a letter and an ASCII
+mark. So the ids of a text are the ids of its parts in order. Equal parts are found by Arrow's
+dictionary encoding and each is encoded once; a bounded memory of parts serves later batches.
 
-Byte-level tokens write each byte as one printable character; decoding reverses that table, so a
-character that was split over tokens comes back whole when its tokens stand together.
+A part that is one match (letters or marks, with one space before at most) is written in the
+printable characters of its bytes and given to the library's BPE model; any other part goes
+through the whole tokenizer. Decoding reverses the byte table, so a character that was split over
+tokens comes back whole when its tokens stand together. Offsets are bytes of the text: tokens
+follow each other without gaps.
 
 Cases: null and empty texts have no ids; special-token strings are ordinary text; repeated rows
 are rows of their own; extra columns are ignored; an empty table gives no rows.
 """
 
+import array
 import base64
 import functools
 import json
@@ -27,9 +30,9 @@ from pyspark.sql import functions as F
 
 from logwarden.llm import arrays
 
-REMEMBERED = 300_000  # parts kept by a task for later batches
-LONG_PART = 256  # longer parts are not kept
-JOINED = 2_000  # parts encoded as one text
+REMEMBERED, REMEMBERED_IDS = 700_000, 7_000_000  # parts and their ids kept by a task for later batches
+PIECE_BYTES = 1 << 23
+MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
 def byte_table() -> list[str]:
@@ -94,6 +97,11 @@ def ranks_tokenizer(path: str, pattern: str) -> Callable[[], tokenizers.Tokenize
     return functools.partial(_ranks_tokenizer, path, pattern)
 
 
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[b for b in range(128) if chr(b).isalpha()]] = True
+_MARK[[ord(c) for c in MARKS if c != "'"]] = True
+
+
 def parts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Offsets at which the texts may be cut without changing their ids (ends included)."""
     n = len(data)
@@ -107,6 +115,9 @@ def parts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         ended[1:] |= odd[:-1]
         ended[2:] |= lead[:-2] & (data[:-2] != 0xC2) & (data[1:-1] >= 0x80)
         cut[1:n - 1] = (data[1:-1] == 32) & ~control[:-2] & ~ended[:-2] & ~control[2:] & ~lead[2:]
+        letter = _LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # À to ÿ without × and ÷
+        cut[1:n] |= letter[:-1] & _MARK[data[1:]]
     cut[offsets] = True
     return np.flatnonzero(cut)
 
@@ -115,38 +126,34 @@ class Encoder:
     """Ids of parts, kept between the batches of a task."""
 
     def __init__(self, tokenizer: tokenizers.Tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
-
-    def _alone(self, part: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, np.uint32)
-
-    def _together(self, some: list[bytes]) -> list[np.ndarray]:
-        texts = [part.decode() for part in some]
-        ends = np.cumsum([len(t) for t in texts])
-        found = self.tokenizer.encode("".join(texts), add_special_tokens=False)
-        ids = np.array(found.ids, np.uint32)
-        at = np.array([o[0] for o in found.offsets], np.int64)
-        return np.split(ids, np.searchsorted(at, ends[:-1], "left"))
-
-    def parts(self, some: list[bytes]) -> list[np.ndarray]:
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.shown = str.maketrans({chr(b): c for b, c in enumerate(byte_table())})
+        self.known: dict[bytes, int] = {}
+        self.ids, self.ends = array.array("I"), array.array("q", [0])
+
+    def _encode(self, part: bytes) -> list[int]:
+        text = part.decode()
+        match = text[1:] if text[:1] == " " else text
+        if match.isalpha() or (match and MARKS.issuperset(match)):
+            return [token.id for token in self.model.tokenize(part.decode("latin-1").translate(self.shown))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def parts(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All kept ids, and where those of each part begin and end."""
         known = self.known
-        out = [known.get(part) for part in some]
-        missing = [i for i, ids in enumerate(out) if ids is None]
-        # parts that begin with their space and hold no other white space can stand in a row
-        joined = [i for i in missing if len(some[i]) > 1 and some[i][0] == 32 and some[i].count(b" ") == 1
-                  and not any(b <= 31 for b in some[i]) and b"\xc2" not in some[i] and not any(0xE1 <= b <= 0xE3 for b in some[i])]
-        for at in range(0, len(joined), JOINED):
-            group = joined[at:at + JOINED]
-            for i, ids in zip(group, self._together([some[i] for i in group])):
-                out[i] = ids
-        if len(known) + len(missing) > REMEMBERED:
+        if len(known) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
             known.clear()
-        for i in missing:
-            if out[i] is None:
-                out[i] = self._alone(some[i])
-            if len(some[i]) <= LONG_PART and len(known) < REMEMBERED:
-                known[some[i]] = out[i]
-        return out
+            self.ids, self.ends = array.array("I"), array.array("q", [0])
+        index = []
+        for part in some:
+            k = known.get(part)
+            if k is None:
+                k = known[part] = len(self.ends) - 1
+                self.ids.extend(self._encode(part))
+                self.ends.append(len(self.ids))
+            index.append(k)
+        at, ends = np.array(index, np.int64), np.array(self.ends)
+        return np.array(self.ids, np.uint32), ends[at], ends[at + 1]
 
     def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a text column in order, and the offsets of its rows."""
@@ -154,14 +161,11 @@ class Encoder:
         cuts = parts(data, offsets)
         if len(data) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        pieces = pa.Array.from_buffers(
-            pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-        coded = pieces.dictionary_encode()
-        found = self.parts(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat, first = np.concatenate(found), np.cumsum(size) - size
+        coded = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [
+            None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        flat, first, end = self.parts(coded.dictionary.to_pylist())
         index = np.asarray(coded.indices)
-        many = size[index]
+        many = (end - first)[index]
         total = np.cumsum(many)
         ids = flat[np.repeat(first[index] - (total - many), many) + np.arange(total[-1])]
         return ids, np.append(0, total)[np.searchsorted(cuts, offsets)]
@@ -173,7 +177,7 @@ def encode(docs: DataFrame, tokenizer: Callable[[], tokenizers.Tokenizer], with_
     def every(batches):
         encoder = Encoder(tokenizer())
         lengths = Decoder(encoder.tokenizer).size if with_offsets else None
-        for batch in arrays.pieces(batches):
+        for batch in arrays.pieces(batches, limit=PIECE_BYTES):
             ids, rows = encoder.batch(batch.column("text"))
             columns = [batch.column("doc_id"), pa.array(np.diff(rows)), arrays.packed(ids.astype("<u4"), rows)]
             if with_offsets:
@@ -232,7 +236,7 @@ def cut_pieces(docs: DataFrame, tokenizer: Callable[[], tokenizers.Tokenizer], e
     from the end, so only the first piece may be shorter. ``ids_crc32`` names the ids of a piece."""
     def every(batches):
         encoder = Encoder(tokenizer())
-        for batch in arrays.pieces(batches):
+        for batch in arrays.pieces(batches, limit=PIECE_BYTES):
             ids, rows = encoder.batch(batch.column("text"))
             number = np.diff(rows) + 1
             held = np.full(len(ids) + len(number), end_id, "<u4")
