@@ -25,8 +25,11 @@ def tidy_lines(logs: DataFrame) -> DataFrame:
     return logs.withColumn("raw", text.drop_ansi(text.truncate(F.col("raw"))))
 
 
-def clean(logs: DataFrame, limited: bool = True) -> DataFrame:
-    """Strip, drop empty, admit, cut, remove colours: in this order."""
+def clean(logs: DataFrame, limited: bool = False) -> DataFrame:
+    """Strip, drop empty, admit, cut, remove colours: in this order.
+
+    ``limited`` needs landed lines: the limit reads them several times, and their times decide.
+    """
     lines = strip_lines(logs)
     return tidy_lines(rate_limit(lines) if limited else lines)
 

@@ -8,7 +8,7 @@ from logwarden.functions.clock import MICROS, micros
 from logwarden.functions.net import lookup_key
 from logwarden.operators import correlate, rules as catalogue
 from logwarden.operators.rules import BUILT_IN, FollowUp, Rule, WindowCount
-from logwarden.staging import BROADCAST_ROWS, stage
+from logwarden.staging import stage
 
 REFERENCE, DOCUMENTED = "reference", "documented"
 RULE_SLOTS = 1000  # alert_id = event_id * RULE_SLOTS + position of the rule
@@ -60,6 +60,17 @@ def _counter_hits(matches: DataFrame, feeds: dict[str, tuple[str, int]]) -> Data
     )
 
 
+def hidden_feeders(rules: tuple[Rule, ...], followups: list[Rule]) -> dict[str, Rule]:
+    """Tag -> built-in rule whose match feeds a counter that follow-up rules read, for counters
+    that no rule of the set counts (say because it is switched off)."""
+    counted = {r.threshold.counter for r in rules if isinstance(r.threshold, WindowCount)}
+    return {
+        f"counter:{counter}": next(
+            r for r in BUILT_IN if isinstance(r.threshold, WindowCount) and r.threshold.counter == counter)
+        for counter in {r.threshold.counter for r in followups} - counted
+    }
+
+
 def fire(
     events: DataFrame,
     rules: tuple[Rule, ...] = BUILT_IN,
@@ -163,29 +174,11 @@ def detect(
     return describe(fire(events, rules, mode, only, staged), rules)
 
 
-def flag_events(events: DataFrame, alerts: DataFrame, rules: tuple[Rule, ...] = BUILT_IN) -> DataFrame:
-    """Events with ``has_alert`` (1/0); ``alerts`` should be a written table.
+def flag_events(events: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Events with ``has_alert`` (1/0): whether ``alerts`` holds one of the event.
 
-    Few alerted events: one pass with a broadcast of their ids.  Otherwise a match without a
-    threshold settles an event in place, and only events that depend on a count alone are
-    joined with the alerts, so most raw text is never shuffled.
+    The alerted ids are one narrow row for each event; whether they are broadcast or shuffled is
+    left to their size at run time.
     """
-    def any_of(chosen: list[Rule]) -> Column:
-        test = F.lit(False)
-        for rule in chosen:
-            test = test | F.coalesce(rule.match(), F.lit(False))
-        return test
-
-    def flagged(rows: DataFrame) -> DataFrame:
-        return rows.join(alerted, "event_id", "left").withColumn(
-            "has_alert", F.coalesce("has_alert", F.lit(0))
-        )
-
     alerted = alerts.select("event_id").distinct().withColumn("has_alert", F.lit(1))
-    if alerts.count() <= BROADCAST_ROWS:
-        alerted = F.broadcast(alerted)
-        return flagged(events)
-    certain = any_of([r for r in rules if r.threshold is None])
-    depends = any_of([r for r in rules if r.threshold is not None]) & ~certain
-    settled = events.filter(~depends).withColumn("has_alert", certain.cast("int"))
-    return settled.unionByName(flagged(events.filter(depends)))
+    return events.join(alerted, "event_id", "left").withColumn("has_alert", F.coalesce("has_alert", F.lit(0)))

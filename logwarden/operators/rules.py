@@ -142,14 +142,25 @@ def with_rule(rule: Rule, rules: tuple[Rule, ...] = BUILT_IN) -> tuple[Rule, ...
     return (*rules, rule)
 
 
+def last_edits(overrides: DataFrame) -> DataFrame:
+    """One edit of each rule: the one with the largest ``edited_at``, where there is such a column.
+
+    Edits level in time, or without one, are ordered by their values, so the choice is the same
+    in every run.
+    """
+    values = [c for c in ("enabled", "name", "description", "severity") if c in overrides.columns]
+    order = F.struct(*[c for c in ("edited_at",) if c in overrides.columns], *values)
+    return overrides.groupBy("id").agg(F.max_by(F.struct(*values), order).alias("edit")).select("id", "edit.*")
+
+
 def with_overrides(overrides: DataFrame | list, rules: tuple[Rule, ...] = BUILT_IN) -> tuple[Rule, ...]:
     """Apply switched-off and edited rules, so that they reach detection.
 
-    Only override rows of known rules are fetched: at most one small row per rule.
+    Only the last edit of known rules is fetched: at most one small row per rule.  Of a list the
+    last entry of a rule counts.
     """
     if isinstance(overrides, DataFrame):
-        known = overrides.filter(F.col("id").isin([r.id for r in rules]))
-        overrides = known.dropDuplicates(["id"]).collect()
+        overrides = last_edits(overrides.filter(F.col("id").isin([r.id for r in rules]))).collect()
     edits = {o["id"]: o for o in overrides}
     kept = []
     for rule in rules:
@@ -186,7 +197,7 @@ def search(rules: DataFrame, category: str = "all", words: str = "") -> DataFram
 
 def catalogue_counts(rules: DataFrame, overrides: DataFrame) -> DataFrame:
     """Rules in total, switched on, CRITICAL and HIGH."""
-    off = overrides.filter(~F.col("enabled")).select("id").distinct().withColumn("off", F.lit(True))
+    off = last_edits(overrides).filter(~F.col("enabled")).select("id").withColumn("off", F.lit(True))
     return rules.join(off, "id", "left").agg(
         F.count("*").alias("total"),
         F.count_if(F.col("off").isNull()).alias("active"),
@@ -197,6 +208,7 @@ def catalogue_counts(rules: DataFrame, overrides: DataFrame) -> DataFrame:
 
 def edited_catalogue(rules: DataFrame, overrides: DataFrame) -> DataFrame:
     """Catalogue as edited: switched-off rules left out, edited texts in place."""
+    overrides = last_edits(overrides)
     off = overrides.filter(~F.col("enabled")).select("id")
     edits = overrides.select("id", *[F.col(c).alias(f"new_{c}") for c in ("name", "description", "severity")])
     texts = {c: F.coalesce(f"new_{c}", c) for c in ("name", "description", "severity")}

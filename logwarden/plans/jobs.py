@@ -10,7 +10,7 @@ from logwarden.operators.enrich import add_geo, unlocated
 from logwarden.operators.parse import parse
 from logwarden.operators.rules import BUILT_IN
 from logwarden.sources import store
-from logwarden.sources.logs import submitted
+from logwarden.sources.logs import land, next_event_id, submitted
 from logwarden.staging import stage
 
 
@@ -21,14 +21,21 @@ def located(alerts: DataFrame, ranges: DataFrame | None) -> DataFrame:
 
 def run_batch(
     logs: DataFrame, events_path: str, alerts_path: str, ranges: DataFrame | None = None,
-    rules=BUILT_IN, mode: str = REFERENCE, limited: bool = True,
+    rules=BUILT_IN, mode: str = REFERENCE, limited: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Clean, parse, detect and store; returns the two stored tables."""
+    """Clean, parse, detect and store; returns the two stored tables.
+
+    The lines are landed first, so their arrival time and id are fixed before anything reads them
+    twice, and ids go on after those stored.  Parsed events are written once; detection and
+    flagging read columns.  ``limited`` applies the admission limit, which belongs to lines that
+    arrive over time: the lines of a file read at once all have one arrival time.
+    """
     spark: SparkSession = logs.sparkSession
-    events = parse(clean(logs, limited))
+    landed = land(logs, next_event_id(store.read_events(spark, events_path)))
+    events = stage(parse(clean(landed, limited)), "parsed")
     alerts = stage(located(detect(events, rules, mode), ranges), "alerts")
     store.append_alerts(alerts, alerts_path)
-    store.append_events(flag_events(events, alerts, rules), events_path)
+    store.append_events(flag_events(events, alerts), events_path)
     return store.read_events(spark, events_path), store.read_alerts(spark, alerts_path)
 
 

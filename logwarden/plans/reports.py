@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from logwarden import fixed_values as fixed
 from logwarden.functions import text
 from logwarden.functions.clock import hour_label
-from logwarden.staging import BROADCAST_ROWS
 
 
 def newest(rows: DataFrame, key: str, limit: int) -> DataFrame:
@@ -44,33 +43,29 @@ def recent_alerts(
     return newest(alerts, "alert_id", limit)
 
 
-def overview_alerts(alerts: DataFrame) -> DataFrame:
-    return newest(alerts, "alert_id", fixed.OVERVIEW_ALERTS).select(
+def overview_alerts(alerts: DataFrame, rows: int = fixed.OVERVIEW_ALERTS) -> DataFrame:
+    return newest(alerts, "alert_id", rows).select(
         "alert_id", text.display_time(F.col("ts")).alias("time"), "rule_name", "severity", "event_id"
     )
 
 
-def page_of_alerts(alerts: DataFrame, severity: str) -> DataFrame:
+def page_of_alerts(alerts: DataFrame, severity: str, rows: int = fixed.PAGE_ROWS) -> DataFrame:
     """The newest page, and of it the rows of one severity."""
-    return newest(alerts, "alert_id", fixed.PAGE_ROWS).filter(F.col("severity") == severity)
+    return newest(alerts, "alert_id", rows).filter(F.col("severity") == severity)
 
 
-def page_of_events(events: DataFrame, category: str) -> DataFrame:
-    return newest(events, "event_id", fixed.PAGE_ROWS).filter(F.col("category") == category)
+def page_of_events(events: DataFrame, category: str, rows: int = fixed.PAGE_ROWS) -> DataFrame:
+    return newest(events, "event_id", rows).filter(F.col("category") == category)
 
 
 def alert_details(alerts: DataFrame, events: DataFrame) -> DataFrame:
     """Alerts with the event that caused them; both should be stored tables.
 
-    If the alerted ids are few they pick their events before anything is shuffled; otherwise
-    both sides are shuffled by the event id, which is even.  A shared day column prunes days.
+    Both sides are joined by the event id, which is even, and by a shared day column, which
+    prunes days.
     """
     keys = [c for c in ("event_id", "dt") if c in alerts.columns and c in events.columns]
-    alerted = alerts.select("event_id").distinct()
-    cause = events.select(*keys, "source", "category", "raw")
-    if alerts.count() <= BROADCAST_ROWS:
-        cause = cause.join(F.broadcast(alerted), "event_id", "left_semi")
-    return alerts.join(cause, keys)
+    return alerts.join(events.select(*keys, "source", "category", "raw"), keys)
 
 
 def totals(events: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -101,28 +96,33 @@ def events_by_hour(events: DataFrame, now: datetime | Column, whole_day: bool =
     return recent.groupBy(hour_label(F.col("ts")).alias("hour")).agg(F.count("*").alias("n")).orderBy("hour")
 
 
-def top_addresses(events: DataFrame, alerted_only: bool = False) -> DataFrame:
+def _first(rows: DataFrame, limit: int) -> DataFrame:
+    """The first rows of an ordered report; a negative limit gives all."""
+    return rows if limit < 0 else rows.limit(limit)
+
+
+def top_addresses(events: DataFrame, alerted_only: bool = False, limit: int = fixed.TOP_ADDRESSES) -> DataFrame:
     """Most frequent source addresses of all events, or only of events with an alert."""
     if alerted_only:
         events = events.filter(F.col("has_alert") == 1)
-    return (
-        events.filter(F.col("src_ip").isNotNull())
-        .groupBy(F.col("src_ip").alias("ip")).agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "ip").limit(fixed.TOP_ADDRESSES)
-    )
+    counts = events.filter(F.col("src_ip").isNotNull()).groupBy(F.col("src_ip").alias("ip")).agg(F.count("*").alias("n"))
+    return _first(counts.orderBy(F.desc("n"), "ip"), limit)
 
 
-def rule_stats(alerts: DataFrame) -> DataFrame:
-    """Firing counts of the most active rules, with the newest name and severity."""
-    return (
+def rule_stats(alerts: DataFrame, limit: int = fixed.TOP_RULES) -> DataFrame:
+    """Firing counts of the most active rules, with the newest name and severity.
+
+    KPIs over every fired rule take ``limit=-1``.
+    """
+    counts = (
         alerts.groupBy("rule_id")
         .agg(
             F.max_by("rule_name", "alert_id").alias("rule_name"),
             F.max_by("severity", "alert_id").alias("severity"),
             F.count("*").alias("firing_count"),
         )
-        .orderBy(F.desc("firing_count"), "rule_id").limit(fixed.TOP_RULES)
     )
+    return _first(counts.orderBy(F.desc("firing_count"), "rule_id"), limit)
 
 
 def rule_kpis(stats: DataFrame, rules: DataFrame) -> DataFrame:

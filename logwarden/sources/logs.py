@@ -3,11 +3,13 @@
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logwarden import fixed_values as fixed
 from logwarden.functions import text
 from logwarden.functions.clock import utc_now
+from logwarden.staging import stage
 
 
 def _as_logs(lines: DataFrame, source: Column, ts: Column | None) -> DataFrame:
@@ -32,6 +34,28 @@ def number_rows(lines: DataFrame) -> DataFrame:
     return lines.select(F.monotonically_increasing_id().alias("event_id"), "*")
 
 
+def land(lines: DataFrame, first_id: int = 0) -> DataFrame:
+    """Write the lines once with their arrival time and a dense ``event_id`` from ``first_id``.
+
+    All later steps read this table, so times and ids stay as they are however often it is read.
+    Ids rise within an input split and from split to split; a run that appends to a table starts
+    at ``next_event_id``, so ids stay unique over runs and small enough for alert ids.
+    """
+    split, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    kept = [c for c in lines.columns if c != "event_id"]
+    written = stage(lines.select(split.alias("_split"), place.alias("_place"), *kept), "landed")
+    sizes = written.groupBy("_split").agg((F.max("_place") + 1).alias("n"))  # one row for each input split
+    before = sizes.select("_split", (F.sum("n").over(W.orderBy("_split")) - F.col("n")).alias("_before"))
+    numbered = written.join(before, "_split").select((F.col("_before") + F.col("_place") + first_id).alias("event_id"), *kept)
+    return stage(numbered, "numbered")
+
+
+def next_event_id(events: DataFrame) -> int:
+    """First id after those of a stored events table."""
+    newest = events.agg(F.max("event_id")).first()[0]
+    return 0 if newest is None else newest + 1
+
+
 def read_lines(spark: SparkSession, path: str, source: str, ts: Column | None = None) -> DataFrame:
     """Lines of text files; invalid UTF-8 becomes U+FFFD, time is the arrival time."""
     return _as_logs(spark.read.text(path), F.lit(source), ts)

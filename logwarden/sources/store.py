@@ -1,16 +1,22 @@
 """Event and alert tables, additive schemas and snapshots."""
 
+import re
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, IntegerType, StringType, StructField, StructType
 
 from logwarden import fixed_values as fixed
 from logwarden import schema
 from logwarden.operators.parse import fields_json
 
 STAMP = "%Y%m%d-%H%M%S"
+STORED_EVENTS = StructType([
+    *[f for f in schema.EVENTS.fields if f.name != "has_alert"], StructField("fields", StringType()), StructField("has_alert", IntegerType()),
+    StructField("source_lc", StringType()), StructField("dt", DateType()),
+])
+STORED_ALERTS = StructType([*schema.ALERTS.fields, StructField("dt", DateType())])
 
 
 def with_layout(df: DataFrame, layout: StructType) -> DataFrame:
@@ -31,11 +37,12 @@ def event_rows(events: DataFrame) -> DataFrame:
     })
 
 
-def append_events(events: DataFrame, path: str, mode: str = "append", compact: bool = False) -> None:
+def append_events(events: DataFrame, path: str, mode: str = "append", compact: bool = True) -> None:
     """Append to the table partitioned by day and category.
 
     ``compact`` shuffles once so that a partition gets few large files; a day or category
-    holding most rows is split over many of them.
+    holding most rows is split over many of them.  Without it every task writes a file for
+    each day and category it meets.
     """
     rows = event_rows(events)
     if compact:
@@ -49,14 +56,24 @@ def append_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
     ).partitionBy("dt").parquet(path)
 
 
+def _read(spark: SparkSession, path: str, layout: StructType) -> DataFrame:
+    """A stored table by its layout: no footer is read to find columns, those a file lacks are null.
+
+    A table without any row yet has no file; it reads as empty.
+    """
+    files, target = _folder(spark, path)
+    if not files.exists(target):
+        return spark.createDataFrame([], layout)
+    return spark.read.schema(layout).parquet(path).select(*layout.names)
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    return _read(spark, path, STORED_EVENTS)
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """Alerts of any age: files written before a column existed give null."""
-    stored = spark.read.option("mergeSchema", "true").parquet(path)
-    return with_layout(stored.drop("dt"), schema.ALERTS)
+    """Alerts of any age with their day ``dt``, which prunes folders."""
+    return _read(spark, path, STORED_ALERTS)
 
 
 def _folder(spark: SparkSession, path: str):
@@ -70,7 +87,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def _copy(spark: SparkSession, source: str, target: str, partitions: list[str], mode: str) -> None:
-    writer = spark.read.parquet(source).write.mode(mode)
+    """Copy a table with every column that any of its files has."""
+    writer = spark.read.option("mergeSchema", "true").parquet(source).write.mode(mode)
     (writer.partitionBy(*partitions) if partitions else writer).parquet(target)
 
 
@@ -95,8 +113,9 @@ def list_snapshots(spark: SparkSession, folder: str, name: str = "snapshot") ->
     found = []
     for status in files.listStatus(target):
         base = status.getPath().getName()
-        if base.startswith(f"{name}-"):
-            taken = datetime.strptime(base[len(name) + 1:], STAMP).replace(tzinfo=timezone.utc)
+        stamp = base[len(name) + 1:] if base.startswith(f"{name}-") else ""
+        if re.fullmatch(r"\d{8}-\d{6}", stamp):  # other names, say of tables saved before a restore, are not snapshots
+            taken = datetime.strptime(stamp, STAMP).replace(tzinfo=timezone.utc)
             found.append((taken, f"{folder}/{base}"))
     return sorted(found)
 

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logwarden import fixed_values as fixed
 from logwarden.functions.clock import MICROS, micros
-from logwarden.operators.detect import REFERENCE, smallest_counts
+from logwarden.operators.detect import REFERENCE, hidden_feeders, smallest_counts
 from logwarden.operators.rules import FollowUp, Rule, WindowCount
 
 
@@ -89,6 +89,11 @@ class Correlation(_Timed):
             for rule_id, least in members.items():
                 self.counts[rule_id] = (counter, least)
             self.length[counter] = max(members.values())
+        self.feeds = {}
+        for tag, feeder in hidden_feeders(rules, [r for r in rules if isinstance(r.threshold, FollowUp)]).items():
+            self.feeds[tag] = feeder.threshold.counter
+            self.length[feeder.threshold.counter] = 0
+            self.width[feeder.threshold.counter] = feeder.threshold.seconds * MICROS
         for rule in rules:
             if isinstance(rule.threshold, WindowCount):
                 self.width[rule.threshold.counter] = rule.threshold.seconds * MICROS
@@ -110,9 +115,12 @@ class Correlation(_Timed):
         tags = pdf["rule_id"].tolist()
         for (us, _), places in events.items():
             matched = {tags[p]: p for p in places}
-            for counter in {self.counts[tag][0] for tag in matched if tag in self.counts}:
+            counted = {self.counts[tag][0] for tag in matched if tag in self.counts}
+            for counter in counted | {self.feeds[tag] for tag in matched if tag in self.feeds}:
                 insort(times[counter], us)
             for tag, place in matched.items():
+                if tag in self.feeds:
+                    continue
                 counter, least = self.counts[tag] if tag in self.counts else self.after[tag][:2]
                 seen = times[counter]
                 so_far = bisect_right(seen, us)
@@ -149,6 +157,7 @@ def correlated(
 ) -> DataFrame:
     """Streaming counterpart of the batch correlation, on the output of ``match_rules``."""
     counting = [r.id for r in rules if r.threshold is not None]
+    counting += hidden_feeders(rules, [r for r in rules if isinstance(r.threshold, FollowUp)])
     timed = matches.filter(F.col("rule_id").isin(counting)).withColumns({
         "key": F.coalesce("source_ip", F.lit(fixed.UNKNOWN_KEY)),
         "us": micros(F.col("ts")), "_at": F.timestamp_micros(micros(F.col("ts"))),

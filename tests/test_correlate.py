@@ -92,7 +92,7 @@ def test_slow_guessing_differs_by_mode(spark):
 def test_sql_injection_sequence(make_logs):
     web = '5.5.5.5 - - [x] "GET {} HTTP/1.1" 404 1'
     payloads = ["/search?id=1%20UNION%20SELECT%201", "/search?id=1%27+OR+%271%27%3D%271", "/products/1%27",
-                "/search?id=1' OR '1'='1", "/api/users?filter=1%20OR%20SLEEP(5)--"]
+                "/search?id=1' OR '1'='1", "/items?f=7%20OR%20SLEEP(3)--"]
     found = detect(parse(make_logs([(n, "flask", web.format(p)) for n, p in enumerate(payloads)])))
     assert {(r.event_id, r.rule_id) for r in found.collect()} == {(0, "WEB-003"), (4, "WEB-003")}
 

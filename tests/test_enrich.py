@@ -52,7 +52,7 @@ def test_notification(spark):
     import datetime as dt
     at = dt.datetime(2026, 4, 27, 15, 0, 0)
     rows = [
-        (1, at, "WEB-003", "SQL Injection Attempt", "found", "HIGH", "T1190", "45.33.32.156", ("United States", "California", "Fremont", "Linode", None)),
+        (1, at, "WEB-003", "SQL Injection Attempt", "found", "HIGH", "T1190", "198.51.100.23", ("United States", "California", "Fremont", "Linode", None)),
         (2, at, "SYS-002", "Segmentation Fault", "crash", "LOW", None, None, None),
         (3, at, "X", None, None, "ODD", None, "", ("Internal", None, "Private Network", "N/A", None)),
     ]
@@ -60,7 +60,7 @@ def test_notification(spark):
     assert [r.alert_id for r in outbox(alerts).collect()] == [1]
     sent = {r.alert_id: json.loads(r.payload)["embeds"][0] for r in alerts.select("alert_id", severity.notification("B").alias("payload")).collect()}
     assert sent[1]["title"] == "🟠 SIEM Alert — SQL Injection Attempt"
-    assert [f["value"] for f in sent[1]["fields"]] == ["`WEB-003`", "🟠 HIGH", "`T1190`", "`45.33.32.156`", "Fremont, California, United States", "Linode"]
+    assert [f["value"] for f in sent[1]["fields"]] == ["`WEB-003`", "🟠 HIGH", "`T1190`", "`198.51.100.23`", "Fremont, California, United States", "Linode"]
     assert sent[1]["footer"]["text"] == "B • 2026-04-27T15:00:00.000000+00:00" and sent[1]["color"] == 0xFF6600
     assert [f["value"] for f in sent[2]["fields"]] == ["`SYS-002`", "🟢 LOW", "`N/A`", "`Unknown`", "Unknown", "Unknown"]
     assert sent[3]["color"] == 0x888888 and sent[3]["title"] == "⚪ SIEM Alert — Unknown"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from logwarden.operators.detect import detect, flag_events
 from logwarden.operators.enrich import unlocated
 from logwarden.operators.parse import parse
-from logwarden.operators import detect as detecting
+from logwarden.plans import reports
 from logwarden.plans.jobs import run_batch, submit
 from logwarden.sources import fastlog, logs, store
 
@@ -37,11 +37,11 @@ def test_submit(spark, make_logs):
 
 def test_fastlog(spark):
     lines = ["05/03/2026-14:53:26.404682  [**] [1:5003:1] TCP SYN Scan - SYN Flag [**] [Classification: Attempted Information Leak] "
-             "[Priority: 2] {TCP} 192.168.65.1:62275 -> 192.168.65.7:2376", "garbage"]
+             "[Priority: 2] {TCP} 192.168.7.1:40001 -> 192.168.7.9:8443", "garbage"]
     df = spark.createDataFrame([(x,) for x in lines], "raw string")
     row = fastlog.parse_fastlog(df).collect()
     assert len(row) == 1 and (row[0].sid, row[0].rev, row[0].msg, row[0].priority, row[0].proto) == (5003, 1, "TCP SYN Scan - SYN Flag", 2, "TCP")
-    assert row[0].seen_at == dt.datetime(2026, 5, 3, 14, 53, 26, 404682) and row[0].dest == "192.168.65.7:2376"
+    assert row[0].seen_at == dt.datetime(2026, 5, 3, 14, 53, 26, 404682) and row[0].dest == "192.168.7.9:8443"
     assert fastlog.with_word(df, "scan").count() == 1
 
 
@@ -56,17 +56,32 @@ def test_batch_job_writes_both_tables(spark, make_logs, tmp_path):
     assert {r.rule_id for r in alerts.collect()} == {"AUTH-001", "SYS-002", "WEB-001"}
     assert events.filter("event_id = 8").first().source_lc == "apache"
     assert alerts.filter("rule_id = 'WEB-001'").first().geo.country == "Internal"
-    # a second run appends
-    run_batch(make_logs(LINES).withColumn("event_id", F.col("event_id") + 100), str(tmp_path / "events"), str(tmp_path / "alerts"))
-    assert store.read_events(spark, str(tmp_path / "events")).count() == 20
+    # a second run appends under ids of its own
+    run_batch(make_logs(LINES), str(tmp_path / "events"), str(tmp_path / "alerts"))
+    events, alerts = store.read_events(spark, str(tmp_path / "events")), store.read_alerts(spark, str(tmp_path / "alerts"))
+    assert sorted(r.event_id for r in events.collect()) == list(range(20))
+    details = reports.alert_details(alerts, events)
+    assert details.count() == alerts.count() and alerts.filter("dt is null").count() == 0
 
 
-def test_flags_without_broadcast(make_logs, monkeypatch):
+def test_text_files_are_stored_whole(spark, tmp_path):
+    (tmp_path / "a.log").write_text("".join(f"line {k}\n" for k in range(2000)))
+    for _ in range(2):
+        lines = logs.read_watched(spark, [(str(tmp_path / "a.log"), "app")])
+        events, alerts = run_batch(lines, str(tmp_path / "events"), str(tmp_path / "alerts"))
+    assert events.count() == 4000 and events.select("event_id").distinct().count() == 4000 and alerts.count() == 0
+    assert events.select("raw").distinct().count() == 2000
+
+
+def test_flags_say_what_the_alerts_hold(spark, make_logs):
     events = parse(make_logs(LINES))
-    alerts = detect(events)
-    few = {(r.event_id, r.has_alert) for r in flag_events(events, alerts).collect()}
-    monkeypatch.setattr(detecting, "BROADCAST_ROWS", -1)
-    assert {(r.event_id, r.has_alert) for r in flag_events(events, alerts).collect()} == few
+    alerts = detect(events).filter("severity = 'HIGH'")
+    expected = {r.event_id for r in alerts.collect()}
+    assert {r.event_id for r in flag_events(events, alerts).filter("has_alert = 1").collect()} == expected
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert {r.event_id for r in flag_events(events, alerts).filter("has_alert = 1").collect()} == expected
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_older_alert_files_are_readable(spark, make_logs, tmp_path):
@@ -75,6 +90,10 @@ def test_older_alert_files_are_readable(spark, make_logs, tmp_path):
     found.drop("geo", "source_ip").write.parquet(path + "/dt=2024-01-01")
     store.append_alerts(found, path)
     read = store.read_alerts(spark, path)
+    taken = store.make_snapshot(spark, path, str(tmp_path / "saved"), ["dt"], NOW)
+    store.restore_snapshot(spark, taken, str(tmp_path / "again"), partitions=["dt"])
+    assert set(store.read_alerts(spark, str(tmp_path / "again")).select("alert_id", "source_ip").collect()) == set(
+        read.select("alert_id", "source_ip").collect())
     assert read.count() == 2 * found.count() and read.filter("source_ip IS NULL").count() >= found.count()
 
 
@@ -94,4 +113,5 @@ def test_snapshots(spark, tmp_path):
         store.restore_snapshot(spark, paths[1], table)
     before = store.restore_snapshot(spark, paths[1], table, force=True, now=NOW)
     assert spark.read.parquet(table).count() == 5 and spark.read.parquet(before).count() == 3
+    assert store.list_snapshots(spark, str(tmp_path), "t") == []  # what a restore saved is no snapshot
     assert store.restore_snapshot(spark, paths[1], str(tmp_path / "new")) is None

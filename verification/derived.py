@@ -9,9 +9,9 @@ SPARK_FAST_TS = "TIMESTAMP_NTZ'2024-01-01 00:00:00' + event_id * INTERVAL '0.001
 DUCK_FAST_TS = "TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(event_id)"
 
 _SENDER = """
-CASE WHEN user_id % 3 = 0 THEN '203.0.113.42'
+CASE WHEN user_id % 3 = 0 THEN '203.0.113.77'
      WHEN user_id % 8 IN (1, 5) THEN '10.0.0.' || CAST(user_id % 8 AS STRING)
-     WHEN user_id % 8 = 2 THEN '172.16.0.99'
+     WHEN user_id % 8 = 2 THEN '172.20.3.4'
      ELSE '198.51.100.' || CAST(user_id % 8 AS STRING) END AS ip
 """
 
@@ -26,23 +26,23 @@ SELECT event_id, @TS@ AS ts,
     || ']: Failed password for ' || CASE WHEN user_id % 5 = 0 THEN 'root' ELSE 'ubuntu' END
     || CASE WHEN event_id % 13 = 0 THEN ' port 22 ssh2' ELSE ' from ' || ip || ' port 22 ssh2' END
   WHEN event_type = 'signup' AND event_id % 4 = 0 THEN '<86>Jan  1 00:00:00 gate sudo['
-    || CAST(event_id % 900 + 100 AS STRING) || ']: ubuntu : command=/usr/bin/apt-get update'
+    || CAST(event_id % 900 + 100 AS STRING) || ']: ubuntu : command=/usr/sbin/service web restart'
   WHEN event_type = 'signup' THEN 'Jan  1 00:00:00 gate sshd[77]: Accepted '
     || CASE WHEN event_id % 2 = 0 THEN 'publickey' ELSE 'password' END || ' for '
     || CASE WHEN user_id % 7 = 0 THEN 'root' ELSE 'ubuntu' END || ' from ' || ip || ' port 22 ssh2'
   WHEN event_type IN ('click','view') THEN ip || ' - - [01/Jan/2024:00:00:00 +0000] "'
     || CASE WHEN event_id % 3 = 0 THEN 'POST' ELSE 'GET' END || ' '
-    || CASE event_id % 11 WHEN 0 THEN '/../../../etc/passwd' WHEN 1 THEN '/search?id=1%27%20OR%20%271%27%3D%271'
-       WHEN 2 THEN '/search?q=1%27+OR+%271%27%3D%271' WHEN 3 THEN '/api/users?filter=1%20OR%20SLEEP(5)--'
+    || CASE event_id % 11 WHEN 0 THEN '/../../../etc/passwd' WHEN 1 THEN '/search?id=7%27%20OR%20%277%27%3D%277'
+       WHEN 2 THEN '/search?q=7%27+OR+%277%27%3D%277' WHEN 3 THEN '/items?f=7%20OR%20SLEEP(3)--'
        WHEN 4 THEN '/f?x=../../etc/passwd' WHEN 5 THEN '/a/%2E%2e/b' WHEN 6 THEN '/q?a=%zz%C3%A9%2'
        ELSE '/page/' || CAST(user_id AS STRING) END
     || ' HTTP/1.1" ' || CASE WHEN value < 25 THEN '200' WHEN value < 60 THEN '404' WHEN value < 90 THEN '401'
        WHEN value < 150 THEN '403' ELSE '500' END
     || CASE WHEN event_type = 'click' THEN ' ' || CAST(200 + event_id % 800 AS STRING) ELSE ' -' END
   WHEN event_id % 6 = 0 THEN '[' || CAST(10000 + event_id AS STRING) || '.123] '
-    || CASE WHEN user_id % 3 = 0 THEN 'oom-killer: gfp_mask=0x0'
-       WHEN user_id % 3 = 1 THEN 'Out of memory: Kill process 9 (python3) score 9'
-       ELSE 'node[123]: segfault at 0 ip 00007f error 4 in libc.so' END
+    || CASE WHEN user_id % 3 = 0 THEN 'worker invoked oom-killer'
+       WHEN user_id % 3 = 1 THEN 'Memory exhausted, stopped task 9 (worker)'
+       ELSE 'worker[77]: segfault at 8 ip 00001a error 4 in libc.so' END
   WHEN event_id % 6 = 1 THEN '<' || CAST(user_id % 192 AS STRING) || '>Jan  1 00:00:00 gate cron: job '
     || CAST(event_id AS STRING)
   WHEN event_id % 6 = 2 THEN '{{"event_type":"alert","src_ip":"' || ip
@@ -55,7 +55,7 @@ SELECT event_id, @TS@ AS ts,
     || ' sni=' || CASE WHEN user_id % 4 = 0 THEN 'x7k2p9qz4mvb1tfh.example.com' ELSE 'www.example.org' END
     || ' ja3=' || CASE WHEN user_id % 6 = 0 THEN '72a589da586844d7f0818ce684948eea'
        ELSE '00000000000000000000000000000000' END
-  ELSE 'Jan  1 00:00:00 gate systemd[1]: Started Daily apt download activities.' END AS raw
+  ELSE 'Jan  1 00:00:00 gate systemd[1]: Finished rotation of archives.' END AS raw
 FROM (SELECT event_id, user_id, event_type, value, {_SENDER} FROM @EVENTS@) b
 """
 
@@ -96,7 +96,7 @@ SELECT event_id, CASE WHEN event_id % 10 = 9 THEN 'engine started'
     || CASE event_id % 3 WHEN 0 THEN '5003:1] TCP SYN Scan - SYN Flag' WHEN 1 THEN '6001:1] Unusual HTTP User-Agent'
        ELSE '1001:2] SQLi - UNION SELECT' END
     || ' [**] ' || CASE WHEN event_id % 4 = 0 THEN '' ELSE '[Classification: Attempted Information Leak] ' END
-    || '[Priority: 2] {{TCP}} ' || ip || ':62275 -> 10.0.0.1:2376' END AS raw
+    || '[Priority: 2] {{TCP}} ' || ip || ':40001 -> 10.0.0.1:8443' END AS raw
 FROM (SELECT event_id, user_id, {_SENDER} FROM @EVENTS@) b
 """
 
