@@ -30,8 +30,7 @@ from pyspark.sql import functions as F
 
 from logwarden.llm import arrays
 
-REMEMBERED, REMEMBERED_IDS = 700_000, 7_000_000  # parts and their ids kept by a task for later batches
-PIECE_BYTES = 1 << 23
+REMEMBERED, REMEMBERED_IDS = 150_000, 1_500_000  # parts and their ids kept by a task for later batches
 MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
@@ -177,7 +176,7 @@ def encode(docs: DataFrame, tokenizer: Callable[[], tokenizers.Tokenizer], with_
     def every(batches):
         encoder = Encoder(tokenizer())
         lengths = Decoder(encoder.tokenizer).size if with_offsets else None
-        for batch in arrays.pieces(batches, limit=PIECE_BYTES):
+        for batch in arrays.pieces(batches):
             ids, rows = encoder.batch(batch.column("text"))
             columns = [batch.column("doc_id"), pa.array(np.diff(rows)), arrays.packed(ids.astype("<u4"), rows)]
             if with_offsets:
@@ -236,7 +235,7 @@ def cut_pieces(docs: DataFrame, tokenizer: Callable[[], tokenizers.Tokenizer], e
     from the end, so only the first piece may be shorter. ``ids_crc32`` names the ids of a piece."""
     def every(batches):
         encoder = Encoder(tokenizer())
-        for batch in arrays.pieces(batches, limit=PIECE_BYTES):
+        for batch in arrays.pieces(batches):
             ids, rows = encoder.batch(batch.column("text"))
             number = np.diff(rows) + 1
             held = np.full(len(ids) + len(number), end_id, "<u4")
