@@ -31,6 +31,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def few(rows: DataFrame, many: int, *key: str) -> list:
+    """Rows chosen by the hash of ``key``: all of a table of at most ``many`` rows, else about half
+    of ``many`` and never more. An ordered limit would send the driver ``many`` rows of every task.
+    Where all rows are alike and their hash is not chosen, the first ones serve."""
+    n = rows.count()
+    chosen = rows.filter(F.pmod(F.xxhash64(*key), F.lit(1 << 40)) < (1 << 39) * many // n) if n > many else rows
+    return chosen.limit(many).collect() or rows.limit(many).collect()
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden import staging
-from logwarden.llm.common import LOWEST, stage, text_of
+from logwarden.llm.common import LOWEST, few, stage, text_of
 
 LEAST = 100
 VERSION = b"WARC/1.1"
@@ -184,7 +184,7 @@ class LoserTree:
 
 def _borders(index: DataFrame, ranges: int) -> list[tuple]:
     """Borders (url_key, ts, page_id) between ranges of about equal size, from SAMPLE rows at most."""
-    some = index.select("url_key", "ts", "page_id").orderBy(F.xxhash64("url_key", "ts", "page_id")).limit(SAMPLE).collect()
+    some = few(index.select("url_key", "ts", "page_id"), SAMPLE, "url_key", "ts", "page_id")
     keys = sorted((r[0], r[1], LOWEST if r[2] is None else r[2]) for r in some)
     return [keys[len(keys) * k // ranges] for k in range(1, ranges)] if keys else []
 
