@@ -10,10 +10,12 @@ Three parts are learned:
 * the chance that a document without any of them is toxic.
 
 A word that looks disguised (a digit or sign inside or before letters, a letter three times in a
-row, single letters spaced out) is a noisy form of a plain word. Its lattice holds for each
-character the letters it may stand for, or nothing where it repeats or separates; Viterbi finds
-the likeliest letters under the trigram model mixed with the lexicon's own. The restored word is
-looked up like a plain one. Each distinct word of a batch is handled once.
+row) is a noisy form of a plain word. Its lattice holds for each character the letters it may
+stand for, or nothing where it repeats or separates; Viterbi finds the likeliest letters under the
+trigram model mixed with the lexicon's own. Three or more single characters spaced out are one run,
+whatever its length; each gap of it may be a border of words or nothing, so a run may hold several
+words, plain or not, and a word of the lexicon may be written at the cost of choosing it. Every
+restored word is looked up like a plain one. Each distinct word or run of a batch is handled once.
 
 Cases: null and empty texts hold no word and score as such; rows without id are never held out;
 repeated rows score alike; of repeated labels of an id the toxic one counts; without labels all
@@ -39,8 +41,7 @@ THRESHOLD = 0.3
 BEGINNINGS = (4, 5)  # letters of word beginnings that are features beside whole words
 LEAST_DOCS, LEAST_ODDS = 3, (5.0, 3.5, 1.5)  # lower bounds of log odds, round by round
 MOST_LOGIT = 12.0
-LONGEST = 40  # characters of a word that is decoded; longer ones stand as they are
-REMEMBERED = 200_000
+REMEMBERED, REMEMBERED_RUNS = 200_000, 2_000
 
 # What characters stand for when they replace letters.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i",
@@ -56,6 +57,8 @@ _CLASS[arrays.SPACE] = EDGE
 _CLASS[ord("a"):ord("z") + 1] = np.arange(1, 27)
 _CLASS[ord("A"):ord("Z") + 1] = np.arange(1, 27)
 _CLASS[[ord(c) for c in ".,;:!?\"()"]] = EDGE
+_STRIPPED = np.zeros(256, bool)
+_STRIPPED[[ord(c) for c in STRIPPED if ord(c) < 128]] = True
 
 
 def held_out(doc_id: Column) -> Column:
@@ -95,7 +98,7 @@ def plain(word: str) -> str:
 def disguised(word: str) -> str | None:
     """The part of a word to decode, or None if it looks plain."""
     word = word.lower().rstrip(STRIPPED.replace("$", "").replace("!", "") + "!").lstrip("\"'([{<¿«“„*_-.,:;#%&=?/\\")
-    if not 2 < len(word) <= LONGEST or not any("a" <= c <= "z" for c in word):
+    if len(word) < 3 or not any("a" <= c <= "z" for c in word):
         return None
     if word.isalpha():
         return word if any(word[k] == word[k - 1] == word[k - 2] for k in range(2, len(word))) else None
@@ -103,31 +106,90 @@ def disguised(word: str) -> str | None:
     return word if all(c in LEET or c in SEPARATORS for c in odd) else None
 
 
-def decode(word: str, trigrams: np.ndarray) -> str:
-    """The likeliest letters behind ``word``."""
-    best = {(EDGE, EDGE): (0.0, "")}
+class Lexicon:
+    """Tree of the features' letters; node 0 is outside. All entries are equally likely."""
+
+    def __init__(self, entries):
+        self.next: list[dict[str, int]] = [{}]
+        self.words, self.beginnings = set(), set()
+        for entry in entries:
+            node = 0
+            for c in entry.removesuffix("+"):
+                if c not in self.next[node]:
+                    self.next[node][c] = len(self.next)
+                    self.next.append({})
+                node = self.next[node][c]
+            (self.beginnings if entry.endswith("+") else self.words).add(node)
+        self.cost = math.log(0.5 / max(1, len(self.words) + len(self.beginnings)))
+
+
+NO_WORDS = Lexicon(())
+
+
+def decode(word: str, trigrams, lexicon: Lexicon = NO_WORDS) -> str:
+    """The likeliest letters behind ``word``, where a space may be a border of words or nothing.
+
+    A state is the two letters before and the place in the lexicon's tree. A restored word is
+    written by the trigram model, or as an entry of the lexicon at the cost of choosing it; a
+    beginning goes on by the model. Paths are chains of (letter, before), so a step costs the same
+    however long the word is."""
+    gapped = " " in word
+    letters = [k for k, c in enumerate(word) if c != " "]
+    stretched = set()  # of spaced letters only three alike are a stretch, as plain words have two
+    for i, j, k in zip(letters, letters[1:], letters[2:]):
+        if word[i] == word[j] == word[k]:
+            stretched |= {j, k}
+    best = {(EDGE, EDGE, 0): (0.0, None)}
+    previous = ""
     for k, char in enumerate(word):
+        following: dict = {}
+
+        def reach(state, score, path):
+            if state not in following or following[state][0] < score:
+                following[state] = (score, path)
+
+        if char == " ":
+            for (a, b, node), (score, path) in best.items():
+                reach((a, b, node), score, path)
+                if path is None or path[0] == " ":
+                    continue
+                if not node:
+                    reach((EDGE, EDGE, 0), score + trigrams[a][b][EDGE], (" ", path))
+                elif node in lexicon.words:
+                    reach((EDGE, EDGE, 0), score, (" ", path))
+            best = following
+            continue
         options = [(LEET_COST, c) for c in LEET.get(char, "")]
         if char.isalpha():
             options.append((0.0, char))
         nothing = None
         if char in SEPARATORS or (char in LEET and not char.isdigit()):
             nothing = DROP_COST
-        if k and char == word[k - 1]:
+        if char == previous and (not gapped or k in stretched):
             nothing = REPEAT_COST
-        following: dict = {}
-        for (a, b), (score, text) in best.items():
-            if nothing is not None and text:
-                new = score + nothing
-                if (a, b) not in following or following[a, b][0] < new:
-                    following[a, b] = (new, text)
+        previous = char
+        for (a, b, node), (score, path) in best.items():
+            if nothing is not None and path and path[0] != " ":
+                reach((a, b, node), score + nothing, path)
+            begins = not node and (path is None or path[0] == " ")
             for cost, letter in options:
                 c = code(letter)
-                new = score + cost + trigrams[a, b, c]
-                if (b, c) not in following or following[b, c][0] < new:
-                    following[b, c] = (new, text + letter)
+                if not node:
+                    reach((b, c, 0), score + cost + trigrams[a][b][c], (letter, path))
+                if (node or begins) and (to := lexicon.next[node].get(letter)):
+                    new = score + cost + (lexicon.cost if begins else 0.0)
+                    reach((b, c, to), new, (letter, path))
+                    if to in lexicon.beginnings:
+                        reach((b, c, 0), new, (letter, path))
         best = following or best
-    return max((score + trigrams[a, b, EDGE], text) for (a, b), (score, text) in best.items())[1]
+    ends = [(score + (0.0 if node else trigrams[a][b][EDGE]), path) for (a, b, node), (score, path) in best.items()
+            if not node or node in lexicon.words]
+    path = max(ends, key=lambda end: end[0])[1] if ends else None
+    out = []
+    while path:
+        letter, path = path
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 def corpus_trigrams(docs: DataFrame) -> np.ndarray:
@@ -209,6 +271,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def every(batches):
         memory: dict[bytes, tuple[str, float] | None] = {}
+        runs: dict[str, set[tuple[str, float]]] = {}
+        lexicon, fast = Lexicon(model.weights), dataclasses.replace(model, trigrams=model.trigrams.tolist())
         for batch in arrays.pieces(batches):
             data, offsets = arrays.plain(batch.column("text"))
             starts, ends, first = arrays.words(data, offsets)
@@ -223,7 +287,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 found = []
                 for word in distinct:
                     if word not in memory:
-                        memory[word] = look_up(word.decode("utf-8", "replace").strip(), model)
+                        memory[word] = look_up(word.decode("utf-8", "replace").strip(), fast)
                     found.append(memory[word])
                 spelled = spaced(data, starts, ends, first)
                 marked = np.array([f is not None for f in found], bool)
@@ -231,7 +295,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 at = np.flatnonzero(marked[index])
                 row = np.searchsorted(first, at, "right") - 1
                 pairs = {(r, found[i]) for r, i in zip(row.tolist(), index[at].tolist())}
-                pairs |= {(r, hit) for r, word in spelled if (hit := look_up(word, model))}
+                if len(runs) + len(spelled) > REMEMBERED_RUNS:
+                    runs.clear()
+                for r, run in spelled:
+                    if run not in runs:
+                        runs[run] = look_up_run(run, fast, lexicon)
+                    pairs |= {(r, hit) for hit in runs[run]}
                 for r, (_, weight) in pairs:
                     logits[r] = (logits[r] if hits[r] else model.prior) + weight
                     hits[r] += 1
@@ -249,19 +318,30 @@ def look_up(word: str, model: Model) -> tuple[str, float] | None:
     return hit
 
 
+def look_up_run(run: str, model: Model, lexicon: Lexicon) -> set[tuple[str, float]]:
+    """Features of the words behind spaced characters: the run as one word, and as the words it is cut into."""
+    found = {look_up(run.replace(" ", ""), model)}
+    found |= {model.logit(plain(word)) for word in decode(run, model.trigrams, lexicon).split()}
+    return found - {None}
+
+
 def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> list[tuple[int, str]]:
-    """(row, word) of three or more single characters in a row within a text."""
+    """(row, characters) of three or more single characters in a row within a text, with a space
+    between. Marks around a character do not count."""
+    begun = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+    marks = np.append(0, np.cumsum(_STRIPPED[data]))
+    chars = begun[ends] - begun[starts]
     single = np.zeros(len(starts) + 2, np.int8)
-    single[1:-1] = ends - starts == 1
+    single[1:-1] = (chars == 1) | (chars - (marks[ends] - marks[starts]) == 1)
     row = np.searchsorted(first, np.arange(len(starts)), "right") - 1
     out = []
     begin, end = np.flatnonzero(np.diff(single) == 1), np.flatnonzero(np.diff(single) == -1)
     long = end - begin >= 3
     for a, b in zip(begin[long].tolist(), end[long].tolist()):
-        for r in np.unique(row[a:b]).tolist():
-            mine = np.flatnonzero(row[a:b] == r) + a
-            if 3 <= len(mine) <= LONGEST:
-                out.append((r, data[starts[mine]].tobytes().decode("ascii", "replace").lower()))
+        edges = [a, *(np.flatnonzero(np.diff(row[a:b])) + a + 1).tolist(), b]
+        for i, j in zip(edges, edges[1:]):
+            if j - i >= 3:
+                out.append((int(row[i]), " ".join(data[starts[i]:ends[j - 1]].tobytes().decode("utf-8", "replace").lower().split())))
     return out
 
 

@@ -277,3 +277,12 @@ def test_pieces_keep_rows():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b" * 100, "", "c" * 5]})
     cut = list(arrays.pieces(iter([batch]), limit=12))
     assert [r for b in cut for r in b.column("text").to_pylist()] == batch.column("text").to_pylist() and len(cut) > 2
+
+
+def test_toxicity_in_spaced_runs_and_long_words(spark, docs):
+    rows, labels = toxic_table(spark, docs)
+    clean = " ".join("the rain is here and more rain is to come so stay in or take a coat and a hat".replace(" ", ""))
+    extra = [(2001, "you are a g r o n k"), (2002, "I g r o n k"), (2003, "s o g r o n k b l a r g."), (2004, clean + " b l a r g " + clean),
+             (2005, "gr" + "o" * 50 + "nk"), (2006, clean), (2007, "b l a r g! end"), (2008, "z w i i i i e b l")]
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs(rows + extra), labels).collect() if r["doc_id"] > 2000}
+    assert found == {2001: 1, 2002: 1, 2003: 1, 2004: 1, 2005: 1, 2006: 0, 2007: 1, 2008: 1}
