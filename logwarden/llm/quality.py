@@ -5,10 +5,10 @@ compares two histograms of a document with the reference of its language by Jens
 distance: character classes, and the language's common words with one bin for all others.
 
 References come from the corpus: the common words of a language are those in most of its
-documents among words of at most COMMON_LETTERS characters, the histograms are sums over all its
-documents that pass the base rules. A language with less than 1/MAX_LANGUAGES of the documents
-has no reference of its own and shares that of all documents, as a null language does, so the
-references are a table of at most MAX_LANGUAGES + 1 rows, which is broadcast. Short documents say
+documents, the histograms are sums over all its documents that pass the base rules. Every language
+has a reference of its own, whatever its size. Documents without a language are judged against that
+of all documents, in any language or none. The references are joined by language; they are broadcast
+only if they were counted and are few. Short documents say
 little about a distribution: below MIN_CHARS or MIN_WORDS the comparison is not made.
 
 Cases: null and empty texts have no words and fail the base rules; repeated rows are judged each;
@@ -17,17 +17,16 @@ extra columns are ignored; an empty table gives no rows.
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logwarden.llm.common import stage, text_of
+from logwarden.staging import sized
 
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED = 20  # percent of the words
 COMMON = 12
-COMMON_LETTERS = 4
-MAX_LANGUAGES = 1_000
 MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.36
 LEAST_WORDS, MAX_WORD_DISTANCE = 100, 0.26
 ALL = ""
@@ -90,40 +89,40 @@ def classes(text: Column, blanks: Column) -> Column:
 
 
 def language(docs: DataFrame) -> Column:
-    return F.coalesce(F.col("lang").cast("string"), F.lit(ALL)) if "lang" in docs.columns else F.lit(ALL)
-
-
-def common_words(docs: DataFrame) -> DataFrame:
-    """(ref, words): common words of each larger language, and of all documents under ALL."""
-    shared = docs.select(language(docs).alias("lang"), F.filter(
-        F.array_distinct(words_of(text_of())), lambda w: F.length(w) <= COMMON_LETTERS).alias("words"))
-    least = docs.count() / MAX_LANGUAGES
-    large = docs.groupBy(language(docs).alias("lang")).agg(F.count("*").alias("n")).filter((F.col("lang") != ALL) & (F.col("n") >= least)).select("lang")
-    counts = stage(shared.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
-
-    def top(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("ref").agg(F.slice(
-            F.sort_array(F.collect_list(F.struct("n", "word")), False), 1, COMMON).alias("best")).select(
-                "ref", F.transform("best", lambda r: r["word"]).alias("common"))
-
-    own = counts.join(F.broadcast(large), "lang").filter("n > 1").select(F.col("lang").alias("ref"), "word", "n")
-    every = counts.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").select(F.lit(ALL).alias("ref"), "word", "n")
-    return top(_frequent(own).unionByName(_frequent(every)))
-
-
-def _frequent(counts: DataFrame) -> DataFrame:
-    """Words at least a thousandth as frequent as the most frequent of their reference: few rows."""
-    most = counts.groupBy("ref").agg(F.max("n").alias("most"))
-    return counts.join(F.broadcast(most), "ref").filter("n * 1000 >= most").drop("most")
-
-
-def features(docs: DataFrame, common: DataFrame) -> DataFrame:
-    """Counts of every row, with its language's reference name."""
-    spare = common.filter(F.col("ref") == ALL).first()  # COMMON words
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), language(docs).alias("lang"))
-    named = (texts.join(F.broadcast(common.filter(F.col("ref") != ALL)), texts["lang"] == common["ref"], "left")
-             .select("doc_id", "text", F.coalesce("ref", F.lit(ALL)).alias("ref"),
-                     F.coalesce("common", F.array(*map(F.lit, spare["common"] if spare else [])).cast("array<string>")).alias("common")))
+    """Name of the reference: marked for a language, also an empty one, and ALL for null."""
+    return F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit(ALL)) if "lang" in docs.columns else F.lit(ALL)
+
+
+def common_words(docs: DataFrame, every: bool) -> DataFrame:
+    """(ref, common): common words of each language, and with ``every`` of all documents under ALL."""
+    shared = docs.select(language(docs).alias("ref"), F.explode(F.array_distinct(words_of(text_of()))).alias("word"))
+    counts = shared.groupBy("ref", "word").agg(F.count("*").alias("n"))
+    if every:
+        counts = stage(counts, "words")
+        counts = counts.filter(F.col("ref") != ALL).unionByName(
+            counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("ref"), "word", "n"))
+    # the group limit keeps COMMON words of each reference in every task
+    place = F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("n"), F.desc("word")))
+    best = counts.filter("n > 1").withColumn("place", place).filter(F.col("place") <= COMMON)
+    rows = F.sort_array(F.collect_list(F.struct("n", "word")), False)
+    # words at least a thousandth as frequent as the most frequent
+    return best.groupBy("ref").agg(rows.alias("best")).select("ref", F.transform(
+        F.filter("best", lambda r: r["n"] * 1000 >= F.col("best")[0]["n"]), lambda r: r["word"]).alias("common"))
+
+
+def features(docs: DataFrame, common: DataFrame, every: bool) -> DataFrame:
+    """Counts of every row, with its language's reference name; with ``every`` also those of the
+    common words of all documents."""
+    spare = common.filter(F.col("ref") == ALL).first() if every else None  # COMMON words
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), language(docs).alias("ref"))
+    nothing = F.array().cast("array<string>")
+    named = texts.join(sized(common), "ref", "left").select(
+        "doc_id", "text", "ref", F.coalesce("common", nothing).alias("common"),
+        F.array(*map(F.lit, spare["common"] if spare else [])).cast("array<string>").alias("shared"))
+
+    def numbers(words: Column, of: str) -> Column:
+        return F.array(*[(F.size(words) - F.size(F.array_remove(words, F.coalesce(F.get(of, F.lit(k)), F.lit(""))))).cast("long")
+                         for k in range(COMMON)])
 
     def counted(words: Column) -> Column:
         in_words = F.length(F.array_join(words, ""))
@@ -131,21 +130,27 @@ def features(docs: DataFrame, common: DataFrame) -> DataFrame:
             F.size(words).cast("long").alias("n_words"), in_words.cast("long").alias("word_chars"),
             repeated_words(words).cast("long").alias("n_repeat_words"),
             classes(F.col("text"), F.length("text") - in_words).alias("classes"),
-            F.array(*[(F.size(words) - F.size(F.array_remove(words, F.coalesce(F.get("common", F.lit(k)), F.lit(""))))).cast("long")
-                      for k in range(COMMON)]).alias("common"))
+            numbers(words, "common").alias("common"), *([numbers(words, "shared").alias("shared")] if every else []))
 
     found = named.select("doc_id", "ref", repeated_lines(F.col("text")).cast("long").alias("n_dup_lines"),
                          let(words_of(F.col("text")), counted).alias("c"))
     base = (F.col("c.n_words") < MIN_WORDS) | (100 * F.col("c.n_repeat_words") > MAX_REPEATED * F.col("c.n_words"))
     return found.select("doc_id", "ref", "c.n_words", "c.word_chars", F.col("c.classes.symbol").alias("n_symbols"), "n_dup_lines",
-                        "c.n_repeat_words", base.alias("base_failed"), F.col("c.classes").alias("classes"), F.col("c.common").alias("common"))
+                        "c.n_repeat_words", base.alias("base_failed"), F.col("c.classes").alias("classes"), F.col("c.common").alias("common"),
+                        *([F.col("c.shared").alias("shared")] if every else []))
 
 
-def references(counted: DataFrame) -> DataFrame:
-    """Sums of the histograms over documents that pass the base rules."""
+def references(counted: DataFrame, every: bool) -> DataFrame:
+    """Sums of the histograms over documents that pass the base rules, for each language and, with
+    ``every``, for all documents together."""
     passing = counted.filter("not base_failed")
-    sums = [F.sum(f"classes.{c}").alias(f"ref_{c}") for c in CLASSES] + [F.sum(F.col("common")[k]).alias(f"ref_{k}") for k in range(COMMON)]
-    return passing.groupBy("ref").agg(*sums, F.sum("n_words").alias("ref_words"))
+
+    def sums(of: str) -> list[Column]:
+        return ([F.sum(f"classes.{c}").alias(f"ref_{c}") for c in CLASSES] + [F.sum(F.col(of)[k]).alias(f"ref_{k}") for k in range(COMMON)]
+                + [F.sum("n_words").alias("ref_words")])
+
+    own = passing.filter(F.col("ref") != ALL).groupBy("ref").agg(*sums("common"))
+    return own.unionByName(passing.groupBy(F.lit(ALL).alias("ref")).agg(*sums("shared"))) if every else own
 
 
 def distance(own: Column, reference: Column) -> Column:
@@ -172,8 +177,9 @@ def histograms(prefix: str, words: str) -> list[Column]:
 
 def judge(docs: DataFrame) -> DataFrame:
     """Counts, distances and the verdict ``kept`` of every row."""
-    counted = stage(features(docs, stage(common_words(docs), "common")), "features")
-    joined = counted.join(F.broadcast(references(counted)), "ref", "left")
+    every = not docs.filter(language(docs) == ALL).isEmpty()  # otherwise no row needs the sums of all
+    counted = stage(features(docs, stage(common_words(docs, every), "common"), every), "features")
+    joined = counted.join(sized(stage(references(counted, every), "references")), "ref", "left")
     own = joined.select("*", *[F.col("classes")[c].alias(f"own_{c}") for c in CLASSES], *[F.col("common")[k].alias(f"own_{k}") for k in range(COMMON)])
     chars, words = map(distance, histograms("own_", "n_words"), histograms("ref_", "ref_words"))
     size = sum([F.col(f"classes.{c}") for c in CLASSES[1:]], F.col("classes.lower"))

@@ -286,3 +286,13 @@ def test_toxicity_in_spaced_runs_and_long_words(spark, docs):
              (2005, "gr" + "o" * 50 + "nk"), (2006, clean), (2007, "b l a r g! end"), (2008, "z w i i i i e b l")]
     found = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs(rows + extra), labels).collect() if r["doc_id"] > 2000}
     assert found == {2001: 1, 2002: 1, 2003: 1, 2004: 1, 2005: 1, 2006: 0, 2007: 1, 2008: 1}
+
+
+def test_quality_references_of_small_and_no_languages(docs):
+    rng = random.Random(10)
+    plain = [(k, " ".join(rng.choice(["the", "of", "and", "to", "in", words(rng, 1)]) for _ in range(200)), "en") for k in range(60)]
+    wide = [(100 + k, " ".join("".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(7)) for _ in range(120)), "zh") for k in range(3)]
+    junk = [(200 + k, " ".join(f"{rng.getrandbits(40):X}#" for _ in range(200)), None) for k in range(3)]
+    given = docs([]).sparkSession.createDataFrame(plain + wide + junk + [(300, plain[0][1], None)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(given).collect()}
+    assert kept == {k: True for k, *_ in plain + wide} | {k: False for k, *_ in junk} | {300: True}
