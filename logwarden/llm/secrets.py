@@ -41,7 +41,14 @@ class Rule:
         return hashlib.sha256(repr((self.pattern, self.least, self.group)).encode()).hexdigest()[:16]
 
 
-# Formats of secrets.
+# Formats of secrets. A private key goes on to the next END line if no other block
+# begins or ends before; without one through its header lines and base64, wrapped by white space or
+# written line breaks: runs of 16 and more, and whole lines. Possessive groups need no stack in a long body.
+_BREAK = r"(?:[ \t\r\n]|\\[nr])"
+_PEM = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----(?:BEGIN|END) )[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----"
+        r"|(?:" + _BREAK + r"*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+(?=[\r\n\\]))*+"
+        r"(?:" + _BREAK + r"*+[A-Za-z0-9+/]{16,}+={0,2}+|(?:[\r\n]|\\[nr])++[ \t]*+[A-Za-z0-9+/]++={0,2}+(?=[ \t]*+(?:[\r\n]|\\[nr]|(?![\s\S])))"
+        r"|" + _BREAK + r"++[A-Za-z0-9+/]++={1,2}+)*+)")
 RULES = (
     Rule("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, 2,
          ("passw", "secret", "token", "api"), True),
@@ -50,7 +57,7 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", hints=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", hints=("xox",)),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", hints=("eyJ",)),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", hints=("PRIVATE KEY-----",)),
+    Rule("pem", _PEM, hints=("PRIVATE KEY-----",)),
 )
 BASE = ("assign", "access", "hex")
 SPAN = "array<struct<start:int,rank:int,kind:string,stop:int>>"

@@ -296,3 +296,17 @@ def test_quality_references_of_small_and_no_languages(docs):
     given = docs([]).sparkSession.createDataFrame(plain + wide + junk + [(300, plain[0][1], None)], "doc_id long, text string, lang string")
     kept = {r["doc_id"]: r["kept"] for r in quality.judge(given).collect()}
     assert kept == {k: True for k, *_ in plain + wide} | {k: False for k, *_ in junk} | {300: True}
+
+
+def test_redact_whole_private_keys(docs):
+    rng = random.Random(12)
+    def body(lines, end="\n"):
+        return end.join("".join(rng.choice("abcdXYZ019+/") for _ in range(64)) for _ in range(lines))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    rows = [(1, f"a {begin}\n{body(25)}\nab+/==\n{end} b"), (2, f"a {begin}\n{body(25)}\nabc=\nAnd so on."), (3, f"a {begin}\\n{body(3, chr(92) + 'n')}\\n{end}\\n b"),
+            (4, f"a {begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F\n\n{body(4)}\n{end}\n{begin}\n{body(2)}\n{end}"), (5, f"a {begin} {body(9, ' ')} {end} b"),
+            (6, f"a {begin}\n{body(20000)}\n{end} b"), (7, f"a {begin}\n{body(20000)}"), (8, f"a {begin} is how a key begins"),
+            (9, f"a {begin}\n{body(2)}\n-----BEGIN CERTIFICATE-----")]
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs(rows)).collect()}
+    assert out == {1: "a [secret] b", 2: "a [secret]\nAnd so on.", 3: "a [secret]\\n b", 4: "a [secret]\n[secret]", 5: "a [secret] b", 6: "a [secret] b",
+                   7: "a [secret]", 8: "a [secret] is how a key begins", 9: "a [secret]\n-----BEGIN CERTIFICATE-----"}
