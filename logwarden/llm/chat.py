@@ -120,8 +120,8 @@ def _cut(blocks: DataFrame, budget: int, history: int) -> DataFrame:
     nearest = F.slice("rows", F.greatest(before - most, F.lit(0)) + 1, F.least(before, F.lit(most)))
     since = F.get(F.col("own"), F.col("start"))["at"]
     past = F.filter(nearest, lambda r: ~_is_system(r) & (r["at"] >= since - history))
-    again = F.when(since == 0, F.array().cast(blocks.schema["rows"].dataType)).otherwise(F.concat("system", past))
-    return window.select("conv", "conv_id", since.alias("start"), new.alias("new"), again.alias("again"))
+    again = F.when(since == 0, F.array().cast(blocks.schema["rows"].dataType)).otherwise(F.concat("system", "past"))
+    return _with(_with(window, past=past), at=since, new=new, again=again).select("conv", "conv_id", F.col("at").alias("start"), "new", "again")
 
 
 def _written(cut: DataFrame) -> DataFrame:
