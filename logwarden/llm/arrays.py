@@ -4,8 +4,10 @@ Hashes are polynomials over 64-bit values modulo 2**64 with an odd base, so any
 look-ups in a running sum and one product with an inverse power; a final mix spreads the bits.
 """
 
+import ctypes
+import functools
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ import pyarrow.compute as pc
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 # Texts are taken in pieces of about this many bytes, which bounds the memory of a task.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -128,6 +130,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def tidy(function: Callable) -> Callable:
+    """A function over batches that gives freed memory back at its end: workers outlive tasks, and
+    those of one step stay beside those of the next."""
+    @functools.wraps(function)
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+        if trim is not None:
+            trim(0)
+    return run
+
+
 def own_threads() -> None:
     """A task has one core: libraries with threads of their own use one."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -44,13 +44,32 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, its rank ``doc`` (null is lowest), the text, and a check sum of it.
+def rank_of() -> Column:
+    """Rank of a document's id; null is lowest."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
+
+
+def text_key(salt: int) -> Column:
+    """64 bits of a text, other ones for each salt."""
+    return F.xxhash64(F.lit(salt), text_of())
+
+
+def salt_for(docs: DataFrame) -> int:
+    """A salt with which (rank, text key) names one text only: rows of one id, and all rows without
+    id, may have many texts. Two more keys show whether texts differ."""
+    salt = 0
+    while True:
+        named = docs.select(rank_of().alias("doc"), text_key(salt).alias("key"), text_key(-1 - salt).alias("a"), F.xxhash64(text_of()).alias("b"))
+        clash = named.groupBy("doc", "key").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in "ab" for f in (F.min, F.max)]).filter(
+            "min_a <> max_a OR min_b <> max_b")
+        if clash.isEmpty():
+            return salt
+        salt += 1
+
+
+def keyed(docs: DataFrame, salt: int) -> DataFrame:
+    """doc_id, its rank ``doc``, the text, and its key, with the salt of ``salt_for``.
 
     (doc, row_key) names a text: repeated rows share it, rows of one id with other texts do not.
     """
-    text = text_of()
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"),
-        (F.crc32(text.cast("binary")) - F.lit(1 << 31)).cast("int").alias("row_key"), text.alias("text"),
-    )
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), rank_of().alias("doc"), text_key(salt).alias("row_key"), text_of().alias("text"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logwarden.llm import arrays, repeats
-from logwarden.llm.common import keyed, stage
+from logwarden.llm.common import keyed, salt_for, stage
 
 WINDOW = 35
 # Perfect difference sets, period -> residues.
@@ -70,9 +70,9 @@ def window_names(window: int):
     return names
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_spans(docs: DataFrame, salt: int, window: int = WINDOW) -> DataFrame:
     """(doc, row_key, covered): word spans of each text that lie in a repeated window."""
-    texts = keyed(docs)
+    texts = keyed(docs, salt)
     runs = repeats.repeated_runs(texts, sampler(window))
     held = repeats.contents(runs)
     whole = stage(runs.join(held.filter("n > 1").select("seed", "block", "count"), ["seed", "block", "count"], "left_semi")
@@ -84,7 +84,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return stage(repeats.spans(whole, repeated, window), "covered")
 
 
-def remove(docs: DataFrame, covered: DataFrame) -> DataFrame:
+def remove(docs: DataFrame, covered: DataFrame, salt: int) -> DataFrame:
     """doc_id, kept words joined by one space, words before, removed words, hash."""
     def cut(batches):
         for batch in batches:
@@ -105,10 +105,11 @@ def remove(docs: DataFrame, covered: DataFrame) -> DataFrame:
                 [batch.column("doc_id"), pa.array(left, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()),
                  pa.array(digest, pa.string())], ["doc_id", "kept", "n_words", "n_removed", "kept_sha256"])
 
-    return repeats.with_spans(keyed(docs), covered).select("doc_id", "text", "covered").mapInArrow(
-        cut, "doc_id long, kept binary, n_words long, n_removed long, kept_sha256 string")
+    return repeats.with_spans(keyed(docs, salt), covered).select("doc_id", "text", "covered").mapInArrow(
+        arrays.tidy(cut), "doc_id long, kept binary, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every row of ``docs`` with the words that are left."""
-    return remove(docs, repeated_spans(docs, window))
+    salt = salt_for(docs)
+    return remove(docs, repeated_spans(docs, salt, window), salt)

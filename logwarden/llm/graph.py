@@ -33,6 +33,7 @@ def components(links: DataFrame) -> DataFrame:
     minimum, so they can be split. Every round is a written table.
     """
     links = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = stage(links, "links")  # each round reads its links several times
     before = None
     while True:
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logwarden.llm import arrays
 from logwarden.llm.common import stage
 
 LIMIT = 1024
@@ -111,7 +112,7 @@ def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     kept = [name for name in numbered.columns if name != "number"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.drop("number").schema)
-    return numbered.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    return numbered.mapInArrow(arrays.tidy(place), f"{kinds}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

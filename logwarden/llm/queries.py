@@ -18,9 +18,9 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, folder, "documents"), threshold=100).drop("kept")
 
 
-def pieces(docs: DataFrame) -> DataFrame:
+def pieces(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     tokenizer = tokens.json_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
-    return tokens.cut_pieces(docs, tokenizer, END_ID, packing.LIMIT)
+    return tokens.cut_pieces(docs, tokenizer, END_ID, packing.LIMIT, with_ids)
 
 
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from logwarden.llm import arrays
 from logwarden.llm.common import stage
 
-RUNS = "seed long, block long, doc long, row_key int, start int, count int"
+RUNS = "seed long, block long, doc long, row_key long, start int, count int"
 SEEDS = "seed long, n long"
-SPOTS = "key long, doc long, row_key int, start int, n int"
+SPOTS = "key long, doc long, row_key long, start int, n int"
 CROWD = 1_000  # contents of a seed from which its windows are dealt one by one
 # sample(data, offsets) -> seed, block, row, start in the row, count of windows
 Sample = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
@@ -31,7 +31,7 @@ def _seeds(texts: DataFrame, sample: Sample) -> DataFrame:
             seed, number = np.unique(sample(*arrays.plain(batch.column("text")))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([arrays.signed(seed), pa.array(number.astype(np.int64))], ["seed", "n"])
 
-    counted = texts.select("text").mapInArrow(count, SEEDS)
+    counted = texts.select("text").mapInArrow(arrays.tidy(count), SEEDS)
     return counted.groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1").select("seed")
 
 
@@ -45,7 +45,7 @@ def _runs(texts: DataFrame, sample: Sample) -> DataFrame:
                  pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
                 ["seed", "block", "doc", "row_key", "start", "count"])
 
-    return texts.select("doc", "row_key", "text").mapInArrow(runs, RUNS)
+    return texts.select("doc", "row_key", "text").mapInArrow(arrays.tidy(runs), RUNS)
 
 
 def repeated_runs(texts: DataFrame, sample: Sample) -> DataFrame:
@@ -119,7 +119,7 @@ def spots(texts: DataFrame, opened: DataFrame, names: Callable) -> DataFrame:
                 ["key", "doc", "row_key", "start", "n"])
 
     return (texts.select("doc", "row_key", "text").join(opened.hint("shuffle_hash"), ["doc", "row_key"])
-            .select("doc", "row_key", "text", "open").mapInArrow(name, SPOTS))
+            .select("doc", "row_key", "text", "open").mapInArrow(arrays.tidy(name), SPOTS))
 
 
 def by_key():

@@ -160,8 +160,8 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
     scan_new(docs, ledger, rules)
     known = (read_ledger(docs.sparkSession, ledger).filter(F.col("version").isin([r.version for r in rules]) & (F.size("spans") > 0))
              .groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans")))
-    blob, spans = "__blob", "__spans"
-    text = F.col("text")
+    names, places = docs.columns, [f"c{n}" for n in range(len(docs.columns))]  # columns may have any name
+    blob, spans, text = "blob", "spans", F.col(places[names.index("text")])
     parts = F.aggregate(
         F.col(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),
         lambda held, s: F.when(s["stop"] <= held["at"], held)
@@ -169,7 +169,7 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
         .otherwise(F.struct(s["stop"].alias("at"), F.concat(
             held["text"], F.substring(text, held["at"] + 1, s["start"] - held["at"]), F.lit("[secret]")).alias("text"))))
     whole = F.concat(parts["text"], F.substring(text, parts["at"] + 1, F.length(text)))
-    joined = docs.withColumn(blob, F.unhex(F.sha2(text_of().cast("binary"), 256))).join(
-        known.select(F.col("blob").alias(blob), F.col("spans").alias(spans)).hint("shuffle_hash"), blob, "left")
+    joined = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(names, places)], F.unhex(F.sha2(text_of().cast("binary"), 256)).alias(blob)).join(
+        known.hint("shuffle_hash"), blob, "left")
     clean = F.when(F.col(spans).isNull(), text).otherwise(whole)
-    return joined.withColumn("text", clean).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.select(*[clean if c == "text" else F.col(p) for c, p in zip(names, places)]).toDF(*names)

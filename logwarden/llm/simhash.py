@@ -15,14 +15,16 @@ but is never the smallest, and gets a null component if no other id is reachable
 are ignored; an empty table gives no rows.
 """
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logwarden.llm import arrays, graph
-from logwarden.llm.common import stage
+from logwarden.llm.common import stage, text_key
 
 SHINGLE = 4
 BITS = 4
@@ -33,6 +35,12 @@ PAIRS = 1 << 21  # compared at once
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 CHUNK = 255 * 64
+NAME = ("doc_id", "key", "other")
+
+
+def named_by() -> list[Column]:
+    """What names a document: its id, and its text by 128 bits."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), text_key(0).alias("key"), text_key(1).alias("other")]
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> bytes:
@@ -57,14 +65,14 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> bytes:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and its fingerprint as a long."""
+    """doc_id, two keys that name the text, and its fingerprint as a long."""
     def every(batches):
         for batch in arrays.pieces(batches):
             found = b"".join([fingerprint(text or b"", size) for text in batch.column("text").cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.frombuffer(found, ">i8").astype(np.int64))], ["doc_id", "fp"])
+                [*[batch.column(c) for c in NAME], pa.array(np.frombuffer(found, ">i8").astype(np.int64))], [*NAME, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(every, "doc_id long, fp long")
+    return docs.select(*named_by(), "text").mapInArrow(arrays.tidy(every), "doc_id long, key long, other long, fp long")
 
 
 def _parts(bits: int) -> list[tuple[int, int]]:
@@ -130,7 +138,7 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
                 [pa.array(anchor.view(np.int64)), batch.column("fp").take(pa.array(row)), pa.array(~resident)],
                 ["anchor", "fp", "visitor"])
 
-    placed = fps.select("fp").mapInArrow(place, "anchor long, fp long, visitor boolean")
+    placed = fps.select("fp").mapInArrow(arrays.tidy(place), "anchor long, fp long, visitor boolean")
     crowded = (placed.filter("not visitor").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOME_ROWS)
                .select("anchor", F.ceil(F.col("n") / HOME_ROWS).cast("int").alias("parts")))
     spread = placed.join(crowded, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).select(
@@ -157,15 +165,28 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
                 last = (anchor == anchor[-1]) & (part == part[-1]) & ~visitor
                 kept = anchor[last], part[last], fp[last]
 
-    return spread.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "visitor").mapInArrow(compare, "a long, b long")
+    return spread.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "visitor").mapInArrow(arrays.tidy(compare), "a long, b long")
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """doc_id, fp and component_id of every row: the smallest id its fingerprint links to."""
+    """NAME, fp, root and component_id of every row: the smallest fingerprint and the smallest id its
+    fingerprint links to."""
     marked = stage(fingerprints(docs, size), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = graph.components(links(distinct, bits)).select(F.col("node").alias("fp"), "root")
     named = distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(stage(named.join(smallest, "root").select("fp", "component_id"), "components"), "fp").select(
-        "doc_id", "fp", "component_id")
+    return marked.join(stage(named.join(smallest, "root").select("fp", "root", "component_id"), "components"), "fp").select(
+        *NAME, "fp", "root", "component_id")
+
+
+def single(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """The columns of ``docs`` with one row of each group: the smallest id, rows without id last; of
+    one id's texts the one with the smallest key; of repeated rows any one."""
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), *NAME)
+    kept = groups(docs, size, bits).groupBy("root").agg(F.min(order).alias("row")).select(*[F.col(f"row.{c}").alias(f"kept_{c}") for c in NAME])
+    names, places = docs.columns, [f"c{n}" for n in range(len(docs.columns))]  # columns may have any name
+    rows = docs.select(*named_by(), *[F.col(f"`{c}`").alias(p) for c, p in zip(names, places)])
+    same = [F.col(c).eqNullSafe(F.col(f"kept_{c}")) for c in NAME]
+    found = rows.join(kept, functools.reduce(lambda a, b: a & b, same), "left_semi")
+    return found.dropDuplicates(list(NAME)).select(*places).toDF(*names)

@@ -14,7 +14,7 @@ moves it many times over, so the first rank is taken at sampled positions only:
 
 Cases: a null or short text has no window and stays whole; a null id ranks before all ids;
 repeated rows of one id are level, so neither is earlier than the other; texts of the same id
-are told apart by a check sum; extra columns are ignored; an empty table gives no rows.
+are told apart by a key that is checked to name one text only; extra columns are ignored; an empty table gives no rows.
 """
 
 import hashlib
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logwarden.llm import arrays, repeats
-from logwarden.llm.common import LOWEST, keyed, stage
+from logwarden.llm.common import keyed, rank_of, salt_for, stage, text_key
 
 THRESHOLD = 100
 SEED_BYTES = 32
@@ -129,7 +129,7 @@ def opened_names(texts: DataFrame, opened: DataFrame, threshold: int) -> DataFra
 
     fields = ["bucket", "doc", "row_key", "start", "open", "ranks"]
     return (texts.select("doc", "row_key", "text").join(opened.hint("shuffle_hash"), ["doc", "row_key"]).select("doc", "row_key", "text", "open")
-            .mapInArrow(name, "bucket long, doc long, row_key int, start int, open boolean, ranks binary"))
+            .mapInArrow(arrays.tidy(name), "bucket long, doc long, row_key long, start int, open boolean, ranks binary"))
 
 
 def later_of_equal(named: DataFrame) -> DataFrame:
@@ -151,13 +151,13 @@ def later_of_equal(named: DataFrame) -> DataFrame:
                 [batch.column("doc").take(pa.array(run[head])), batch.column("row_key").take(pa.array(run[head])),
                  pa.array(start[head].astype(np.int32)), pa.array(count.astype(np.int32))], ["doc", "row_key", "start", "count"])
 
-    return named.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rank, "doc long, row_key int, start int, count int")
+    return named.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(arrays.tidy(rank), "doc long, row_key long, start int, count int")
 
 
-def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, seed_bytes: int = SEED_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, salt: int, threshold: int = THRESHOLD, seed_bytes: int = SEED_BYTES) -> DataFrame:
     """(doc, row_key, covered): byte spans of each text that also start earlier."""
     seed_bytes = min(seed_bytes, threshold)
-    texts = keyed(docs)
+    texts = keyed(docs, salt)
     runs = repeats.repeated_runs(texts, sampler(threshold, seed_bytes))
     held = repeats.contents(runs)
     later = stage(runs.join(held.filter("n > 1").select("seed", "block", "count", "first"), ["seed", "block", "count"])
@@ -167,7 +167,7 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, seed_bytes: int
     return stage(repeats.spans(later, repeated, threshold), "covered")
 
 
-def remove(docs: DataFrame, covered: DataFrame) -> DataFrame:
+def remove(docs: DataFrame, covered: DataFrame, salt: int) -> DataFrame:
     """doc_id, text bytes left, their number before, removed bytes and removed runs, hash."""
     def cut(batches):
         for batch in batches:
@@ -190,38 +190,40 @@ def remove(docs: DataFrame, covered: DataFrame) -> DataFrame:
                  pa.array(number, pa.int64()), pa.array(digest, pa.string())],
                 ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return repeats.with_spans(keyed(docs), covered).select("doc_id", "text", "covered").mapInArrow(
-        cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeats.with_spans(keyed(docs, salt), covered).select("doc_id", "text", "covered").mapInArrow(
+        arrays.tidy(cut), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Every row of ``docs`` with the bytes that are left."""
-    return remove(docs, repeated_spans(docs, threshold))
+    salt = salt_for(docs)
+    return remove(docs, repeated_spans(docs, salt, threshold), salt)
 
 
-def cut_rows(docs: DataFrame, covered: DataFrame) -> DataFrame:
-    """``docs`` with the covered bytes taken out of ``text``; bytes of characters that lost some
-    of theirs go too, and ``n_chars``, where there is one, follows. Null texts stay null."""
-    names = docs.columns
+def cut_rows(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """``docs`` without the bytes of ``text`` that repeat an earlier string; bytes of characters that
+    lost some of theirs go too, and ``n_chars``, where there is one, follows. Null texts stay null;
+    columns of any name are kept as they are."""
+    salt = salt_for(docs)
+    covered = repeated_spans(docs, salt, threshold)
+    names, places = docs.columns, [f"c{n}" for n in range(len(docs.columns))]  # Arrow functions take plain names only
+    text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def cut(batches):
         for batch in batches:
             left = []
-            for text, covered in zip(batch.column("c_text").cast(pa.binary()).to_pylist(), batch.column("covered").to_pylist()):
+            for text, covered in zip(batch.column(text_at).cast(pa.binary()).to_pylist(), batch.column("covered").to_pylist()):
                 kept, at = [], 0
                 for start, end in repeats.merged(covered):
                     kept.append(text[at:start])
                     at = end
                 left.append(None if text is None else b"".join([*kept, text[at:]]).decode("utf-8", "ignore"))
-            columns = dict(zip(names, batch.columns))
-            columns["text"] = pa.array(left, pa.string())
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([None if t is None else len(t) for t in left], pa.int64())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
-
-    own = [F.col(f"`{c}`").alias(f"c_{c}") for c in names]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"),
-                       (F.crc32(text.cast("binary")) - F.lit(1 << 31)).cast("int").alias("row_key"))
-    kinds = ", ".join(f"`{f.name}` {'long' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema)
-    return repeats.with_spans(rows, covered).select(*[f"c_{c}" for c in names], "covered").mapInArrow(cut, kinds)
+            columns = batch.columns[:len(places)]
+            columns[text_at] = pa.array(left, pa.string())
+            if chars_at is not None:
+                columns[chars_at] = pa.array([None if t is None else len(t) for t in left], pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, places)
+
+    rows = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(names, places)], rank_of().alias("doc"), text_key(salt).alias("row_key"))
+    kinds = ", ".join(f"{p} {'long' if f.name == 'n_chars' else f.dataType.simpleString()}" for p, f in zip(places, docs.schema))
+    return repeats.with_spans(rows, covered).select(*places, "covered").mapInArrow(arrays.tidy(cut), kinds).toDF(*names)

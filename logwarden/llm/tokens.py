@@ -11,7 +11,8 @@ through the whole tokenizer. Decoding reverses the byte table, so a character th
 tokens comes back whole when its tokens stand together. Offsets are bytes of the text: tokens
 follow each other without gaps.
 
-Cases: null and empty texts have no ids; special-token strings are ordinary text; repeated rows
+Cases: null and empty texts have no ids; a string of an added token is that token, as the library
+has it by default (rank files have none, so there it is ordinary text); repeated rows
 are rows of their own; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -47,11 +48,9 @@ def _byte_of() -> dict[str, int]:
 
 
 def from_json(path: str) -> tokenizers.Tokenizer:
-    """Tokenizer of a file of the library's own format."""
+    """Tokenizer of a file of the library's own format; its added tokens are tokens in texts too."""
     arrays.own_threads()
-    found = tokenizers.Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return tokenizers.Tokenizer.from_file(path)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -126,6 +125,7 @@ class Encoder:
 
     def __init__(self, tokenizer: tokenizers.Tokenizer):
         self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.shown = str.maketrans({chr(b): c for b, c in enumerate(byte_table())})
         self.known: dict[bytes, int] = {}
         self.ids, self.ends = array.array("I"), array.array("q", [0])
@@ -133,10 +133,23 @@ class Encoder:
     def _encode(self, part: bytes) -> list[int]:
         text = part.decode()
         match = text[1:] if text[:1] == " " else text
-        if match.isalpha() or (match and MARKS.issuperset(match)):
+        if (match.isalpha() or (match and MARKS.issuperset(match))) and not any(a in text for a in self.added):
             return [token.id for token in self.model.tokenize(part.decode("latin-1").translate(self.shown))]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def outside_added(self, data: np.ndarray, cuts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The cuts that do not fall inside an added token's text."""
+        if not self.added:
+            return cuts
+        whole, inside = data.tobytes(), np.zeros(len(data) + 1, bool)
+        for token in map(str.encode, self.added):
+            at = whole.find(token)
+            while at >= 0:
+                inside[at + 1:at + len(token)] = True
+                at = whole.find(token, at + 1)
+        inside[offsets] = False  # a text ends there in any case
+        return cuts[~inside[cuts]]
+
     def parts(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All kept ids, and where those of each part begin and end."""
         known = self.known
@@ -157,7 +170,7 @@ class Encoder:
     def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a text column in order, and the offsets of its rows."""
         data, offsets = arrays.plain(column)
-        cuts = parts(data, offsets)
+        cuts = self.outside_added(data, parts(data, offsets), offsets)
         if len(data) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         coded = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [
@@ -187,7 +200,7 @@ def encode(docs: DataFrame, tokenizer: Callable[[], tokenizers.Tokenizer], with_
 
     names = ["doc_id", "n_tokens", "ids"] + ["starts"] * with_offsets
     kinds = "doc_id long, n_tokens long, ids binary" + ", starts binary" * with_offsets
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(every, kinds)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(arrays.tidy(every), kinds)
 
 
 class Decoder:
@@ -227,7 +240,7 @@ def decode(encoded: DataFrame, tokenizer: Callable[[], tokenizers.Tokenizer]) ->
                 [batch.column("doc_id"), pa.array(np.diff(rows)), batch.column("ids"), arrays.packed(data, at[rows])],
                 ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(every, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(arrays.tidy(every), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def cut_pieces(docs: DataFrame, tokenizer: Callable[[], tokenizers.Tokenizer], end_id: int, limit: int, with_ids: bool = False) -> DataFrame:
@@ -256,4 +269,4 @@ def cut_pieces(docs: DataFrame, tokenizer: Callable[[], tokenizers.Tokenizer], e
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(every, kinds)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(arrays.tidy(every), kinds)

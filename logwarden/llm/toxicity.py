@@ -205,7 +205,7 @@ def corpus_trigrams(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(number[some].astype(np.int64))], ["code", "n"])
 
     counts = np.zeros(SIZE ** 3)
-    for row in docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+    for row in docs.select("text").mapInArrow(arrays.tidy(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
         counts[row["code"]] = row["n"]
     return counts.reshape(SIZE, SIZE, SIZE)
 
@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for least in LEAST_ODDS:
         # clean texts, and toxic ones that nothing explains yet: chance companions of clear words stay out
         left = scored(sample, Model(weights, 0.0, prior, flat)).filter("hits = 0 or toxic = 0").select("text", "toxic")
-        strong = (left.mapInArrow(count, "feature string, toxic long, n long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+        strong = (left.mapInArrow(arrays.tidy(count), "feature string, toxic long, n long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
                   .filter(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).filter(F.col("odds") - doubt >= least)
                   .orderBy(F.desc(F.col("odds") * F.col("toxic")), "feature").limit(LEXICON - len(weights)).collect())
         weights |= {row["feature"]: float(row["odds"]) for row in strong}
@@ -308,7 +308,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(hits)], [*names, "score", "hits"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(every, f"{kinds}, score double, hits int")
+    return docs.mapInArrow(arrays.tidy(every), f"{kinds}, score double, hits int")
 
 
 def look_up(word: str, model: Model) -> tuple[str, float] | None:

@@ -48,8 +48,8 @@ def substring_dedup(rows, window=35):
     return out
 
 
-def simhash(rows, size=4, bits=4):
-    """rows of (doc_id, text) -> (doc_id, fingerprint, component_id)."""
+def simhash_groups(rows, size=4, bits=4):
+    """rows of (doc_id, text) -> (doc_id, fingerprint, representative of its group)."""
     import xxhash
     marks = []
     for i, t in rows:
@@ -71,11 +71,16 @@ def simhash(rows, size=4, bits=4):
         for b in fps[k + 1:]:
             if (a ^ b).bit_count() <= bits and root(a) != root(b):
                 parent[root(b)] = root(a)
-    least = {}
-    for i, fp in marks:
+    return [(i, fp, root(fp)) for i, fp in marks]
+
+
+def simhash(rows, size=4, bits=4):
+    """rows of (doc_id, text) -> (doc_id, fingerprint, component_id)."""
+    marks, least = simhash_groups(rows, size, bits), {}
+    for i, _, root in marks:
         if i is not None:
-            least[root(fp)] = min(i, least.get(root(fp), i))
-    return [(i, f"{fp:016x}", least.get(root(fp))) for i, fp in marks]
+            least[root] = min(i, least.get(root, i))
+    return [(i, f"{fp:016x}", least.get(root)) for i, fp, root in marks]
 
 
 def quality(rows):

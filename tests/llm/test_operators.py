@@ -1,16 +1,18 @@
 """Operators against their brute-force versions on messy rows, and on empty tables."""
 
 import random
+import zlib
 
 import brute
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import tokenizers
 from conftest import messy_docs, words
 from pyspark.sql import functions as F
 
-from logwarden.llm import (arrays, cover_dedup, graph, packing, quality, search, secrets, simhash, suffix_dedup, tokens, toxicity, warc)
+from logwarden.llm import (arrays, common, cover_dedup, graph, packing, quality, search, secrets, simhash, suffix_dedup, tokens, toxicity, warc)
 
 ROWS = messy_docs()
 JSON = tokens.json_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
@@ -34,6 +36,26 @@ def test_suffix_dedup_crowded_seed_and_small_pieces(docs, monkeypatch):
     same(suffix_dedup.dedup(docs(rows), 60), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.suffix_dedup(rows, 60))
 
 
+def test_texts_of_one_id_are_told_apart(docs, monkeypatch):
+    """Many texts without id, two of them with one crc32; also where keys of texts clash at first."""
+    rng = random.Random(4)
+    seen = {}
+    while True:
+        text = "".join(rng.choices("abcdefgh", k=12))
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if other != text:
+            break
+    low = words(rng, 60)
+    rows = [(None, text + low), (None, other + low[:40]), (None, low + other), (5, low), (5, text + low), (None, text)]
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    same(suffix_dedup.dedup(docs(rows), 60), columns, brute.suffix_dedup(rows, 60))
+    strong = common.text_key
+    monkeypatch.setattr(common, "text_key", lambda salt: F.lit(7).cast("long") if salt in (0, 1) else strong(salt))
+    assert common.salt_for(docs(rows)) == 2 and common.salt_for(docs(rows[3:4])) == 0
+    same(suffix_dedup.dedup(docs(rows), 60), columns, brute.suffix_dedup(rows, 60))
+    same(cover_dedup.dedup(docs(rows), 5), ["doc_id", "n_words", "n_removed", "kept_sha256"], brute.substring_dedup(rows, 5))
+
+
 @pytest.mark.parametrize("window", [3, 10, 35])
 def test_substring_dedup(docs, window):
     same(cover_dedup.dedup(docs(ROWS), window), ["doc_id", "n_words", "n_removed", "kept_sha256"], brute.substring_dedup(ROWS, window))
@@ -197,8 +219,15 @@ def test_parts_do_not_change_ids(seed):
             assert e.batch(pa.array([text, None, text]))[0].tolist() == 2 * other.encode_ordinary(text)
 
 
+SPECIAL = [(80, "<|endoftext|>"), (81, "a <|endoftext|> b"), (82, "x<|endoftext|>y  <|endoftext|><|endoftext|>"), (83, "<|endof<|endoftext|>text|>"),
+           (84, "<|endoftext|>" * 200), (85, "don't<|endoftext|>'t <|endoftext| > |>")]
+
+
 def test_packing(docs):
-    pieces = tokens.cut_pieces(docs(ROWS), JSON, 2, 128, with_ids=True)
+    """Ids as the library gives them from the file, strings of its special token included."""
+    library, given = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), ROWS + SPECIAL
+    assert 50256 in library.encode("a <|endoftext|> b", add_special_tokens=False).ids
+    pieces = tokens.cut_pieces(docs(given), JSON, 2, 128, with_ids=True)
     packed = packing.pack(pieces, 128)
     rows = packed.collect()
     held = {}
@@ -210,8 +239,8 @@ def test_packing(docs):
     total = sum(r["length"] for r in rows)
     assert len(held) <= -(-total // 128) * 1.1 + 1
     expected = []
-    for i, t in ROWS:
-        ids = [*JSON().encode(t or "", add_special_tokens=False).ids, 2]
+    for i, t in given:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         first = (len(ids) - 1) % 128 + 1
         cuts = [0, *range(first, len(ids) + 1, 128)]
         expected += [(i, n, a, b - a, np.array(ids[a:b], "<u4").tobytes()) for n, (a, b) in enumerate(zip(cuts, cuts[1:]))]
