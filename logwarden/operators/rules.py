@@ -38,6 +38,7 @@ class Rule:
     mitre: str | None
     match: Callable[[], Column]
     threshold: WindowCount | FollowUp | None = None
+    key: Callable[[], Column] | None = None  # what the threshold counts by; the source address if not given
 
 
 def _in(category: str, test: Column) -> Column:

@@ -1,6 +1,8 @@
 """Whole jobs: from raw lines to the two tables, the outbox and the answer to a submission."""
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logwarden.functions import severity
@@ -9,8 +11,8 @@ from logwarden.operators.detect import REFERENCE, detect, flag_events
 from logwarden.operators.enrich import add_geo, unlocated
 from logwarden.operators.parse import parse
 from logwarden.operators.rules import BUILT_IN
-from logwarden.sources import store
-from logwarden.sources.logs import land, next_event_id, submitted
+from logwarden.sources.logs import numbered, submitted, write_lines
+from logwarden.sources.runs import RunTables
 from logwarden.staging import stage
 
 
@@ -20,23 +22,30 @@ def located(alerts: DataFrame, ranges: DataFrame | None) -> DataFrame:
 
 
 def run_batch(
-    logs: DataFrame, events_path: str, alerts_path: str, ranges: DataFrame | None = None,
+    logs: DataFrame, tables: RunTables, key: str | None = None, ranges: DataFrame | None = None,
     rules=BUILT_IN, mode: str = REFERENCE, limited: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Clean, parse, detect and store; returns the two stored tables.
+    """Clean, parse, detect and store as one run; returns the committed events and alerts.
 
-    The lines are landed first, so their arrival time and id are fixed before anything reads them
-    twice, and ids go on after those stored.  Parsed events are written once; detection and
-    flagging read columns.  ``limited`` applies the admission limit, which belongs to lines that
-    arrive over time: the lines of a file read at once all have one arrival time.
+    The lines are written first, so their arrival time and order are fixed before anything reads
+    them twice; the claim of the run then fixes their ids.  With the same ``key`` (say the day or the
+    list of files) a broken run is taken up from its written lines and a committed one is left as it is;
+    without a key every call is a run of its own.  Parsed events are written once; detection and flagging
+    read columns.  ``limited`` applies the admission limit, which belongs to lines that arrive over
+    time: the lines of a file read at once all have one arrival time.
     """
-    spark: SparkSession = logs.sparkSession
-    landed = land(logs, next_event_id(store.read_events(spark, events_path)))
-    events = stage(parse(clean(landed, limited)), "parsed")
-    alerts = stage(located(detect(events, rules, mode), ranges), "alerts")
-    store.append_alerts(alerts, alerts_path)
-    store.append_events(flag_events(events, alerts), events_path)
-    return store.read_events(spark, events_path), store.read_alerts(spark, alerts_path)
+    key = key or uuid.uuid4().hex
+    claim = tables.find(key)
+    if claim is None:
+        folder = tables.new_folder("lines")
+        claim = tables.claim(key, write_lines(logs, folder).count(), lines=folder)
+    if not tables.is_committed(claim):
+        lines = numbered(tables.spark.read.parquet(claim.lines), claim.first_id)
+        events = stage(parse(clean(lines, limited)), "parsed")
+        alerts = stage(located(detect(events, rules, mode), ranges), "alerts")
+        tables.write(claim, flag_events(events, alerts), alerts)
+        tables.commit(claim)
+    return tables.events(), tables.alerts()
 
 
 def submit(records: DataFrame, rules=BUILT_IN, mode: str = REFERENCE) -> DataFrame:

@@ -34,6 +34,7 @@ def with_word(lines: DataFrame, word: str) -> DataFrame:
 
 
 def counts_by_signature(alerts: DataFrame) -> DataFrame:
+    """Hits of each revision of a signature."""
     return (
-        alerts.groupBy("sid", "msg").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "sid", "msg")
+        alerts.groupBy("gid", "sid", "rev", "msg").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "gid", "sid", "rev", "msg")
     )

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from logwarden import fixed_values as fixed
 from logwarden.functions import text
 from logwarden.functions.clock import utc_now
-from logwarden.staging import stage
 
 
 def _as_logs(lines: DataFrame, source: Column, ts: Column | None) -> DataFrame:
@@ -34,30 +33,29 @@ def number_rows(lines: DataFrame) -> DataFrame:
     return lines.select(F.monotonically_increasing_id().alias("event_id"), "*")
 
 
-def land(lines: DataFrame, first_id: int = 0) -> DataFrame:
-    """Write the lines once with their arrival time and a dense ``event_id`` from ``first_id``.
+def write_lines(lines: DataFrame, path: str) -> DataFrame:
+    """Write the lines once with their arrival time, input split and place in it; gives the table.
 
-    All later steps read this table, so times and ids stay as they are however often it is read.
-    Ids rise within an input split and from split to split; a run that appends to a table starts
-    at ``next_event_id``, so ids stay unique over runs and small enough for alert ids.
+    All later steps read this table, so times and order stay as they are however often it is read.
     """
     split, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     kept = [c for c in lines.columns if c != "event_id"]
-    written = stage(lines.select(split.alias("_split"), place.alias("_place"), *kept), "landed")
-    sizes = written.groupBy("_split").agg((F.max("_place") + 1).alias("n"))  # one row for each input split
-    before = sizes.select("_split", (F.sum("n").over(W.orderBy("_split")) - F.col("n")).alias("_before"))
-    numbered = written.join(before, "_split").select((F.col("_before") + F.col("_place") + first_id).alias("event_id"), *kept)
-    return stage(numbered, "numbered")
+    lines.select(split.alias("_split"), place.alias("_place"), *kept).write.parquet(path)
+    return lines.sparkSession.read.parquet(path)
 
 
-def next_event_id(events: DataFrame) -> int:
-    """First id after those of a stored events table."""
-    newest = events.agg(F.max("event_id")).first()[0]
-    return 0 if newest is None else newest + 1
+def numbered(written: DataFrame, first_id: int = 0) -> DataFrame:
+    """Lines of ``write_lines`` with a dense ``event_id`` from ``first_id``, rising within an input
+    split and from split to split; the same each time for the same written lines."""
+    kept = [c for c in written.columns if c not in ("_split", "_place")]
+    sizes = written.groupBy("_split").agg((F.max("_place") + 1).alias("n"))  # one row for each input split
+    before = sizes.select("_split", (F.sum("n").over(W.orderBy("_split")) - F.col("n")).alias("_before"))
+    return written.join(before, "_split").select((F.col("_before") + F.col("_place") + first_id).alias("event_id"), *kept)
 
 
 def read_lines(spark: SparkSession, path: str, source: str, ts: Column | None = None) -> DataFrame:
-    """Lines of text files; invalid UTF-8 becomes U+FFFD, time is the arrival time."""
+    """Lines of text files; invalid UTF-8 becomes U+FFFD, time is the arrival time unless ``ts``
+    takes it from ``value`` or ``_metadata``."""
     return _as_logs(spark.read.text(path), F.lit(source), ts)
 
 
@@ -87,10 +85,11 @@ def watch_list(entries=fixed.WATCHED_LOGS) -> list[tuple[str, str]]:
     return watched
 
 
-def read_watched(spark: SparkSession, entries, stream: bool = False) -> DataFrame:
-    """All watched logs as one table of ``ts, source, raw``."""
+def read_watched(spark: SparkSession, entries, stream: bool = False, ts: Column | None = None) -> DataFrame:
+    """All watched logs as one table of ``ts, source, raw``.  As a stream it goes to
+    ``streaming.landing``, which gives its lines ids."""
     read = stream_lines if stream else read_lines
-    tables = [read(spark, path, name) for path, name in watch_list(entries)]
+    tables = [read(spark, path, name, ts) for path, name in watch_list(entries)]
     if not tables:
         raise ValueError("nothing to watch")
     merged = tables[0]

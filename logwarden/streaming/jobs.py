@@ -1,18 +1,17 @@
 """Streaming queries and their replayable sink."""
 
-from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery
 
-from logwarden.functions.clock import hour_label, micros
 from logwarden.operators.clean import strip_lines, tidy_lines
-from logwarden.operators.detect import REFERENCE, describe, hidden_feeders, match_rules
+from logwarden.operators.detect import REFERENCE, describe
 from logwarden.operators.parse import parse
-from logwarden.operators.rules import BUILT_IN, FollowUp, Rule
+from logwarden.operators.rules import BUILT_IN, Rule
+from logwarden.staging import stage
 from logwarden.streaming import stateful
+from logwarden.streaming.counted import CountedRules
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -23,86 +22,34 @@ def stream_events(logs: DataFrame, limited: bool = False) -> DataFrame:
     return parse(tidy_lines(stateful.admitted(lines) if limited else lines))
 
 
-def stream_alerts(
-    events: DataFrame, rules: tuple[Rule, ...] = BUILT_IN, mode: str = REFERENCE, delay: int = 10
-) -> DataFrame:
-    """Alerts as they happen: matches without a threshold directly, the others through keyed state."""
-    hidden = hidden_feeders(rules, [r for r in rules if isinstance(r.threshold, FollowUp)])
-    matches = match_rules(events, {r.id: r.match() for r in rules} | {tag: r.match() for tag, r in hidden.items()})
-    at_once = [r.id for r in rules if r.threshold is None]
-    fired = matches.filter(F.col("rule_id").isin(at_once))
-    if len(at_once) < len(rules):
-        fired = fired.unionByName(stateful.correlated(matches, rules, mode, delay))
-    return describe(fired, rules)
+def counted_alerts(
+    state: str, rules: tuple[Rule, ...] = BUILT_IN, mode: str = REFERENCE, delay: int = 10
+) -> Callable[[DataFrame, int], DataFrame]:
+    """Alerts of each micro-batch of events; counts go on over micro-batches in the table ``state``."""
+    counted = CountedRules(state, rules, mode, delay)
+    return lambda events, batch_id: describe(counted.fire(stage(events, "parsed"), batch_id), rules)
 
 
-def hourly_counts(events: DataFrame, delay: int = 600) -> DataFrame:
-    """Events per hour; in append mode an hour appears once the watermark has passed it."""
-    at = events.withColumn("_at", F.timestamp_micros(micros(F.col("ts")))).withWatermark("_at", f"{delay} seconds")
-    hour = hour_label(F.col("ts")).alias("hour")
-    return at.groupBy(F.window("_at", "1 hour"), hour).agg(F.count("*").alias("n")).select("hour", "n")
-
-
-def batch_folder(path: str, change: Callable[[DataFrame], DataFrame] | None = None, whole: bool = False):
-    """``foreachBatch`` sink: one folder per micro-batch, overwritten when a batch is replayed.
-
-    With ``whole`` every micro-batch holds the whole result, so all overwrite one folder.
-    """
+def batch_folder(path: str, change: Callable[[DataFrame, int], DataFrame] | None = None):
+    """``foreachBatch`` sink: one folder per micro-batch, overwritten when a batch is replayed."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = batch if change is None else change(batch)
-        out.write.mode("overwrite").parquet(f"{path}/batch={0 if whole else batch_id}")
+        out = batch if change is None else change(batch, batch_id)
+        out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return write
 
 
-class _LateRows(StreamingQueryListener):
-    """Rows dropped behind the watermark, summed over all micro-batches of each query."""
-
-    def __init__(self):
-        self.total: Counter = Counter()
-
-    def onQueryStarted(self, event) -> None:
-        pass
-
-    def onQueryProgress(self, event) -> None:
-        self.total[str(event.progress.id)] += sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
-
-    def onQueryIdle(self, event) -> None:
-        pass
-
-    def onQueryTerminated(self, event) -> None:
-        pass
-
-
-_LISTENERS: dict[str, _LateRows] = {}
-
-
 def start(
-    stream: DataFrame, path: str, checkpoint: str, output_mode: str = "append", available_now: bool = False,
-    interval: str = "10 seconds", change: Callable[[DataFrame], DataFrame] | None = None,
+    stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False, interval: str = "10 seconds",
 ) -> StreamingQuery:
-    """Start a query into batch folders.  Stateful queries need the RocksDB state store."""
-    if output_mode not in ("append", "complete"):
-        raise ValueError("batch folders take append or complete mode")
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    application = spark.sparkContext.applicationId
-    if application not in _LISTENERS:
-        _LISTENERS[application] = _LateRows()
-        spark.streams.addListener(_LISTENERS[application])
-    writer = stream.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
+    """Start a query into a ``foreachBatch`` sink.  Stateful queries need the RocksDB state store."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    writer = stream.writeStream.option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
-    return writer.foreachBatch(batch_folder(path, change, output_mode == "complete")).start()
-
+    return writer.foreachBatch(sink).start()
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that came after the watermark and were left out so far.
 
-    The listener's total covers every micro-batch since ``start``; the recent progress, which is
-    limited in length, covers what has not reached the listener yet.
-    """
-    recent = sum(
-        operator.get("numRowsDroppedByWatermark", 0)
-        for progress in query.recentProgress for operator in progress["stateOperators"]
-    )
-    listener = _LISTENERS.get(query._jsq.sparkSession().sparkContext().applicationId())
-    return max(recent, listener.total[str(query.id)] if listener else 0)
+def finish(query: StreamingQuery) -> None:
+    """Wait for a query over what is available now; its failure is raised."""
+    query.awaitTermination()
+    if query.exception():
+        raise RuntimeError(str(query.exception()))

@@ -1,10 +1,10 @@
-"""Keyed stream state: the admission limit, sliding counts and follow-up correlation.
+"""Keyed stream state: the admission limit.
 
 Rows of a key are taken in time order within a micro-batch, whose size the source bounds
 (``maxBytesPerTrigger``, ``maxOffsetsPerTrigger``).  A row sees the rows that came before it
-and lie in its window, also when it is late itself.  The state of a key holds the times of the
-allowed delay and, before these, as many as the limit or threshold needs; a timer drops it
-once the watermark has passed the longest window.  Later rows are dropped and counted.
+and lie in its window, also when it is late itself.  The state of a source holds the admitted times
+of the allowed delay and the window before it; a timer drops it once the watermark has passed them.
+Later rows are dropped: ``landing.land`` sets them aside before.
 """
 
 from bisect import bisect_left, bisect_right, insort
@@ -18,8 +18,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logwarden import fixed_values as fixed
 from logwarden.functions.clock import MICROS, micros
-from logwarden.operators.detect import REFERENCE, hidden_feeders, smallest_counts
-from logwarden.operators.rules import FollowUp, Rule, WindowCount
 
 
 def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -78,68 +76,6 @@ class Admission(_Timed):
         yield pdf.loc[kept, self.columns]
 
 
-class Correlation(_Timed):
-    """Matches of one key that reach their rule's count, or that follow enough other matches."""
-
-    def __init__(self, rules: tuple[Rule, ...], mode: str, columns: list[str], delay: int):
-        self.columns, self.delay = columns, delay * MICROS
-        self.pruned = mode == REFERENCE
-        self.counts, self.after, self.width, self.length = {}, {}, {}, {}
-        for counter, members in smallest_counts(rules, mode).items():
-            for rule_id, least in members.items():
-                self.counts[rule_id] = (counter, least)
-            self.length[counter] = max(members.values())
-        self.feeds = {}
-        for tag, feeder in hidden_feeders(rules, [r for r in rules if isinstance(r.threshold, FollowUp)]).items():
-            self.feeds[tag] = feeder.threshold.counter
-            self.length[feeder.threshold.counter] = 0
-            self.width[feeder.threshold.counter] = feeder.threshold.seconds * MICROS
-        for rule in rules:
-            if isinstance(rule.threshold, WindowCount):
-                self.width[rule.threshold.counter] = rule.threshold.seconds * MICROS
-            elif isinstance(rule.threshold, FollowUp):
-                limit = rule.threshold
-                self.after[rule.id] = (limit.counter, limit.at_least, limit.seconds * MICROS)
-                self.length[limit.counter] = max(self.length[limit.counter], limit.at_least)
-        self.names = list(self.length)
-        spans = [*self.width.values(), *[span for _, _, span in self.after.values()]]
-        self.keep_us = max(spans) + self.delay
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows)
-        times = self.load()
-        fires = [False] * len(pdf)
-        events: dict[tuple[int, int], list[int]] = {}
-        for place, mark in enumerate(zip(pdf["us"].tolist(), pdf["event_id"].tolist())):
-            events.setdefault(mark, []).append(place)
-        tags = pdf["rule_id"].tolist()
-        for (us, _), places in events.items():
-            matched = {tags[p]: p for p in places}
-            counted = {self.counts[tag][0] for tag in matched if tag in self.counts}
-            for counter in counted | {self.feeds[tag] for tag in matched if tag in self.feeds}:
-                insort(times[counter], us)
-            for tag, place in matched.items():
-                if tag in self.feeds:
-                    continue
-                counter, least = self.counts[tag] if tag in self.counts else self.after[tag][:2]
-                seen = times[counter]
-                so_far = bisect_right(seen, us)
-                if so_far < least:
-                    continue
-                oldest, latest = seen[so_far - least], seen[so_far - 1]
-                if tag in self.counts:
-                    fires[place] = oldest >= us - self.width[counter]
-                else:
-                    near = oldest >= us - self.after[tag][2]
-                    fires[place] = near and (not self.pruned or oldest >= latest - self.width[counter])
-        newest = max(int(pdf["us"].iloc[-1]), *[seen[-1] for seen in times.values() if seen], 0)
-        for counter, seen in times.items():
-            first = bisect_left(seen, newest - self.delay) - self.length[counter]
-            times[counter] = seen[max(first, 0):]
-        self.save(times, newest)
-        yield pdf.loc[fires, self.columns]
-
-
 def admitted(
     logs: DataFrame, delay: int = 10, limit: int = fixed.RATE_LIMIT_ROWS,
     seconds: int = fixed.RATE_LIMIT_SECONDS,
@@ -150,19 +86,3 @@ def admitted(
     return timed.withWatermark("_at", f"{delay} seconds").groupBy("source").transformWithStateInPandas(
         processor, logs.schema, "Append", "EventTime"
     )
-
-
-def correlated(
-    matches: DataFrame, rules: tuple[Rule, ...], mode: str = REFERENCE, delay: int = 10
-) -> DataFrame:
-    """Streaming counterpart of the batch correlation, on the output of ``match_rules``."""
-    counting = [r.id for r in rules if r.threshold is not None]
-    counting += hidden_feeders(rules, [r for r in rules if isinstance(r.threshold, FollowUp)])
-    timed = matches.filter(F.col("rule_id").isin(counting)).withColumns({
-        "key": F.coalesce("source_ip", F.lit(fixed.UNKNOWN_KEY)),
-        "us": micros(F.col("ts")), "_at": F.timestamp_micros(micros(F.col("ts"))),
-    })
-    processor = Correlation(rules, mode, matches.columns, delay)
-    return timed.withWatermark("_at", f"{delay} seconds").groupBy("key").transformWithStateInPandas(
-        processor, matches.schema, "Append", "EventTime"
-    )

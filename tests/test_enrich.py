@@ -1,10 +1,12 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from logwarden import schema
 from logwarden.functions import net, severity
-from logwarden.operators.enrich import add_geo, locate
+from logwarden.operators.enrich import add_geo, innermost, locate
 from logwarden.plans.jobs import outbox
 
 # documentation networks, one range over several /16 blocks, one single address
@@ -34,6 +36,44 @@ def test_located_as_by_plain_comparison(spark):
     assert found == {"192.0.2.0": "A", "192.0.2.255": "A", "203.0.113.0": "B", "1.0.0.0": "C", "1.2.7.7": "C", "1.3.255.255": "C"}
 
 
+def test_innermost_of_random_nested_ranges(spark):
+    """Pieces name the smallest range that holds an address; crossing ranges are refused."""
+    rng = random.Random(2)
+
+    def nested(low, high, depth):
+        if depth == 0 or high - low < 4:
+            return
+        cuts = sorted(rng.sample(range(low, high + 1), 4))
+        for start, end in ((cuts[0], cuts[1] - 1), (cuts[2], cuts[3])):
+            if start <= end:
+                yield start, end
+                yield from nested(start, end, depth - 1)
+
+    spans = sorted(set(nested(0, 3000, 6)))
+    found = {}
+    for start, end, index in innermost([(s, e, n) for n, (s, e) in enumerate(spans)]):
+        for number in range(start, end + 1):
+            assert number not in found
+            found[number] = index
+    for number in range(3001):
+        holding = [(e - s, n) for n, (s, e) in enumerate(spans) if s <= number <= e]
+        assert found.get(number) == (min(holding)[1] if holding else None)
+    assert innermost([(0, 9, 0), (0, 9, 1), (5, 5, 2)]) == [(0, 4, 1), (5, 5, 2), (6, 9, 1)]
+    with pytest.raises(ValueError):
+        innermost([(0, 9, 0), (5, 12, 1)])
+
+
+def test_located_in_nested_ranges(spark):
+    """Outer ranges go on behind inner ones, over /16 blocks too."""
+    wide = [(16777216, 17039359, "O", "", "", "", ""), (16842752, 16842800, "M", "", "", "", ""), (16842760, 16842760, "I", "", "", "", "")]
+    ips = {"1.0.0.200": "O", "1.1.0.0": "M", "1.1.0.8": "I", "1.1.0.9": "M", "1.1.0.48": "M", "1.1.0.49": "O", "1.3.255.255": "O"}
+    addresses = spark.createDataFrame([(i,) for i in [*ips, "1.4.0.0"]], "geo_ip string")
+    assert {r.geo_ip: r.geo.country for r in locate(addresses, spark.createDataFrame(wide, schema.IP_RANGES)).collect()} == ips
+    crossing = spark.createDataFrame([(16777216, 16908287, *"A    "), (16842752, 17039359, *"B    ")], schema.IP_RANGES)
+    with pytest.raises(Exception, match="cross"):
+        locate(addresses, crossing).collect()
+
+
 def test_alert_location(spark):
     rows = [(1, "192.0.2.5"), (2, "10.0.0.1"), (3, "8.8.8.8"), (4, None)] + [(n, "192.0.2.5") for n in range(10, 200)]
     out = add_geo(spark.createDataFrame(rows, "alert_id bigint, geo_ip string"), spark.createDataFrame(RANGES, schema.IP_RANGES))

@@ -11,7 +11,9 @@ from verification.compare import rows_of
 
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = ["parse_events", "alerts_all", "alerts_all_documented", "rate_limit", "geo_enrich", "notify_payload", "signature_hits",
-          "rule_stats", "stats_document", "clean_lines", "trailing_count", "submit_result", "rules_overridden"]
+          "rule_stats", "stats_document", "clean_lines", "trailing_count", "submit_result", "rules_overridden",
+          "committed_runs", "rule_custom_key", "stream_rule_custom_key", "geo_nested", "stream_job_from_text", "late_rows", "late_row_counts",
+          "stream_events_by_hour", "stream_alerts"]
 
 
 def test_every_query_has_sql():

@@ -9,6 +9,7 @@ from logwarden.operators.parse import parse
 from logwarden.plans import reports
 from logwarden.plans.jobs import run_batch, submit
 from logwarden.sources import fastlog, logs, store
+from logwarden.sources.runs import RunTables
 
 NOW = dt.datetime(2024, 5, 20, 12, 0, 0, tzinfo=dt.timezone.utc)
 
@@ -50,25 +51,69 @@ LINES = [(n, "auth", "Mar  1 1:00 h sshd[1]: Failed password for x from 9.9.9.9"
 
 
 def test_batch_job_writes_both_tables(spark, make_logs, tmp_path):
-    events, alerts = run_batch(make_logs(LINES), str(tmp_path / "events"), str(tmp_path / "alerts"))
+    tables = RunTables(spark, str(tmp_path / "tables"))
+    assert tables.events().count() == tables.alerts().count() == tables.claims().count() == 0
+    events, alerts = run_batch(make_logs(LINES), tables)
     flags = {r.event_id: r.has_alert for r in events.collect()}
     assert flags == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 6: 1, 7: 1, 8: 1, 9: 0}
     assert {r.rule_id for r in alerts.collect()} == {"AUTH-001", "SYS-002", "WEB-001"}
     assert events.filter("event_id = 8").first().source_lc == "apache"
     assert alerts.filter("rule_id = 'WEB-001'").first().geo.country == "Internal"
     # a second run appends under ids of its own
-    run_batch(make_logs(LINES), str(tmp_path / "events"), str(tmp_path / "alerts"))
-    events, alerts = store.read_events(spark, str(tmp_path / "events")), store.read_alerts(spark, str(tmp_path / "alerts"))
+    events, alerts = run_batch(make_logs(LINES), tables)
     assert sorted(r.event_id for r in events.collect()) == list(range(20))
     details = reports.alert_details(alerts, events)
     assert details.count() == alerts.count() and alerts.filter("dt is null").count() == 0
 
 
+class Crash(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["write", "commit"])
+def test_a_broken_run_is_invisible_and_can_be_repeated(spark, make_logs, tmp_path, monkeypatch, step):
+    tables = RunTables(spark, str(tmp_path / "tables"))
+    run_batch(make_logs(LINES), tables, "a")
+
+    def crash(self, claim, *rows):
+        if rows:
+            store.append_alerts(rows[1], self.path("alerts", f"run={claim.number}"), "overwrite")
+        raise Crash
+
+    with monkeypatch.context() as patch:
+        patch.setattr(RunTables, step, crash)
+        with pytest.raises(Crash):
+            run_batch(make_logs(LINES[:8]), tables, "b")
+    assert tables.events().count() == 10 and tables.alerts().filter("event_id >= 10").count() == 0
+    events, alerts = run_batch(make_logs(LINES), tables, "c")
+    assert sorted(r.event_id for r in events.collect()) == [*range(10), *range(18, 28)]
+    times = sorted(r.ts for r in spark.read.parquet(tables.find("b").lines).collect())
+    events, alerts = run_batch(make_logs(LINES), tables, "b")  # goes on with the lines it had written
+    assert sorted(r.event_id for r in events.collect()) == list(range(28))
+    assert sorted(r.ts for r in events.filter("event_id BETWEEN 10 AND 17").collect()) == times
+    again = [sorted(map(repr, t.collect())) for t in (events, alerts)]
+    assert [sorted(map(repr, t.collect())) for t in run_batch(make_logs(LINES), tables, "b")] == again
+    assert alerts.join(events, "event_id", "left_anti").count() == 0
+
+
+def test_runs_at_once_get_ids_of_their_own(spark, tmp_path, monkeypatch):
+    one, two = RunTables(spark, str(tmp_path / "t")), RunTables(spark, str(tmp_path / "t"))
+    first = one.claim("a", 5)
+    seen = iter([[1]])  # what the slower run saw before the other one claimed
+    monkeypatch.setattr(two, "_numbers", lambda folder: next(seen, None) or RunTables._numbers(two, folder))
+    third, second = one.claim("b", 7), two.claim("c", 9)
+    assert [(c.number, c.first_id, c.rows) for c in (first, third, second)] == [(1, 0, 5), (2, 5, 7), (3, 12, 9)]
+    assert one.claim("c", 99) == second and not one.is_committed(second)
+    one.commit(second)
+    one.commit(second)
+    assert two.is_committed(second)
+
+
 def test_text_files_are_stored_whole(spark, tmp_path):
     (tmp_path / "a.log").write_text("".join(f"line {k}\n" for k in range(2000)))
+    tables = RunTables(spark, str(tmp_path / "tables"))
     for _ in range(2):
-        lines = logs.read_watched(spark, [(str(tmp_path / "a.log"), "app")])
-        events, alerts = run_batch(lines, str(tmp_path / "events"), str(tmp_path / "alerts"))
+        events, alerts = run_batch(logs.read_watched(spark, [(str(tmp_path / "a.log"), "app")]), tables)
     assert events.count() == 4000 and events.select("event_id").distinct().count() == 4000 and alerts.count() == 0
     assert events.select("raw").distinct().count() == 2000
 

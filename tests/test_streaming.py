@@ -4,12 +4,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from logwarden import schema
+from logwarden.functions.clock import hour_label
 from logwarden.operators.clean import rate_limit
 from logwarden.operators.detect import detect
 from logwarden.operators.parse import parse
 from logwarden.plans.reports import events_by_hour
 from logwarden.sources.logs import stream_lines
-from logwarden.streaming import jobs, stateful
+from logwarden.sources.runs import RunTables
+from logwarden.streaming import jobs, landing, stateful
+from logwarden.streaming.counted import CountedRules
+from logwarden.streaming.upserts import KeyedCounts
 from test_correlate import START, random_rows, table
 
 
@@ -27,22 +31,45 @@ def feed(spark, tmp_path):
     return make
 
 
-def run(stream, tmp_path, output_mode="append"):
-    query = jobs.start(stream, str(tmp_path / "out"), str(tmp_path / "state"), output_mode, available_now=True)
+def run(stream, tmp_path, change=None, name="out"):
+    query = jobs.start(stream, jobs.batch_folder(str(tmp_path / name), change), str(tmp_path / f"{name}-state"), available_now=True)
     query.awaitTermination(300)
     assert query.exception() is None
-    return stream.sparkSession.read.parquet(str(tmp_path / "out")), query
+    return stream.sparkSession.read.parquet(str(tmp_path / name)), query
 
 
 @pytest.mark.parametrize("mode", ["reference", "documented"])
 def test_stream_of_alerts_equals_batch(spark, feed, tmp_path, mode):
+    """One key with most rows, window edges and equal times, over the borders of micro-batches."""
     logs = table(spark, random_rows(3, 1500))
-    out, query = run(jobs.stream_alerts(jobs.stream_events(feed(logs)), mode=mode), tmp_path)
+    out, query = run(jobs.stream_events(feed(logs)), tmp_path, jobs.counted_alerts(str(tmp_path / "counts"), mode=mode))
     expected = detect(parse(logs), mode=mode)
     assert sorted(r.alert_id for r in out.collect()) == sorted(r.alert_id for r in expected.collect())
     assert len(query.recentProgress) >= 4
 
 
+def test_carried_matches_are_few_and_a_replay_changes_nothing(spark, tmp_path):
+    counted = CountedRules(str(tmp_path / "counts"), delay=0)
+    logs = table(spark, [(n * 1000, n, "9.9.9.9", "4xx") for n in range(3000)])
+    for batch in (0, 1, 1, 2, 2):
+        part = parse(logs.filter(F.col("event_id").between(batch * 1000, batch * 1000 + 999)))
+        fired = {(r.event_id, r.rule_id) for r in counted.fire(part, batch).collect()}
+        assert len(fired) == {0: 1000 - 10 + 1000 - 24}.get(batch, 2000)
+        assert spark.read.parquet(str(tmp_path / f"counts/batch={batch}")).count() <= 52
+
+
+def test_out_of_order_rows_see_what_came_before(spark, tmp_path):
+    """Within the delay a row of a later micro-batch counts the earlier ones at or before its time."""
+    counted = CountedRules(str(tmp_path / "counts"), delay=10)
+    seconds = [[0, 1, 2, 3], [8, 9], [4, 5, 3]]
+    fired, first = [], 0
+    for batch, offsets in enumerate(seconds):
+        rows = [(s * 1_000_000, first + k, "9.9.9.9", "ssh_fail") for k, s in enumerate(offsets)]
+        first += len(offsets)
+        fired.append({r.event_id for r in counted.fire(parse(table(spark, rows)), batch).collect()})
+    assert fired == [set(), {4, 5}, {6, 7, 8}]
+
+
 def test_stream_admission_equals_batch(spark, feed, tmp_path):
     rows = [(n, START + dt.timedelta(milliseconds=37 * n), "ab"[n % 5 == 0], "x") for n in range(1200)]
     logs = spark.createDataFrame(rows, schema.RAW_LOGS)
@@ -51,29 +78,36 @@ def test_stream_admission_equals_batch(spark, feed, tmp_path):
     assert {r.event_id for r in out.collect()} == expected and len(expected) < 1200
 
 
-def test_stream_of_hours(spark, feed, tmp_path):
+def test_hours_change_after_they_were_written(spark, tmp_path):
     rows = [(n, START + dt.timedelta(minutes=17 * n), "s", "x") for n in range(60)]
     logs = spark.createDataFrame(rows, schema.RAW_LOGS)
-    out, _ = run(jobs.hourly_counts(feed(logs)), tmp_path)
-    whole = {(r.hour, r.n) for r in events_by_hour(logs, START + dt.timedelta(hours=20)).collect()}
-    found = {(r.hour, r.n) for r in out.collect()}
-    assert found < whole and len(found) >= 15  # hours the watermark has not passed are still open
-
-
-def test_late_rows(spark, tmp_path):
-    """Within the delay a late row counts what came before it in its window; after it, it is dropped."""
-    source = tmp_path / "in"
-    line = "Mar  1 12:00:00 gate sshd[1]: Failed password for bob from 9.9.9.9"
-    # the watermark reaches the late filter one micro-batch after the rows that raise it
-    parts = [[0, 1, 2, 3], [70, 71], [69, 68, 67], [600], [601], [602], [5, 6, 7, 8, 9]]
-    for n, offsets in enumerate(parts):
-        rows = [(n * 100 + k, START + dt.timedelta(seconds=s), "s", line) for k, s in enumerate(offsets)]
-        spark.createDataFrame(rows, schema.RAW_LOGS).coalesce(1).write.mode("append").parquet(str(source))
-    stream = spark.readStream.schema(schema.RAW_LOGS).option("maxFilesPerTrigger", 1).parquet(str(source))
-    out, query = run(jobs.stream_alerts(jobs.stream_events(stream)), tmp_path)
-    # at 67, 68, 69 s: nothing of 0..3 s is within 60 s, and 70, 71 s lie after the row
-    assert out.count() == 0
-    assert jobs.late_rows(query) == 10  # five rows, each a match of two counting rules
+    hours = KeyedCounts(spark, str(tmp_path / "hours"), "hour", whole=2)
+    sink = hours.sink(hour_label(F.col("ts")))
+    assert hours.now().count() == 0
+    for batch, seen in ((0, [0]), (1, [0, 1]), (2, [0, 1, 2]), (2, [0, 1, 2]), (3, [0, 1, 2])):
+        sink(logs.filter(F.col("event_id") % 3 == batch), batch)
+        expected = logs.filter((F.col("event_id") % 3).isin(seen)).groupBy(hour_label(F.col("ts"))).count()
+        assert {tuple(r) for r in hours.now().collect()} == {tuple(r) for r in expected.collect()}
+    assert {tuple(r) for r in hours.now().collect()} == {(r.hour, r.n) for r in events_by_hour(logs, START + dt.timedelta(hours=20)).collect()}
+
+
+def test_late_rows_are_data_and_ids_outlive_a_replay(spark, tmp_path):
+    tables = RunTables(spark, str(tmp_path / "tables"))
+    land = landing.land(tables, delay=10)
+    parts = [[0, 1, 2, 3], [70, 71, 5], [61, 60, 59], [600], [], [5, 600, 590, 589]]
+    batches = [spark.createDataFrame([(START + dt.timedelta(seconds=s), "s", f"{n}:{s}") for s in part], "ts timestamp_ntz, source string, raw string")
+               for n, part in enumerate(parts)]
+    for n, batch in enumerate(batches):
+        land(batch.coalesce(1), n)
+    assert {(r.raw, r.run) for r in landing.late_lines(tables).collect()} == {("2:60", 3), ("2:59", 3), ("5:5", 6), ("5:589", 6)}
+    kept = spark.read.parquet(tables.path("landed"))
+    ids = {r.raw: r.event_id for r in kept.select("raw", "event_id").collect()}
+    assert len(ids) == 11 and ids["0:0"] == 0 and ids["5:600"] == 12
+    land(batches[5].orderBy("raw"), 5)  # the same rows in another order
+    again = RunTables(spark, str(tmp_path / "tables"))
+    assert {r.raw: r.event_id for r in spark.read.parquet(again.path("landed")).select("raw", "event_id").collect()} == ids
+    assert [tuple(r) for r in landing.landing_metrics(again).orderBy("batch").select("batch", "rows", "late").collect()] == [
+        (0, 4, 0), (1, 3, 0), (2, 3, 2), (3, 1, 0), (4, 0, 0), (5, 4, 2)]
 
 
 def test_text_files_as_stream(spark, tmp_path):

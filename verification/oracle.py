@@ -100,9 +100,6 @@ COUNTED = {
     "documented": {"AUTH-001": ("ssh_n", 5), "AUTH-005": ("fail_n", 10), "WEB-002": ("web_n", 20),
                    "WEB-004": ("web_n", 50)},
 }
-RANGE60 = ("OVER (PARTITION BY coalesce(src_ip, 'unknown') ORDER BY ts "
-           "RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)")
-
 RULE_ROWS = rows([(n, *r) for n, r in enumerate(fixed.RULES, 1)])
 RULES_CTE = f"rules(position, id, name, description, severity, category, mitre) AS ({RULE_ROWS})"
 
@@ -122,19 +119,26 @@ def firing(mode: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-def base(mode: str = "reference", upto: str = "alerts") -> str:
+def so_far(x: str, seconds: int, by: str) -> str:
+    """Sum of x over the window, of rows of equal time those up to the own one in event order."""
+    here = f"PARTITION BY {by}, ts"
+    return (f"(sum({x}) OVER (PARTITION BY {by} ORDER BY ts RANGE BETWEEN INTERVAL {seconds} SECONDS PRECEDING AND CURRENT ROW) "
+            f"- sum({x}) OVER ({here}) + sum({x}) OVER ({here} ORDER BY event_id ROWS UNBOUNDED PRECEDING))")
+
+
+def base(mode: str = "reference", upto: str = "alerts", logs: str = LOGS) -> str:
     """WITH clause: logs, ev, and with ``upto='alerts'`` also the alerts."""
-    ctes = [f"logs AS ({LOGS})", f"ev AS ({parsed()})"]
+    ctes = [f"logs AS ({logs})", f"ev AS ({parsed()})"]
+    address = "coalesce(src_ip, 'unknown')"
     if upto == "alerts":
         ctes += [
             RULES_CTE,
             f"tls AS (SELECT *, split_part(sni, '.', 1) AS lab FROM ({TLS}) t)",
             "counted AS (SELECT *, "
-            f"sum(CASE WHEN {PATTERNS['AUTH-001']} THEN 1 ELSE 0 END) {RANGE60} AS ssh_n, "
-            f"sum(CASE WHEN {PATTERNS['AUTH-005']} THEN 1 ELSE 0 END) {RANGE60} AS fail_n, "
-            f"sum(CASE WHEN {PATTERNS['WEB-002']} THEN 1 ELSE 0 END) {RANGE60} AS web_n FROM ev)",
+            + ", ".join(f"{so_far(f'CASE WHEN {PATTERNS[rule]} THEN 1 ELSE 0 END', 60, address)} AS {name}"
+                        for rule, name in (("AUTH-001", "ssh_n"), ("AUTH-005", "fail_n"), ("WEB-002", "web_n"))) + " FROM ev)",
             "followed AS (SELECT event_id, kind, "
-            "sum(kind) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN INTERVAL 300 SECONDS PRECEDING AND CURRENT ROW) AS c300, "
+            f"{so_far('kind', 300, 'key')} AS c300, "
             "last_value(n60 IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n60 "
             "FROM (SELECT event_id, ts, coalesce(src_ip, 'unknown') AS key, 1 AS kind, ssh_n AS n60 FROM counted "
             f"WHERE {PATTERNS['AUTH-001']} UNION ALL SELECT event_id, ts, coalesce(src_ip, 'unknown'), 0, NULL FROM ev "
@@ -181,6 +185,19 @@ def with_geo() -> str:
     return base().rstrip() + ", " + GEO_CTE
 
 
+# One wide range, ranges of regions in it, and single addresses of nations in those.
+NESTED = """
+SELECT CAST(3325256704 AS BIGINT) AS start, CAST(3325518847 AS BIGINT) AS "end", 'Outer' AS country, '' AS region, '' AS city, 'wide' AS isp, '' AS org
+UNION ALL
+SELECT CAST(3325256704 + 64 * r_regionkey AS BIGINT), CAST(3325256704 + 64 * r_regionkey + 59 AS BIGINT), r_name, r_name, '', '', '' FROM region
+UNION ALL
+SELECT CAST(3325256704 + 64 * n_regionkey + 2 * n_nationkey AS BIGINT), CAST(3325256704 + 64 * n_regionkey + 2 * n_nationkey AS BIGINT),
+  n_name, r_name, 'City ' || CAST(n_nationkey AS STRING), '', '' FROM nation JOIN region ON n_regionkey = r_regionkey
+"""
+# Addresses in and around them, from the customer table.
+VISITORS = "SELECT DISTINCT c_custkey % 400 AS host FROM customer"
+
+
 def json(x: str) -> str:
     return f"CAST(to_json({x}) AS VARCHAR)"
 

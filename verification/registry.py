@@ -1,5 +1,6 @@
 """Every query of the engine on the given tables, with the SQL it is compared with."""
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,11 @@ from logwarden.operators.parse import fields_from_json, fields_json, parse, resp
 from logwarden.plans import jobs, reports
 from logwarden.sources import fastlog, store
 from logwarden.sources import logs as sources
+from logwarden.sources.runs import RunTables
 from logwarden.staging import new_path, stage
 from logwarden.streaming import jobs as streams
-from logwarden.streaming import stateful
+from logwarden.streaming import landing, stateful
+from logwarden.streaming.upserts import KeyedCounts
 from verification import derived, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,10 +89,9 @@ _fields_of("syslog", "priority, message")
 _fields_of("generic", "message")
 
 
-@query("url_decode_query", EV + "SELECT event_id, split_part(full_uri, '?', 2) AS encoded, query FROM ev "
-       "WHERE contains(full_uri, '%')")
+@query("url_decode_query", EV + "SELECT event_id, split_part(full_uri, '?', 2) AS encoded, query FROM ev WHERE category = 'web'")
 def _(spark, folder):
-    web = events(spark, folder).filter(F.contains("full_uri", F.lit("%")))
+    web = events(spark, folder).filter(F.col("category") == "web")
     encoded = F.split_part("full_uri", F.lit("?"), F.lit(2))
     return web.select("event_id", encoded.alias("encoded"), "query")
 
@@ -130,16 +132,22 @@ def _(spark, folder):
 # --- Sources and tables ------------------------------------------------------------------
 
 
-@query("watched_files", f"SELECT source, raw, count(*) AS n FROM ({oracle.LOGS}) l WHERE source IN ('auth', 'apache', 'kernel') "
-       "GROUP BY ALL")
+def _by_source(rows: DataFrame) -> DataFrame:
+    """Lines as ``value`` with their source as a folder name."""
+    return rows.withColumns({"folder": F.translate("source", ":", "_"), "value": F.col("raw")})
+
+
+def _watched(spark, folder, root: str, below: str = "") -> list[tuple[str, str]]:
+    """Folder and name of every source of the derived lines."""
+    sources_seen = [r[0] for r in lines(spark, folder).select("source").distinct().collect()]  # eight names
+    return [(f"{root}/folder={name.replace(':', '_')}{below}", name) for name in sorted(sources_seen)]
+
+
+@query("watched_files", f"SELECT source, raw, count(*) AS n FROM ({oracle.LOGS}) l GROUP BY ALL")
 def _(spark, folder):
     written = new_path(spark, "watched")
-    names = ["auth", "apache", "kernel"]
-    lines(spark, folder).filter(F.col("source").isin(names)).select("source", F.col("raw").alias("value")).write.partitionBy(
-        "source"
-    ).text(written)
-    watched = sources.read_watched(spark, [(f"{written}/source={n}", n) for n in names])
-    return watched.groupBy("source", "raw").agg(F.count("*").alias("n"))
+    _by_source(lines(spark, folder)).select("folder", "value").write.partitionBy("folder").text(written)
+    return sources.read_watched(spark, _watched(spark, folder, written)).groupBy("source", "raw").agg(F.count("*").alias("n"))
 
 
 @query("syslog_records", "SELECT event_id, 'syslog:10.1.0.' || CAST(user_id % 250 AS STRING) AS source, "
@@ -174,7 +182,8 @@ def _(spark, folder):
     return fastlog.parse_fastlog(_fastlog(spark, folder)).select("event_id", "sid", "rev", "msg", "class", "src", "seen_at")
 
 
-@query("fastlog_counts", FAST + "SELECT CAST(p.sid AS INT) AS sid, p.msg AS msg, count(*) AS hits FROM fa GROUP BY 1, 2")
+@query("fastlog_counts", FAST + "SELECT CAST(1 AS INT) AS gid, CAST(p.sid AS INT) AS sid, CAST(p.rev AS INT) AS rev, p.msg AS msg, count(*) AS hits "
+       "FROM fa GROUP BY ALL")
 def _(spark, folder):
     return fastlog.counts_by_signature(fastlog.parse_fastlog(_fastlog(spark, folder)))
 
@@ -221,6 +230,52 @@ def _(spark, folder):
     return store.read_alerts(spark, f"{root}/again").groupBy("severity").agg(F.count("*").alias("n"))
 
 
+# A third of the lines a run; the second is broken off after its alerts were written, and repeated last.
+THIRD = "event_id * 3 // (SELECT max(event_id) + 1 FROM events)"
+_RUNS = [oracle.base(logs=f"SELECT * FROM ({oracle.LOGS}) l WHERE {THIRD} = {k}") for k in range(3)]
+
+
+class BrokenOff(Exception):
+    pass
+
+
+class Breaking(RunTables):
+    """Tables whose runs end between the writing of alerts and that of events."""
+
+    def write(self, claim, events, alerts):
+        store.append_alerts(alerts, self.path("alerts", f"run={claim.number}"), "overwrite")
+        raise BrokenOff
+
+
+@query("committed_runs", "SELECT what, ts, name, n FROM (" + " UNION ALL ".join(
+    f"SELECT * FROM ({run} SELECT 'alert' AS what, ts, rule_id AS name, 1 AS n FROM alerts UNION ALL "
+    "SELECT 'event', ts, category, CASE WHEN event_id IN (SELECT event_id FROM alerts) THEN 1 ELSE 0 END FROM ev) r" for run in _RUNS)
+    + ") a UNION ALL SELECT 'ids', NULL, 'distinct, first, last and alerted without event', count(*) FROM events")
+def _(spark, folder):
+    tables, root = [], new_path(spark, "runs")
+    logs = stage(lines(spark, folder), "lines")
+    last = logs.agg(F.max("event_id")).first()[0]
+    part = [logs.filter(F.call_function("div", F.col("event_id") * 3, F.lit(last + 1)) == k) for k in range(3)]
+    good = RunTables(spark, root)
+    jobs.run_batch(part[0], good, "first")
+    try:
+        jobs.run_batch(part[1], Breaking(spark, root), "second")
+    except BrokenOff:
+        tables.append(good.alerts().count() + good.events().count())
+    _, alerts_seen = jobs.run_batch(part[2], good, "third")
+    if tables[0] + alerts_seen.filter(F.col("event_id").isNull()).count() >= jobs.run_batch(part[1], good, "second")[0].count() * 3:
+        raise RuntimeError("a run that was not committed could be read")
+    stored, found = jobs.run_batch(part[0], good, "first")  # committed before: nothing changes
+    unknown = found.join(stored, "event_id", "left_anti").count()
+    ids = stored.agg(F.countDistinct("event_id").alias("d"), F.min("event_id").alias("a"), F.max("event_id").alias("b"))
+    whole = (F.col("a") == 0) & (F.col("b") == F.col("d") - 1) & F.lit(unknown == 0)
+    none = F.lit(None).cast("timestamp_ntz").alias("ts")
+    return (found.select(F.lit("alert").alias("what"), "ts", F.col("rule_id").alias("name"), F.lit(1).cast("bigint").alias("n"))
+            .unionByName(stored.select(F.lit("event").alias("what"), "ts", F.col("category").alias("name"), F.col("has_alert").cast("bigint").alias("n")))
+            .unionByName(ids.select(F.lit("ids").alias("what"), none, F.lit("distinct, first, last and alerted without event").alias("name"),
+                                    F.when(whole, F.col("d")).otherwise(-1).alias("n"))))
+
+
 @query("submit_result", f"WITH logs AS (SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 'api' ELSE source END AS source, raw FROM ({oracle.LOGS}) l "
        "WHERE event_id % 7 <> 0), " + AL[AL.index("ev AS ("):] + "SELECT e.event_id, count(rule_id) AS alerts FROM ev e "
        "LEFT JOIN alerts a ON a.event_id = e.event_id GROUP BY 1")
@@ -273,6 +328,31 @@ for _mode, _name in ((detect.REFERENCE, "alerts_all"), (detect.DOCUMENTED, "aler
         return alerts(spark, folder, mode).select(*ALERT_LIST, "description")
 
 
+def _path_rules() -> tuple[rules.Rule, ...]:
+    """Two rules with matches of their own that feed one counter by path."""
+    def path():
+        return F.col("path")
+
+    missing = rules.Rule("WEB-201", "Missing page", "d", "LOW", "web", None, lambda: (F.col("category") == "web") & (F.col("status") == 404),
+                         rules.WindowCount("path_errors", 5, 40), path)
+    failing = rules.Rule("WEB-202", "Failing page", "d", "MEDIUM", "web", None, lambda: (F.col("category") == "web") & F.col("status").isin(403, 404, 500),
+                         rules.WindowCount("path_errors", 8, 40), path)
+    return rules.with_rule(failing, rules.with_rule(missing))
+
+
+# Both rules record into the counter, the first one first; a row sees the records up to its own.
+RULE_CUSTOM_KEY = AL.rstrip() + ", recs AS (SELECT event_id, ts, path, 1 AS p, 'WEB-201' AS rule_id FROM ev WHERE category = 'web' AND status = 404 " \
+    "UNION ALL SELECT event_id, ts, path, 2, 'WEB-202' FROM ev WHERE category = 'web' AND status IN (403, 404, 500)), " \
+    "seen AS (SELECT a.event_id, a.rule_id, count(*) AS n FROM recs a JOIN recs b ON b.path = a.path AND b.ts >= a.ts - INTERVAL 40 SECONDS " \
+    "AND (b.ts < a.ts OR (b.event_id = a.event_id AND b.p <= a.p)) GROUP BY 1, 2) " \
+    "SELECT event_id, rule_id FROM seen WHERE n >= CASE rule_id WHEN 'WEB-201' THEN 5 ELSE 8 END"
+
+
+@query("rule_custom_key", RULE_CUSTOM_KEY)
+def _(spark, folder):
+    return detect.detect(events(spark, folder), _path_rules(), only=("WEB-201", "WEB-202")).select("event_id", "rule_id")
+
+
 @query("rule_custom", AL + "SELECT event_id, source_ip, severity FROM (SELECT event_id, src_ip AS source_ip, 'LOW' AS severity, "
        "count(*) OVER (PARTITION BY src_ip ORDER BY ts RANGE BETWEEN INTERVAL 30 SECONDS PRECEDING AND CURRENT ROW) AS n "
        "FROM ev WHERE status >= 500) x WHERE n >= 3")
@@ -376,12 +456,13 @@ def _(spark, folder):
 # --- Windows -----------------------------------------------------------------------------
 
 
-@query("trailing_count", EV + "SELECT event_id, src_ip, count(*) OVER (PARTITION BY src_ip ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS "
-       "PRECEDING AND CURRENT ROW) AS recent FROM ev WHERE src_ip IS NOT NULL")
+@query("trailing_count", EV + "SELECT event_id, key, count(*) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS "
+       "PRECEDING AND CURRENT ROW) AS recent FROM (SELECT event_id, ts, coalesce(src_ip, 'unknown') AS key FROM ev) e")
 def _(spark, folder):
-    seen = stage(events(spark, folder).filter(F.col("src_ip").isNotNull()).select("event_id", "ts", "src_ip"), "seen")
-    counts = correlate.trailing_count(seen, "src_ip", clock.micros(F.col("ts")), fixed.WINDOW_SECONDS)
-    return seen.select("event_id", "src_ip").join(counts, "event_id")
+    key = F.coalesce("src_ip", F.lit(fixed.UNKNOWN_KEY)).alias("key")
+    seen = stage(events(spark, folder).select("event_id", "ts", key), "seen")
+    counts = correlate.trailing_count(seen, "key", clock.micros(F.col("ts")), fixed.WINDOW_SECONDS)
+    return seen.select("event_id", "key").join(counts, "event_id")
 
 
 # --- Enrichment and notification ---------------------------------------------------------
@@ -418,6 +499,18 @@ def _(spark, folder):
     return _located(spark, folder).groupBy(place).agg(F.count("*").alias("n"))
 
 
+@query("geo_nested", f"WITH ranges AS ({oracle.NESTED}), v AS (SELECT host, CAST(3325256704 + host AS BIGINT) AS number FROM ({oracle.VISITORS}) h) "
+       "SELECT '198.51.' || CAST(100 + host // 256 AS VARCHAR) || '.' || CAST(host % 256 AS VARCHAR) AS geo_ip, arg_max(country, start * 1000000 - (\"end\" - start)) AS country, "
+       "arg_max(city, start * 1000000 - (\"end\" - start)) AS city FROM v JOIN ranges ON number BETWEEN start AND \"end\" GROUP BY host")
+def _(spark, folder):
+    sql = oracle.NESTED.replace("FROM region", "FROM {region}").replace("FROM nation JOIN region", "FROM {nation} JOIN {region}")
+    known = spark.sql(sql.replace('"end"', "`end`"), nation=table(spark, folder, "nation"), region=table(spark, folder, "region"))
+    host = F.col("c_custkey") % 400
+    address = F.concat(F.lit("198.51."), (F.lit(100) + F.call_function("div", host, F.lit(256))).cast("string"), F.lit("."), (host % 256).cast("string"))
+    found = enrich.locate(table(spark, folder, "customer").select(address.alias("geo_ip")), known)
+    return found.select("geo_ip", "geo.country", "geo.city")
+
+
 _FAMILIES = oracle.rows(fixed.BAD_JA3)
 
 
@@ -630,27 +723,129 @@ def _stream(spark, folder, ts=derived.SPARK_TS) -> DataFrame:
     return spark.sql(derived.for_spark(derived.LOGS, ts), events=files)
 
 
-def _finished(stream: DataFrame, label: str, output_mode: str = "append", change=None) -> DataFrame:
+def _finished(stream: DataFrame, label: str, change=None) -> DataFrame:
     """Run the stream over all input and give what its sink holds."""
     root = new_path(stream.sparkSession, label)
-    run = streams.start(stream, f"{root}/out", f"{root}/state", output_mode, True, change=change)
-    run.awaitTermination()
-    if run.exception():
-        raise RuntimeError(str(run.exception()))
+    streams.finish(streams.start(stream, streams.batch_folder(f"{root}/out", change), f"{root}/state", True))
     return stream.sparkSession.read.parquet(f"{root}/out").drop("batch")
 
 
+def _replay(spark, checkpoint: str) -> None:
+    """Make a query repeat its last micro-batch, as after a crash before its commit was noted."""
+    files, folder = store._folder(spark, f"{checkpoint}/commits")
+    names = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName().isdigit()]
+    last = max(names, key=lambda p: int(p.getName()))
+    for path in (last, last.getParent().suffix(f"/.{last.getName()}.crc")):
+        files.delete(path, False)
+
+
 @query("stream_events", EV + "SELECT event_id, category, message, src_ip, status FROM ev")
 def _(spark, folder):
     out = streams.stream_events(_stream(spark, folder)).select("event_id", "category", "message", "src_ip", "status")
     return _finished(out, "stream_events")
 
 
+def _stream_alerts(spark, folder, name, mode=detect.REFERENCE, rule_set=rules.BUILT_IN, then=lambda found: found):
+    found = streams.counted_alerts(new_path(spark, "counted"), rule_set, mode)
+    return _finished(streams.stream_events(_stream(spark, folder)), name, lambda batch, n: then(found(batch, n)))
+
+
 for _mode, _name in ((detect.REFERENCE, "stream_alerts"), (detect.DOCUMENTED, "stream_alerts_documented")):
     @query(_name, oracle.base(_mode) + f"SELECT {ALERT_COLUMNS} FROM alerts")
     def _(spark, folder, mode=_mode, name=_name):
-        out = streams.stream_alerts(streams.stream_events(_stream(spark, folder)), mode=mode)
-        return _finished(out.select(ALERT_LIST), name)
+        return _stream_alerts(spark, folder, name, mode).select(ALERT_LIST)
+
+
+@query("stream_rule_custom_key", RULE_CUSTOM_KEY)
+def _(spark, folder):
+    """In four micro-batches, so that counts go on over their borders."""
+    root, found = new_path(spark, "rounds"), streams.counted_alerts(new_path(spark, "counted"), _path_rules())
+    rows = _in_rounds(lines(spark, folder), 4)
+    for k in range(4):
+        rows.filter(F.col("round") == k).drop("round").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        given = spark.readStream.schema(schema.RAW_LOGS).parquet(f"{root}/in")
+        streams.finish(streams.start(streams.stream_events(given), streams.batch_folder(f"{root}/out", found), f"{root}/state", True))
+    return spark.read.parquet(f"{root}/out").filter(F.col("rule_id").isin("WEB-201", "WEB-202")).select("event_id", "rule_id")
+
+
+def _in_rounds(rows: DataFrame, number: int) -> DataFrame:
+    """Rows with the round, by event id, in which they come; written once."""
+    rows = stage(rows, "rounds")
+    last = rows.agg(F.max("event_id")).first()[0]
+    return rows.withColumn("round", F.call_function("div", F.col("event_id") * number, F.lit(last + 1)))
+
+
+# Sixteen arrival times of twenty seconds; a file holds the lines of one source and time.
+CHUNK = "event_id * 16 // (SELECT max(event_id) + 1 FROM events)"
+CHUNKED = derived.for_duckdb(derived.LOGS, f"TIMESTAMP '2024-01-01 00:00:00' + to_seconds(20 * ({CHUNK}))")
+
+
+@query("stream_job_from_text", oracle.base(logs=CHUNKED) + "SELECT 'alert' AS what, rule_id AS name, source_ip AS ip, ts, count(*) AS n, 0 AS alerted FROM alerts GROUP BY ALL "
+       "UNION ALL SELECT 'event', category, src_ip, ts, count(*), count(*) FILTER (event_id IN (SELECT event_id FROM alerts)) FROM ev GROUP BY ALL")
+def _(spark, folder):
+    """Files of all sources land in four rounds; the last micro-batch of both queries is repeated."""
+    root = new_path(spark, "text")
+    chunked = _by_source(_in_rounds(lines(spark, folder), 16).withColumnRenamed("round", "chunk"))
+    rows = stage(chunked.select("event_id", "folder", "chunk", "value"), "files")
+    tables = RunTables(spark, f"{root}/tables")
+    part = F.regexp_extract("_metadata.file_path", r"chunk=(\d+)", 1).cast("int") * 20
+    ts = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=part)
+    watched = _watched(spark, folder, f"{root}/in", "/chunk=*")
+
+    def run():
+        lines_in = sources.read_watched(spark, watched, stream=True, ts=ts)
+        streams.finish(streams.start(lines_in, landing.land(tables), f"{root}/landing", True))
+        streams.finish(streams.start(landing.landed(tables), landing.detect_into(tables), f"{root}/detection", True))
+
+    for k in range(4):
+        new = rows.filter(F.call_function("div", F.col("chunk"), F.lit(4)) == k)
+        new.repartition("folder", "chunk").sortWithinPartitions("folder", "chunk", "event_id").select("folder", "chunk", "value").write.mode(
+            "append").partitionBy("folder", "chunk").text(f"{root}/in")
+        run()
+    before = tables.claims().count()
+    for query_state in ("landing", "detection"):
+        _replay(spark, f"{root}/{query_state}")
+    run()
+    if tables.claims().count() != before:
+        raise RuntimeError("a repeated micro-batch claimed another run")
+    stored, found = tables.events(), tables.alerts()
+    return found.groupBy(F.lit("alert").alias("what"), F.col("rule_id").alias("name"), F.col("source_ip").alias("ip"), "ts").agg(
+        F.count("*").alias("n"), F.lit(0).cast("bigint").alias("alerted")).unionByName(
+            stored.groupBy(F.lit("event").alias("what"), F.col("category").alias("name"), F.col("src_ip").alias("ip"), "ts").agg(
+                F.count("*").alias("n"), F.sum("has_alert").alias("alerted")))
+
+
+# Every 97th row comes one round after its time.
+ROUND = "event_id * 5 // (SELECT max(event_id) + 1 FROM events)"
+ARRIVAL = f"WITH l AS ({oracle.LOGS}), a AS (SELECT event_id, ts, source, raw, least(4, {ROUND} + CASE WHEN event_id % 97 = 5 THEN 1 ELSE 0 END) AS batch FROM l), " \
+    "m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, count(*) AS rows, " \
+    "max(max(ts)) OVER (ORDER BY batch) AS newest FROM a GROUP BY batch), " \
+    "late AS (SELECT a.* FROM a JOIN m USING (batch) WHERE ts < before - INTERVAL 5 SECONDS) "
+
+
+def _landed_in_rounds(spark, folder) -> RunTables:
+    """Every round is a start of its own from the checkpoint."""
+    root = new_path(spark, "late")
+    tables = RunTables(spark, f"{root}/tables")
+    rows = _in_rounds(lines(spark, folder), 5)
+    arrival = F.least(F.lit(4), F.col("round") + F.when(F.col("event_id") % 97 == 5, 1).otherwise(0))
+    for k in range(5):
+        rows.filter(arrival == k).drop("round").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        given = spark.readStream.schema(schema.RAW_LOGS).parquet(f"{root}/in").select("ts", "source", "raw")
+        streams.finish(streams.start(given, landing.land(tables, delay=5), f"{root}/state", True))
+    return tables
+
+
+@query("late_rows", ARRIVAL + "SELECT ts, source, raw, batch FROM late")
+def _(spark, folder):
+    tables = _landed_in_rounds(spark, folder)
+    batches = landing.landing_metrics(tables).select("run", "batch")
+    return landing.late_lines(tables).join(batches, "run").select("ts", "source", "raw", "batch")
+
+
+@query("late_row_counts", ARRIVAL + "SELECT m.batch, rows, count(late.batch) AS late, epoch_us(newest) AS newest FROM m LEFT JOIN late ON late.batch = m.batch GROUP BY ALL")
+def _(spark, folder):
+    return landing.landing_metrics(_landed_in_rounds(spark, folder)).drop("run")
 
 
 @query("stream_rate_limit", oracle.RATE_LIMIT)
@@ -659,27 +854,33 @@ def _(spark, folder):
     return _finished(admitted.select("source", "event_id"), "stream_rate_limit")
 
 
-@query("stream_events_by_hour", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:00:00') AS hour, count(*) AS n FROM events GROUP BY 1")
+@query("stream_events_by_hour", "SELECT r.batch, strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:00:00') AS hour, count(*) AS n FROM events "
+       "JOIN (SELECT unnest(range(4)) AS batch) r ON event_id % 4 <= r.batch GROUP BY ALL")
 def _(spark, folder):
-    given = table(spark, folder, "events").schema
-    files = spark.readStream.schema(given).option("pathGlobFilter", "events.parquet").parquet(folder)
-    return _finished(streams.hourly_counts(files.select("event_id", "ts")), "stream_hours", "complete")
+    """Hours as they stand after each of four micro-batches, all of which bring rows of every hour."""
+    root = new_path(spark, "hours")
+    given = stage(table(spark, folder, "events").select("event_id", "ts"), "events")
+    hours, seen = KeyedCounts(spark, f"{root}/hours", "hour", whole=3), []
+    for k in range(4):
+        given.filter(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        rows = spark.readStream.schema(given.schema).parquet(f"{root}/in")
+        streams.finish(streams.start(rows, hours.sink(clock.hour_label(F.col("ts"))), f"{root}/state", True))
+        seen.append(stage(hours.now(), "version").withColumn("batch", F.lit(k).cast("bigint")))
+    return functools.reduce(DataFrame.unionByName, seen)
 
 
 @query("stream_located_alerts", GEO + "SELECT alert_id, rule_id, country, city FROM geo")
 def _(spark, folder):
     """Alerts of a stream, located per micro-batch by the batch join."""
-    out = streams.stream_alerts(streams.stream_events(_stream(spark, folder)))
     known = stage(ranges(spark, folder), "ranges")
-    located = _finished(out, "stream_geo", change=lambda batch: jobs.located(batch, known))
-    return located.select("alert_id", "rule_id", "geo.country", "geo.city")
+    found = _stream_alerts(spark, folder, "stream_geo", then=lambda batch: jobs.located(batch, known))
+    return found.select("alert_id", "rule_id", "geo.country", "geo.city")
 
 
 @query("stream_outbox", GEO + f"SELECT alert_id, {oracle.payload()} AS payload FROM geo WHERE severity = 'CRITICAL'")
 def _(spark, folder):
-    out = streams.stream_alerts(streams.stream_events(_stream(spark, folder)))
     known = stage(ranges(spark, folder), "ranges")
-    return _finished(out, "stream_outbox", change=lambda batch: jobs.outbox(jobs.located(batch, known), "CRITICAL"))
+    return _stream_alerts(spark, folder, "stream_outbox", then=lambda batch: jobs.outbox(jobs.located(batch, known), "CRITICAL"))
 
 
 @query("stream_signature_hits", SIG + "SELECT flow_id, sid FROM hits")
