@@ -1,7 +1,10 @@
 """Raw line cleaning and the per-source admission limit."""
 
+from collections import deque
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,10 +12,7 @@ from pyspark.sql import functions as F
 from logwarden import fixed_values as fixed
 from logwarden.functions import text
 from logwarden.functions.clock import MICROS, cell, micros
-from logwarden.staging import new_path, sized, stage
-
-CHUNK_TICKS = 4_000_000
-TICKS = "source string, run bigint, us bigint, rows bigint, admitted bigint"
+from logwarden.staging import sized, stage
 
 
 def strip_lines(logs: DataFrame) -> DataFrame:
@@ -34,27 +34,65 @@ def clean(logs: DataFrame, limited: bool = False) -> DataFrame:
     return tidy_lines(rate_limit(lines) if limited else lines)
 
 
-def admit(us: np.ndarray, rows: np.ndarray, given: np.ndarray, limit: int, width: int) -> np.ndarray:
-    """Rows admitted per instant, in time order; ``given`` >= 0 marks instants decided before."""
-    us, rows, given = us.tolist(), rows.tolist(), given.tolist()
-    admitted = [0] * len(us)
-    oldest, inside = 0, 0
-    for now in range(len(us)):
-        while us[oldest] < us[now] - width:
-            inside -= admitted[oldest]
-            oldest += 1
-        free = limit - inside
-        take = given[now] if given[now] >= 0 else min(rows[now], free)
-        admitted[now] = take
-        inside += take
-    return np.asarray(admitted, dtype=np.int64)
+class Walk:
+    """Admission of one source, instant by instant in time order, with the admitted rows of the last
+    window as its only memory.  Where the window is full it goes on at the instant that frees it, so the
+    work grows with the admitted rows and not with the refused ones."""
+
+    def __init__(self, limit: int, width: int):
+        self.limit, self.width = limit, width
+        self.held: deque[tuple[int, int]] = deque()
+        self.inside = 0
+
+    def _hold(self, us: int, rows: int) -> None:
+        self.held.append((us, rows))
+        self.inside += rows
+
+    def take(self, us: np.ndarray, rows: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """Rows admitted per instant; ``given`` >= 0 marks instants decided before."""
+        admitted = np.where(given >= 0, given, 0)
+        decided = np.flatnonzero(given >= 0)
+        now = 0
+        while now < len(us):
+            at = int(us[now])
+            while self.held and self.held[0][0] < at - self.width:
+                self.inside -= self.held.popleft()[1]
+            if given[now] >= 0:
+                self._hold(at, int(given[now]))
+            elif self.inside < self.limit:
+                admitted[now] = min(int(rows[now]), self.limit - self.inside)
+                self._hold(at, int(admitted[now]))
+            else:
+                free = int(np.searchsorted(us, self.held[0][0] + self.width, "right"))
+                known = np.searchsorted(decided, now, "right")
+                now = min(max(free, now + 1), int(decided[known]) if known < len(decided) else len(us))
+                continue
+            now += 1
+        return admitted
+
+
+def _walked(batches: Iterator[pa.RecordBatch], limit: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Ticks sorted by (source, run, us) with the rows admitted in each; only those with some are passed on."""
+    key, walk = None, Walk(limit, width)
+    for batch in batches:
+        source, run = batch.column("source").to_pylist(), np.asarray(batch.column("run"))
+        us, rows, given = (np.asarray(batch.column(c)) for c in ("us", "rows", "given"))
+        new = [n for n in range(len(run)) if n == 0 or run[n] != run[n - 1] or source[n] != source[n - 1]]
+        admitted = np.zeros(len(run), np.int64)
+        for first, last in zip(new, [*new[1:], len(run)]):
+            if (source[first], run[first]) != key:
+                key, walk = (source[first], run[first]), Walk(limit, width)
+            admitted[first:last] = walk.take(us[first:last], rows[first:last], given[first:last])
+        kept = np.flatnonzero((admitted > 0) & (given < 0))
+        chosen = batch.select(["source", "us", "rows"]).take(pa.array(kept))
+        yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(admitted[kept])], ["source", "us", "rows", "admitted"])
 
 
 def rate_limit(
     logs: DataFrame,
     limit: int = fixed.RATE_LIMIT_ROWS,
     seconds: int = fixed.RATE_LIMIT_SECONDS,
-    chunk_ticks: int = CHUNK_TICKS,
+    given: DataFrame | None = None,
 ) -> DataFrame:
     """Rows admitted when each source may have ``limit`` admitted rows in ``[t-seconds, t]``.
 
@@ -64,69 +102,40 @@ def rate_limit(
     1. Per (source, cell of ``seconds``) rows are counted.  Where a cell and the one before
        hold at most ``limit`` rows, everything is admitted, and nothing is shuffled for it.
     2. The other cells are reduced to one row per instant ("tick") with its row count.
-    3. Runs of neighbouring busy cells are walked through in chunks of a bounded number of
-       ticks.  A chunk starts from the ticks admitted in the cell before, handed over in a
-       written table; chunks of all sources and runs with the same number go in parallel.
+    3. Runs of neighbouring busy cells are walked through in time order, all in one job: a task streams
+       the ticks of a run by and remembers the admitted ones of the last window.  A source that is busy
+       without pause is one run.
     4. Admitted ticks select their rows: all of them, or the first ones in event order.
+
+    ``given`` (source, us, admitted): instants that were decided before, say in earlier micro-batches.
     """
-    spark = logs.sparkSession
     width = seconds * MICROS
     timed = logs.withColumn("us", micros(F.col("ts"))).withColumn("cell", cell(F.col("us"), width))
-    counts = stage(timed.groupBy("source", "cell").count(), "cells")
+    counts = timed.groupBy("source", "cell").agg(F.count("*").alias("count"))
+    if given is not None:
+        known = given.withColumn("cell", cell(F.col("us"), width))
+        counts = counts.unionByName(known.groupBy("source", "cell").agg(F.sum("admitted").alias("count"))).groupBy(
+            "source", "cell").agg(F.sum("count").alias("count"))
+    counts = stage(counts, "cells")
     before = counts.select("source", (F.col("cell") + 1).alias("cell"), F.col("count").alias("before"))
     total = F.coalesce("count", F.lit(0)) + F.coalesce("before", F.lit(0))
     busy = counts.join(before, ["source", "cell"], "left").filter(total > limit).select("source", "cell")
     # Busy cells plus the quiet cell before each run, which sets its starting point.
     lead = busy.select("source", (F.col("cell") - 1).alias("cell")).join(counts, ["source", "cell"], "left_semi")
-    needed = stage(busy.unionByName(lead).distinct(), "needed")
+    in_order = W.partitionBy("source").orderBy("cell")
+    fresh = F.coalesce((F.col("cell") - F.lag("cell").over(in_order) > 1).cast("bigint"), F.lit(1))
+    needed = busy.unionByName(lead).distinct().withColumn("fresh", fresh).select("source", "cell", F.sum("fresh").over(in_order).alias("run"))
+    needed = stage(needed, "needed")
     if needed.isEmpty():
         return logs
 
-    in_order = W.partitionBy("source").orderBy("cell")
     needed = sized(needed)
-    ticks = timed.join(needed, ["source", "cell"], "left_semi")
-    ticks = stage(ticks.groupBy("source", "cell", "us").agg(F.count("*").alias("rows")), "ticks")
-
-    fresh = F.coalesce((F.col("cell") - F.lag("cell").over(in_order) > 1).cast("bigint"), F.lit(1))
-    sizes = ticks.groupBy("source", "cell").agg(F.count("*").alias("ticks"))
-    runs = sizes.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(in_order))
-    in_run = W.partitionBy("source", "run").orderBy("cell")
-    ahead = F.floor((F.sum("ticks").over(in_run) - F.col("ticks")) / chunk_ticks)
-    number = F.dense_rank().over(W.partitionBy("source", "run").orderBy("ahead")) - 1
-    plan = runs.withColumn("ahead", ahead).select("source", "cell", "run", number.alias("chunk"))
-    plan = stage(plan, "plan")
-    path = new_path(spark, "chunked")
-    ticks.join(sized(plan), ["source", "cell"]).write.partitionBy("chunk").parquet(path)
-    chunked = spark.read.parquet(path)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us", kind="stable")
-        us = pdf["us"].to_numpy()
-        taken = admit(us, pdf["rows"].to_numpy(), pdf["given"].to_numpy(), limit, width)
-        fresh = (taken > 0) & (pdf["given"].to_numpy() < 0)
-        return pd.DataFrame({
-            "source": pdf["source"].to_numpy()[fresh], "run": pdf["run"].to_numpy()[fresh],
-            "us": us[fresh], "rows": pdf["rows"].to_numpy()[fresh], "admitted": taken[fresh],
-        })
-
-    root, handed = new_path(spark, "admitted"), None
-    for number in range(plan.agg(F.max("chunk")).first()[0] + 1):
-        todo = chunked.filter(F.col("chunk") == number).select(
-            "source", "run", "us", "rows", F.lit(-1).cast("bigint").alias("given")
-        )
-        if handed is not None:
-            todo = todo.unionByName(handed)
-        todo.groupBy("source", "run").applyInPandas(walk, TICKS).write.parquet(f"{root}/round={number}")
-        done = spark.read.schema(TICKS).parquet(f"{root}/round={number}")
-        # The last ``seconds`` before the next chunk hold at most ``limit`` admitted rows.
-        following = plan.filter(F.col("chunk") == number + 1).groupBy("source", "run").agg(
-            (F.min("cell") * width - width).alias("since")
-        )
-        handed = done.join(following, ["source", "run"]).filter(F.col("us") >= F.col("since")).select(
-            "source", "run", "us", F.col("admitted").alias("rows"), F.col("admitted").alias("given")
-        )
-
-    decided = sized(spark.read.schema(TICKS).parquet(f"{root}/round=*").drop("run"))
+    ticks = timed.join(needed, ["source", "cell"]).groupBy("source", "run", "us").agg(F.count("*").alias("rows")).withColumn(
+        "given", F.lit(-1).cast("bigint"))
+    if given is not None:
+        ticks = ticks.unionByName(known.join(needed, ["source", "cell"]).select("source", "run", "us", F.col("admitted").alias("rows"), F.col("admitted").alias("given")))
+    ordered = ticks.repartition("source", "run").sortWithinPartitions("source", "run", "us", F.desc("given"))
+    decided = sized(stage(ordered.mapInArrow(lambda batches: _walked(batches, limit, width), "source string, us bigint, rows bigint, admitted bigint"), "decided"))
     quiet = timed.join(needed, ["source", "cell"], "left_anti")
     walked = timed.join(needed, ["source", "cell"], "left_semi").join(decided, ["source", "us"])
     first = W.partitionBy("source", "us").orderBy("event_id")

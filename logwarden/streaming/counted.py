@@ -1,4 +1,5 @@
-"""Counting rules over micro-batches, with the batch operators and a carried table as state.
+"""Counting rules and the admission limit over micro-batches, with the batch operators and a carried
+table as state.
 
 A micro-batch's matches are correlated together with the matches carried from earlier ones by the
 same joins and cut-down windows as in batch, so neither a hot key nor a hot minute gathers in one
@@ -7,39 +8,78 @@ allowed delay of the newest one, and of the older ones that a window can still r
 as a threshold looks back. It is written for each micro-batch under its number; a replayed batch
 starts from the table of the batch before and overwrites its own.
 
+The admission limit carries the admitted instants of the delay and one window.
+
 A row sees the rows that came before it in time and arrival and lie in its window. Rows later than the
 delay are to be set aside before (``landing.land``).
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logwarden import fixed_values as fixed
 from logwarden.functions.clock import MICROS, micros
+from logwarden.operators.clean import rate_limit
 from logwarden.operators.detect import REFERENCE, Plan
 from logwarden.operators.rules import BUILT_IN, Rule
 from logwarden.sources.store import _folder
 from logwarden.staging import stage
 
 CARRIED = "event_id long, ts timestamp_ntz, source_ip string, geo_ip string, rule_id string, key string"
+INSTANTS = "source string, us long, admitted long"
 
 
-class CountedRules:
-    """Rules whose counts go on from micro-batch to micro-batch; ``path`` holds the state."""
+class Carried:
+    """A table for each micro-batch below ``path``; the last few are kept for replays."""
 
-    def __init__(self, path: str, rules: tuple[Rule, ...] = BUILT_IN, mode: str = REFERENCE, delay: int = 10):
-        self.path, self.mode, self.delay, self.rules = path, mode, delay, rules
+    def __init__(self, path: str, layout: str):
+        self.path, self.layout = path, layout
 
-    def _state(self, spark, batch_id: int) -> DataFrame | None:
+    def after(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
         folder = f"{self.path}/batch={batch_id}"
         files, target = _folder(spark, folder)
-        return spark.read.schema(CARRIED).parquet(folder) if files.exists(target) else None
+        return spark.read.schema(self.layout).parquet(folder) if files.exists(target) else None
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        files, old = _folder(rows.sparkSession, f"{self.path}/batch={batch_id - 3}")
+        files.delete(old, True)
+
+
+class CountedAdmission:
+    """The admission limit of each source from micro-batch to micro-batch; ``path`` holds the state."""
+
+    def __init__(self, path: str, limit: int = fixed.RATE_LIMIT_ROWS, seconds: int = fixed.RATE_LIMIT_SECONDS, delay: int = 10):
+        self.state, self.limit, self.seconds, self.delay = Carried(path, INSTANTS), limit, seconds, delay
+
+    def admit(self, logs: DataFrame, batch_id: int) -> DataFrame:
+        """The rows of a micro-batch that are admitted."""
+        spark = logs.sparkSession
+        earlier = self.state.after(spark, batch_id - 1)
+        kept = stage(rate_limit(logs, self.limit, self.seconds, earlier), "admitted")
+        us = micros(F.col("ts"))
+        times = kept.agg(F.max(us).alias("us")) if earlier is None else kept.select(us.alias("us")).unionByName(earlier.select("us")).agg(F.max("us"))
+        newest = times.first()[0]
+        instants = kept.select("source", us.alias("us"), F.lit(1).cast("bigint").alias("admitted"))
+        if earlier is not None:
+            instants = instants.unionByName(earlier)
+        border = 0 if newest is None else newest - (self.delay + self.seconds) * MICROS
+        self.state.write(instants.filter(F.col("us") >= border).groupBy("source", "us").agg(F.sum("admitted").alias("admitted")), batch_id)
+        return kept
+
+
+class CountedRules:
+    """Rules whose counts go on from micro-batch to micro-batch; ``path`` holds the state."""
+
+    def __init__(self, path: str, rules: tuple[Rule, ...] = BUILT_IN, mode: str = REFERENCE, delay: int = 10):
+        self.state, self.mode, self.delay, self.rules = Carried(path, CARRIED), mode, delay, rules
 
     def fire(self, events: DataFrame, batch_id: int) -> DataFrame:
         """What fires in this micro-batch, as ``operators.detect.fire`` gives it."""
         spark, plan = events.sparkSession, Plan(self.rules)
         matches = stage(plan.match(events), "matches")
-        earlier = self._state(spark, batch_id - 1)
+        earlier = self.state.after(spark, batch_id - 1)
         if plan.counting_tags:
             self._carry(matches if earlier is None else matches.unionByName(earlier), plan, batch_id)
         return plan.fire(matches, self.mode, earlier)
@@ -57,6 +97,4 @@ class CountedRules:
             place = F.row_number().over(W.partitionBy("rule_id", "key").orderBy(F.desc("_us"), F.desc("event_id")))
             last = older.withColumn("_place", place).filter(F.col("_place") <= rows).drop("_place")
             kept = counting.filter(F.col("_us") >= border).unionByName(last)
-        kept.drop("_us").write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-        files, old = _folder(known.sparkSession, f"{self.path}/batch={batch_id - 3}")
-        files.delete(old, True)
+        self.state.write(kept.drop("_us"), batch_id)

@@ -5,21 +5,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from logwarden.operators.clean import strip_lines, tidy_lines
+from logwarden.operators.clean import clean
 from logwarden.operators.detect import REFERENCE, describe
 from logwarden.operators.parse import parse
 from logwarden.operators.rules import BUILT_IN, Rule
 from logwarden.staging import stage
-from logwarden.streaming import stateful
 from logwarden.streaming.counted import CountedRules
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def stream_events(logs: DataFrame, limited: bool = False) -> DataFrame:
-    """Cleaned and parsed events; ``limited`` adds the stateful admission limit."""
-    lines = strip_lines(logs)
-    return parse(tidy_lines(stateful.admitted(lines) if limited else lines))
+def stream_events(logs: DataFrame) -> DataFrame:
+    """Cleaned and parsed events; for the admission limit see ``CountedAdmission``."""
+    return parse(clean(logs))
 
 
 def counted_alerts(
@@ -41,8 +36,7 @@ def batch_folder(path: str, change: Callable[[DataFrame, int], DataFrame] | None
 def start(
     stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False, interval: str = "10 seconds",
 ) -> StreamingQuery:
-    """Start a query into a ``foreachBatch`` sink.  Stateful queries need the RocksDB state store."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """Start a query into a ``foreachBatch`` sink."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
     return writer.foreachBatch(sink).start()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from logwarden import schema
 from logwarden.functions.clock import MICROS, micros
-from logwarden.operators.clean import clean
+from logwarden.operators.clean import strip_lines, tidy_lines
 from logwarden.operators.detect import REFERENCE, describe, flag_events
 from logwarden.operators.parse import parse
 from logwarden.operators.rules import BUILT_IN
@@ -25,7 +25,7 @@ from logwarden.plans.jobs import located
 from logwarden.sources.logs import numbered, write_lines
 from logwarden.sources.runs import RunTables
 from logwarden.staging import stage
-from logwarden.streaming.counted import CountedRules
+from logwarden.streaming.counted import CountedAdmission, CountedRules
 
 Batch = Callable[[DataFrame, int], None]
 LATE = "behind the newest row by more than the delay"
@@ -81,16 +81,20 @@ def landing_metrics(tables: RunTables, name: str = "lines") -> DataFrame:
 
 
 def detect_into(
-    tables: RunTables, ranges: DataFrame | None = None, rules=BUILT_IN, mode: str = REFERENCE, delay: int = 10, name: str = "detect"
+    tables: RunTables, ranges: DataFrame | None = None, rules=BUILT_IN, mode: str = REFERENCE, delay: int = 10, name: str = "detect",
+    limited: bool = False,
 ) -> Batch:
-    """``foreachBatch`` function for numbered lines: events and alerts, committed as one run."""
+    """``foreachBatch`` function for numbered lines: events and alerts, committed as one run.
+    ``limited`` applies the admission limit."""
     counted = CountedRules(tables.path("_state", name), rules, mode, delay)
+    admission = CountedAdmission(tables.path("_state", f"{name}-admission"), delay=delay)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         claim = tables.claim(f"{name}/{batch_id}")
         if tables.is_committed(claim):
             return
-        events = stage(parse(clean(batch)), "parsed")
+        lines = strip_lines(batch)
+        events = stage(parse(tidy_lines(admission.admit(lines, batch_id) if limited else lines)), "parsed")
         alerts = stage(located(describe(counted.fire(events, batch_id), rules), ranges), "alerts")
         tables.write(claim, flag_events(events, alerts), alerts)
         tables.commit(claim)

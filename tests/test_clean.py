@@ -34,16 +34,19 @@ def test_nothing_to_limit(make_logs):
     assert sorted(kept(make_logs([(n, "s", "x") for n in range(50)]))) == list(range(50))
 
 
-@pytest.mark.parametrize("chunk", [4_000_000, 25])
+@pytest.mark.parametrize("rows_a_batch", [10_000, 17])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_limit_equals_sequential_model(make_logs, seed, chunk):
+def test_limit_equals_sequential_model(spark, make_logs, seed, rows_a_batch):
+    """Also where a busy stretch goes on over many Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
     rng = random.Random(seed)
     at, rows = 0.0, []
     for _ in range(2500):
         at += rng.choice([0, 0, 0, 0.01, 0.1, 0.7]) if rng.random() < 0.985 else rng.choice([2.0, 5.0, 12.0])
         rows.append((round(at, 3), rng.choice("aaaab"), "x"))
     logs = make_logs(rows)
-    out = kept(logs, limit=20, seconds=5, chunk_ticks=chunk)
+    out = kept(logs, limit=20, seconds=5)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(out) == len(set(out))
     assert set(out) == model(logs, 20, 5)
     assert len(out) < len(rows)

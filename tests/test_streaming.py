@@ -11,8 +11,8 @@ from logwarden.operators.parse import parse
 from logwarden.plans.reports import events_by_hour
 from logwarden.sources.logs import stream_lines
 from logwarden.sources.runs import RunTables
-from logwarden.streaming import jobs, landing, stateful
-from logwarden.streaming.counted import CountedRules
+from logwarden.streaming import jobs, landing
+from logwarden.streaming.counted import CountedAdmission, CountedRules
 from logwarden.streaming.upserts import KeyedCounts
 from test_correlate import START, random_rows, table
 
@@ -73,9 +73,11 @@ def test_out_of_order_rows_see_what_came_before(spark, tmp_path):
 def test_stream_admission_equals_batch(spark, feed, tmp_path):
     rows = [(n, START + dt.timedelta(milliseconds=37 * n), "ab"[n % 5 == 0], "x") for n in range(1200)]
     logs = spark.createDataFrame(rows, schema.RAW_LOGS)
-    out, _ = run(stateful.admitted(feed(logs), limit=40), tmp_path)
+    admission = CountedAdmission(str(tmp_path / "instants"), limit=40, delay=0)
+    out, _ = run(feed(logs), tmp_path, admission.admit)
     expected = {r.event_id for r in rate_limit(logs, limit=40).collect()}
     assert {r.event_id for r in out.collect()} == expected and len(expected) < 1200
+    assert spark.read.parquet(str(tmp_path / "instants/batch=3")).count() <= 80  # instants of one window and source
 
 
 def test_hours_change_after_they_were_written(spark, tmp_path):
