@@ -55,48 +55,21 @@ class RunTables:
 
     # --- small files ---------------------------------------------------------------------
 
-    def _folder(self, path: str):
-        return store._folder(self.spark, path)
-
     def publish(self, source: str, path: str) -> bool:
         """Give a written file or folder its final name; False if that is taken."""
-        jvm, fs = self.spark._jvm, self.spark._jvm.org.apache.hadoop.fs
-        files, target = self._folder(path)
-        files.mkdirs(target.getParent())
-        context = fs.FileContext.getFileContext(files.getUri(), self.spark._jsc.hadoopConfiguration())
-        plain = self.spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0)
-        if files.exists(target):
-            return False
-        try:
-            context.rename(fs.Path(source), target, plain)
-        except Exception as error:
-            cause = getattr(error, "java_exception", None)
-            if cause is None or not isinstance_of(jvm, cause, "org.apache.hadoop.fs.FileAlreadyExistsException"):
-                raise
-            return False
-        return True
+        return store.rename(self.spark, source, path)
 
     def _write_new(self, path: str, text: str) -> bool:
         """A file with this text under a name that was free."""
         draft = self.new_folder("file")
-        files, target = self._folder(draft)
+        files, target = store.file_at(self.spark, draft)
         out = files.create(target, True)
         out.write(bytearray(text.encode()))
         out.close()
         return self.publish(draft, path)
 
-    def _read(self, path: str) -> str | None:
-        files, target = self._folder(path)
-        if not files.exists(target):
-            return None
-        stream = files.open(target)
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
     def _numbers(self, folder: str) -> list[int]:
-        files, target = self._folder(self.path("_ledger", folder))
+        files, target = store.file_at(self.spark, self.path("_ledger", folder))
         if not files.exists(target):
             return []
         return sorted(int(s.getPath().getName()[:10]) for s in files.listStatus(target) if s.getPath().getName()[:1] != ".")
@@ -111,8 +84,8 @@ class RunTables:
 
     def find(self, key: str) -> Claim | None:
         """The claim of an earlier attempt."""
-        number = self._read(self._key_path(key))
-        return None if number is None else Claim(**json.loads(self._read(self._claim_path(int(number)))))
+        number = store.read_text(self.spark, self._key_path(key))
+        return None if number is None else Claim(**json.loads(store.read_text(self.spark, self._claim_path(int(number)))))
 
     def claim(self, key: str, rows: int = 0, **more) -> Claim:
         """First step: a number and ``rows`` ids that no other run has."""
@@ -121,7 +94,7 @@ class RunTables:
             return found
         while True:
             taken = self._numbers("claims")
-            last = json.loads(self._read(self._claim_path(taken[-1]))) if taken else {"number": 0, "first_id": 0, "rows": 0}
+            last = json.loads(store.read_text(self.spark, self._claim_path(taken[-1]))) if taken else {"number": 0, "first_id": 0, "rows": 0}
             claim = Claim(last["number"] + 1, key, last["first_id"] + last["rows"], rows, **more)
             if self._write_new(self._claim_path(claim.number), json.dumps(asdict(claim))):
                 if self._write_new(self._key_path(key), str(claim.number)):
@@ -129,13 +102,12 @@ class RunTables:
                 return self.find(key)  # another attempt of this run was first; this number stays unused
 
     def is_committed(self, claim: Claim) -> bool:
-        files, target = self._folder(self.path("_ledger", "done", f"{claim.number:010d}"))
-        return files.exists(target)
+        return store.exists(self.spark, self.path("_ledger", "done", f"{claim.number:010d}"))
 
     def write(self, claim: Claim, events: DataFrame, alerts: DataFrame) -> None:
         """The run's rows, in place of those of a broken attempt."""
-        store.append_alerts(alerts, self.path("alerts", f"run={claim.number}"), "overwrite")
-        store.append_events(events, self.path("events", f"run={claim.number}"), "overwrite")
+        for name, append, rows in (("alerts", store.append_alerts, alerts), ("events", store.append_events, events)):
+            append(rows, f"{store.data_folder(self.spark, self.path(name))}/run={claim.number}", "overwrite")
 
     def commit(self, claim: Claim) -> None:
         """Second step: from now on readers see the run."""
@@ -146,10 +118,10 @@ class RunTables:
     def _committed(self, name: str, layout: StructType) -> DataFrame:
         done = set(self._numbers("done"))
         broken = [n for n in self._numbers("claims") if n not in done]  # under way or given up: few
-        files, target = self._folder(self.path(name))
-        if not done or not files.exists(target):
+        folder = store.data_folder(self.spark, self.path(name))
+        if not done or not store.exists(self.spark, folder):
             return self.spark.createDataFrame([], layout)
-        rows = self.spark.read.schema(StructType([*layout.fields, RUN])).parquet(self.path(name))
+        rows = self.spark.read.schema(StructType([*layout.fields, RUN])).parquet(folder)
         return rows.filter((F.col("run") <= max(done)) & ~F.col("run").isin(broken)).select(*layout.names)
 
     def events(self) -> DataFrame:
@@ -160,11 +132,6 @@ class RunTables:
 
     def claims(self) -> DataFrame:
         """Number, key, ids, rows and late rows of all runs, committed or not."""
-        files, target = self._folder(self.path("_ledger", "claims"))
-        if not files.exists(target):
+        if not store.exists(self.spark, self.path("_ledger", "claims")):
             return self.spark.createDataFrame([], CLAIM)
         return self.spark.read.schema(CLAIM).json(self.path("_ledger", "claims"))
-
-
-def isinstance_of(jvm, thing, name: str) -> bool:
-    return jvm.java.lang.Class.forName(name).isInstance(thing)

@@ -1,17 +1,17 @@
-"""Event and alert tables, additive schemas and snapshots."""
+"""Event and alert tables and additive schemas."""
 
-import re
-from datetime import datetime, timedelta, timezone
+import uuid
 
+from py4j.java_gateway import is_instance_of
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, IntegerType, StringType, StructField, StructType
 
-from logwarden import fixed_values as fixed
 from logwarden import schema
 from logwarden.operators.parse import fields_json
 
-STAMP = "%Y%m%d-%H%M%S"
+POINTER = "_current"  # in a table's folder: name of the version that is read and written
 STORED_EVENTS = StructType([
     *[f for f in schema.EVENTS.fields if f.name != "has_alert"], StructField("fields", StringType()), StructField("has_alert", IntegerType()),
     StructField("source_lc", StringType()), StructField("dt", DateType()),
@@ -47,13 +47,13 @@ def append_events(events: DataFrame, path: str, mode: str = "append", compact: b
     rows = event_rows(events)
     if compact:
         rows = rows.hint("rebalance", "dt", "category")
-    rows.write.mode(mode).partitionBy("dt", "category").parquet(path)
+    rows.write.mode(mode).partitionBy("dt", "category").parquet(data_folder(events.sparkSession, path))
 
 
 def append_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
     with_layout(alerts, schema.ALERTS).withColumn("dt", F.col("ts").cast("date")).write.mode(
         mode
-    ).partitionBy("dt").parquet(path)
+    ).partitionBy("dt").parquet(data_folder(alerts.sparkSession, path))
 
 
 def _read(spark: SparkSession, path: str, layout: StructType) -> DataFrame:
@@ -61,8 +61,8 @@ def _read(spark: SparkSession, path: str, layout: StructType) -> DataFrame:
 
     A table without any row yet has no file; it reads as empty.
     """
-    files, target = _folder(spark, path)
-    if not files.exists(target):
+    path = data_folder(spark, path)
+    if not exists(spark, path):
         return spark.createDataFrame([], layout)
     return spark.read.schema(layout).parquet(path).select(*layout.names)
 
@@ -76,77 +76,60 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, STORED_ALERTS)
 
 
-def _folder(spark: SparkSession, path: str):
+def file_at(spark: SparkSession, path: str):
+    """The file system of a path, and the path in it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    files, target = _folder(spark, path)
+    files, target = file_at(spark, path)
     return files.exists(target)
 
 
-def _copy(spark: SparkSession, source: str, target: str, partitions: list[str], mode: str) -> None:
-    """Copy a table with every column that any of its files has."""
-    writer = spark.read.option("mergeSchema", "true").parquet(source).write.mode(mode)
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(target)
-
-
-def make_snapshot(
-    spark: SparkSession, table: str, folder: str, partitions: list[str] = (), now: datetime | None = None,
-    name: str = "snapshot",
-) -> str:
-    """Copy a table to ``folder/<name>-<UTC time>``."""
-    if not exists(spark, table):
-        raise FileNotFoundError(table)
-    now = now or datetime.now(timezone.utc)
-    target = f"{folder}/{name}-{now.strftime(STAMP)}"
-    _copy(spark, table, target, list(partitions), "errorifexists")
-    return target
-
-
-def list_snapshots(spark: SparkSession, folder: str, name: str = "snapshot") -> list[tuple[datetime, str]]:
-    """Time and path of the snapshots, oldest first."""
-    files, target = _folder(spark, folder)
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file; None if there is none."""
+    files, target = file_at(spark, path)
     if not files.exists(target):
-        return []
-    found = []
-    for status in files.listStatus(target):
-        base = status.getPath().getName()
-        stamp = base[len(name) + 1:] if base.startswith(f"{name}-") else ""
-        if re.fullmatch(r"\d{8}-\d{6}", stamp):  # other names, say of tables saved before a restore, are not snapshots
-            taken = datetime.strptime(stamp, STAMP).replace(tzinfo=timezone.utc)
-            found.append((taken, f"{folder}/{base}"))
-    return sorted(found)
-
-
-def expire_snapshots(
-    spark: SparkSession, folder: str, keep_days: int = fixed.SNAPSHOT_KEEP_DAYS,
-    now: datetime | None = None, name: str = "snapshot",
-) -> int:
-    """Remove snapshots strictly older than ``keep_days`` days; ``<= 0`` keeps all."""
-    if keep_days <= 0:
-        return 0
-    oldest = (now or datetime.now(timezone.utc)) - timedelta(days=keep_days)
-    expired = [path for taken, path in list_snapshots(spark, folder, name) if taken < oldest]
-    for path in expired:
-        files, target = _folder(spark, path)
-        files.delete(target, True)
-    return len(expired)
-
-
-def restore_snapshot(
-    spark: SparkSession, snapshot: str, table: str, force: bool = False, partitions: list[str] = (),
-    now: datetime | None = None,
-) -> str | None:
-    """Write a snapshot back.  An existing table is refused, or with ``force`` saved first."""
-    if not exists(spark, snapshot):
-        raise FileNotFoundError(snapshot)
-    saved = None
-    if exists(spark, table):
-        if not force:
-            raise FileExistsError(table)
-        parent, _, base = table.rstrip("/").rpartition("/")
-        saved = make_snapshot(spark, table, parent, partitions, now, f"{base}-pre-restore")
-    _copy(spark, snapshot, table, list(partitions), "overwrite")
-    return saved
+        return None
+    stream = files.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def rename(spark: SparkSession, source: str, path: str, replace: bool = False) -> bool:
+    """Give a written file or folder its final name; False if that is taken and not to be replaced."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files, target = file_at(spark, path)
+    files.mkdirs(target.getParent())
+    if not replace and files.exists(target):
+        return False
+    kind = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, int(replace))
+    if replace:
+        options[0] = kind.OVERWRITE
+    try:
+        hadoop.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(hadoop.Path(source), target, options)
+    except Py4JJavaError as error:
+        if replace or not is_instance_of(spark.sparkContext._gateway, error.java_exception, "org.apache.hadoop.fs.FileAlreadyExistsException"):
+            raise
+        return False
+    return True
+
+
+def data_folder(spark: SparkSession, path: str) -> str:
+    """Where a table's rows lie: its own folder, or after a restore the version its pointer names."""
+    version = read_text(spark, f"{path.rstrip('/')}/{POINTER}")
+    return path if version is None else version
+
+
+def switch_pointer(spark: SparkSession, path: str, version: str) -> None:
+    """From now on the table at ``path`` is ``version``; readers see the one or the other."""
+    draft = f"{path.rstrip('/')}/_draft-{uuid.uuid4().hex}"
+    files, target = file_at(spark, draft)
+    out = files.create(target, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    rename(spark, draft, f"{path.rstrip('/')}/{POINTER}", replace=True)

@@ -23,7 +23,7 @@ from logwarden.functions.clock import MICROS, micros
 from logwarden.operators.clean import rate_limit
 from logwarden.operators.detect import REFERENCE, Plan
 from logwarden.operators.rules import BUILT_IN, Rule
-from logwarden.sources.store import _folder
+from logwarden.sources.store import file_at
 from logwarden.staging import stage
 
 CARRIED = "event_id long, ts timestamp_ntz, source_ip string, geo_ip string, rule_id string, key string"
@@ -38,12 +38,12 @@ class Carried:
 
     def after(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
         folder = f"{self.path}/batch={batch_id}"
-        files, target = _folder(spark, folder)
+        files, target = file_at(spark, folder)
         return spark.read.schema(self.layout).parquet(folder) if files.exists(target) else None
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-        files, old = _folder(rows.sparkSession, f"{self.path}/batch={batch_id - 3}")
+        files, old = file_at(rows.sparkSession, f"{self.path}/batch={batch_id - 3}")
         files.delete(old, True)
 
 

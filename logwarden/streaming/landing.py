@@ -22,6 +22,7 @@ from logwarden.operators.detect import REFERENCE, describe, flag_events
 from logwarden.operators.parse import parse
 from logwarden.operators.rules import BUILT_IN
 from logwarden.plans.jobs import located
+from logwarden.sources import store
 from logwarden.sources.logs import numbered, write_lines
 from logwarden.sources.runs import RunTables
 from logwarden.staging import stage
@@ -59,7 +60,7 @@ def land(tables: RunTables, name: str = "lines", delay: int = 10) -> Batch:
 
 def landed(tables: RunTables) -> DataFrame:
     """The numbered lines as a stream, whole micro-batches of ``land`` in their order."""
-    files, folder = tables._folder(tables.path("landed"))
+    files, folder = store.file_at(tables.spark, tables.path("landed"))
     files.mkdirs(folder)
     return tables.spark.readStream.schema(schema.RAW_LOGS).parquet(tables.path("landed", "run=*")).select(*schema.RAW_LOGS.names)
 
@@ -67,7 +68,7 @@ def landed(tables: RunTables) -> DataFrame:
 def late_lines(tables: RunTables) -> DataFrame:
     """Lines that came too late, with the run that brought them and the reason."""
     layout = schema.RAW_LOGS.add("run", "long")
-    files, folder = tables._folder(tables.path("late"))
+    files, folder = store.file_at(tables.spark, tables.path("late"))
     if not files.exists(folder):
         return tables.spark.createDataFrame([], layout.add("reason", "string"))
     return tables.spark.read.schema(layout).parquet(tables.path("late")).withColumn("reason", F.lit(LATE))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.sources.store import _folder
+from logwarden.sources.store import file_at
 
 WHOLE = 100
 
@@ -25,7 +25,7 @@ class KeyedCounts:
 
     def at(self, batch_id: int) -> DataFrame:
         """(key, n) after a micro-batch."""
-        files, folder = _folder(self.spark, self.path)
+        files, folder = file_at(self.spark, self.path)
         if batch_id < 0 or not files.exists(folder):
             return self.spark.createDataFrame([], f"{self.key} string, n long")
         rows = self.spark.read.schema(self.schema).parquet(self.path)
@@ -34,7 +34,7 @@ class KeyedCounts:
 
     def now(self) -> DataFrame:
         """(key, n) after the last micro-batch."""
-        files, folder = _folder(self.spark, self.path)
+        files, folder = file_at(self.spark, self.path)
         found = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
         return self.at(max((int(name[6:]) for name in found if name.startswith("batch=")), default=-1))
 

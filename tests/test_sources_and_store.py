@@ -8,7 +8,7 @@ from logwarden.operators.enrich import unlocated
 from logwarden.operators.parse import parse
 from logwarden.plans import reports
 from logwarden.plans.jobs import run_batch, submit
-from logwarden.sources import fastlog, logs, store
+from logwarden.sources import fastlog, logs, snapshots, store
 from logwarden.sources.runs import RunTables
 
 NOW = dt.datetime(2024, 5, 20, 12, 0, 0, tzinfo=dt.timezone.utc)
@@ -135,8 +135,8 @@ def test_older_alert_files_are_readable(spark, make_logs, tmp_path):
     found.drop("geo", "source_ip").write.parquet(path + "/dt=2024-01-01")
     store.append_alerts(found, path)
     read = store.read_alerts(spark, path)
-    taken = store.make_snapshot(spark, path, str(tmp_path / "saved"), ["dt"], NOW)
-    store.restore_snapshot(spark, taken, str(tmp_path / "again"), partitions=["dt"])
+    taken = snapshots.make_snapshot(spark, path, str(tmp_path / "saved"), NOW)
+    snapshots.restore_snapshot(spark, taken, str(tmp_path / "again"))
     assert set(store.read_alerts(spark, str(tmp_path / "again")).select("alert_id", "source_ip").collect()) == set(
         read.select("alert_id", "source_ip").collect())
     assert read.count() == 2 * found.count() and read.filter("source_ip IS NULL").count() >= found.count()
@@ -146,17 +146,57 @@ def test_snapshots(spark, tmp_path):
     table, saved = str(tmp_path / "t"), str(tmp_path / "saved")
     spark.range(5).write.parquet(table)
     with pytest.raises(FileNotFoundError):
-        store.make_snapshot(spark, table + "x", saved)
+        snapshots.make_snapshot(spark, table + "x", saved)
     days = [dt.timedelta(days=d) for d in (20, 14, 1)]
-    paths = [store.make_snapshot(spark, table, saved, now=NOW - d) for d in days]
-    assert [p for _, p in store.list_snapshots(spark, saved)] == paths
-    assert store.expire_snapshots(spark, saved, 0, NOW) == 0
-    assert store.expire_snapshots(spark, saved, now=NOW) == 1  # exactly 14 days old stays
-    assert [p for _, p in store.list_snapshots(spark, saved)] == paths[1:]
+    paths = [snapshots.make_snapshot(spark, table, saved, NOW - d) for d in days]
+    assert [p for _, p in snapshots.list_snapshots(spark, saved)] == paths
+    assert snapshots.expire_snapshots(spark, saved, 0, NOW) == 0
+    assert snapshots.expire_snapshots(spark, saved, now=NOW) == 1  # exactly 14 days old stays
+    assert [p for _, p in snapshots.list_snapshots(spark, saved)] == paths[1:]
     spark.range(3).write.mode("overwrite").parquet(table)
     with pytest.raises(FileExistsError):
-        store.restore_snapshot(spark, paths[1], table)
-    before = store.restore_snapshot(spark, paths[1], table, force=True, now=NOW)
-    assert spark.read.parquet(table).count() == 5 and spark.read.parquet(before).count() == 3
-    assert store.list_snapshots(spark, str(tmp_path), "t") == []  # what a restore saved is no snapshot
-    assert store.restore_snapshot(spark, paths[1], str(tmp_path / "new")) is None
+        snapshots.restore_snapshot(spark, paths[1], table)
+    before = snapshots.restore_snapshot(spark, paths[1], table, force=True, now=NOW)
+    assert spark.read.parquet(store.data_folder(spark, table)).count() == 5 and snapshots.read_snapshot(spark, before).count() == 3
+    assert snapshots.list_snapshots(spark, str(tmp_path), "t") == []  # what a restore saved is no snapshot
+    assert snapshots.restore_snapshot(spark, paths[1], str(tmp_path / "new")) is None
+
+
+def days(spark, *rows):
+    return spark.createDataFrame([(n, f"0{d}") for n, d in rows], "n long, day string")
+
+
+def held(spark, path):
+    return sorted((r.n, r.day) for r in snapshots.read_snapshot(spark, path).collect())
+
+
+def test_snapshots_share_what_did_not_change(spark, tmp_path):
+    table, saved = str(tmp_path / "t"), str(tmp_path / "saved")
+    taken, rows = [], []
+    for n in range(3):
+        rows.append((n, n % 2))
+        days(spark, rows[-1]).write.mode("append").partitionBy("day").parquet(table)
+        taken.append(snapshots.make_snapshot(spark, table, saved, NOW + dt.timedelta(days=10 * n)))
+    assert [sorted(p.name for p in (tmp_path / "saved" / t.rsplit("/")[-1] / "data").glob("day=*")) for t in taken] == [["day=00"], ["day=01"], ["day=00"]]
+    everything = sorted((n, f"0{d}") for n, d in rows)
+    assert held(spark, taken[2]) == everything
+    assert snapshots.expire_snapshots(spark, saved, 5, NOW + dt.timedelta(days=20)) == 2
+    assert held(spark, taken[2]) == everything and not (tmp_path / "saved" / taken[0].rsplit("/")[-1]).exists()
+
+
+def test_a_broken_restore_leaves_the_table(spark, tmp_path, monkeypatch):
+    table, saved = str(tmp_path / "t"), str(tmp_path / "saved")
+    days(spark, (1, 1)).write.partitionBy("day").parquet(table)
+    taken = snapshots.make_snapshot(spark, table, saved, NOW)
+    days(spark, (2, 1), (3, 2)).write.mode("overwrite").partitionBy("day").parquet(table)
+    with monkeypatch.context() as patch:
+        patch.setattr(snapshots, "_measured", lambda rows, columns: {})
+        with pytest.raises((ValueError, KeyError)):
+            snapshots.restore_snapshot(spark, taken, table, force=True, now=NOW)
+    now = spark.read.parquet(store.data_folder(spark, table))
+    assert sorted(r.n for r in now.collect()) == [2, 3] and store.data_folder(spark, table) == table
+    damaged = next((tmp_path / "saved").rglob("*.parquet"))
+    spark.createDataFrame([(7,)], "n long").coalesce(1).write.mode("overwrite").parquet(str(damaged.parent))
+    with pytest.raises(ValueError, match="damaged"):
+        snapshots.restore_snapshot(spark, taken, table, force=True, now=NOW + dt.timedelta(days=1))
+    assert store.data_folder(spark, table) == table

@@ -2,6 +2,7 @@
 
 import functools
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from logwarden.functions import clock, net, severity, text
 from logwarden.operators import clean, correlate, detect, enrich, rules, signatures
 from logwarden.operators.parse import fields_from_json, fields_json, parse, response_bytes
 from logwarden.plans import jobs, reports
-from logwarden.sources import fastlog, store
+from logwarden.sources import fastlog, snapshots, store
 from logwarden.sources import logs as sources
 from logwarden.sources.runs import RunTables
 from logwarden.staging import new_path, stage
@@ -222,13 +223,42 @@ def _(spark, folder):
     return store.read_alerts(spark, path).select("alert_id", "rule_id", "source_ip", F.col("geo.country").alias("country"))
 
 
-@query("snapshot_restored", AL + "SELECT severity, count(*) AS n FROM alerts GROUP BY severity")
+def _grown(spark, folder, rows: DataFrame, append, column: str, root: str) -> list[str]:
+    """A table that grows by thirds, with a snapshot after each, twelve days apart."""
+    rows, taken = stage(rows, "rows"), []
+    for k in range(3):
+        append(rows.filter(F.pmod(F.col(column), F.lit(3)) == k), f"{root}/table")
+        taken.append(snapshots.make_snapshot(spark, f"{root}/table", f"{root}/saved", datetime(2024, 5, 1 + 12 * k, tzinfo=timezone.utc)))
+    return taken
+
+
+@query("snapshot_restored", AL + f"SELECT {ALERT_COLUMNS.replace('geo_ip', 'description')}, CAST(ts AS DATE) AS dt, "
+       "CASE WHEN alert_id % 3 < 2 THEN 'second' ELSE 'last' END AS snapshot FROM alerts")
 def _(spark, folder):
+    """The second snapshot over the table as it is now, then the last one over that."""
     root = new_path(spark, "snapshots")
-    store.append_alerts(enrich.unlocated(alerts(spark, folder)), f"{root}/alerts")
-    taken = store.make_snapshot(spark, f"{root}/alerts", f"{root}/saved", ["dt"])
-    store.restore_snapshot(spark, taken, f"{root}/again", partitions=["dt"])
-    return store.read_alerts(spark, f"{root}/again").groupBy("severity").agg(F.count("*").alias("n"))
+    taken = _grown(spark, folder, enrich.unlocated(alerts(spark, folder)), store.append_alerts, "alert_id", root)
+    now = datetime(2024, 6, 1, tzinfo=timezone.utc)
+    snapshots.restore_snapshot(spark, taken[1], f"{root}/table", force=True, now=now)
+    second = stage(store.read_alerts(spark, f"{root}/table"), "second")
+    saved = snapshots.restore_snapshot(spark, taken[2], f"{root}/table", force=True, now=now + timedelta(days=1))
+    if snapshots.read_snapshot(spark, saved).count() != second.count():
+        raise RuntimeError("what a restore replaces must be saved")
+    rest = store.read_alerts(spark, f"{root}/table").join(second, "alert_id", "left_anti").withColumn("snapshot", F.lit("last"))
+    return second.withColumn("snapshot", F.lit("second")).unionByName(rest).select(*ALERT_LIST[:-1], "description", "dt", "snapshot")
+
+
+@query("snapshots_expired", AL + f"SELECT event_id, ts, source, lower(source) AS source_lc, category, raw, {', '.join(ALL_FIELDS)}, "
+       "CASE WHEN event_id IN (SELECT event_id FROM alerts) THEN 1 ELSE 0 END AS has_alert, 2 AS kept FROM ev WHERE event_id % 3 < 2")
+def _(spark, folder):
+    """Events as the middle snapshot holds them, after the one it shares data with has expired."""
+    root = new_path(spark, "snapshots")
+    found = stage(enrich.unlocated(alerts(spark, folder)), "alerts")
+    taken = _grown(spark, folder, detect.flag_events(events(spark, folder), found), store.append_events, "event_id", root)
+    snapshots.expire_snapshots(spark, f"{root}/saved", 14, datetime(2024, 5, 26, tzinfo=timezone.utc))
+    kept = len(snapshots.list_snapshots(spark, f"{root}/saved"))
+    snapshots.restore_snapshot(spark, taken[1], f"{root}/again")
+    return store.read_events(spark, f"{root}/again").select("event_id", "ts", "source", "source_lc", "category", "raw", *ALL_FIELDS, "has_alert", F.lit(kept).alias("kept"))
 
 
 # A third of the lines a run; the second is broken off after its alerts were written, and repeated last.
@@ -733,7 +763,7 @@ def _finished(stream: DataFrame, label: str, change=None) -> DataFrame:
 
 def _replay(spark, checkpoint: str) -> None:
     """Make a query repeat its last micro-batch, as after a crash before its commit was noted."""
-    files, folder = store._folder(spark, f"{checkpoint}/commits")
+    files, folder = store.file_at(spark, f"{checkpoint}/commits")
     names = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName().isdigit()]
     last = max(names, key=lambda p: int(p.getName()))
     for path in (last, last.getParent().suffix(f"/.{last.getName()}.crc")):
