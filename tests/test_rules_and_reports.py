@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logwarden import fixed_values as fixed
 from logwarden import schema
-from logwarden.operators import rules, signatures
+from logwarden.operators import rulefile, rules, signatures
 from logwarden.operators.detect import detect
 from logwarden.operators.parse import parse
 from logwarden.plans import reports
@@ -64,6 +64,31 @@ def test_signatures(spark, given, sids):
     assert {r.sid for r in signatures.match_signatures(df).collect()} == sids
 
 
+def test_rule_text():
+    rule = rulefile.parse_rule(r'alert tcp any any -> any 22 (msg:"a \"b\"; c"; content:!"x|3b 7C|\;y"; nocase; content:"SSH-"; flags:F,12; itype:8; '
+                               'reference:url,example.org; classtype:attempted-recon; sid:7; rev:3;)')
+    assert (rule.sid, rule.rev, rule.msg, rule.dest_port, rule.flags, rule.icmp_type) == (7, 3, 'a "b"; c', 22, (1, 63), 8)
+    assert rule.contents == (rulefile.Content("x;|;y", "payload", True, True), rulefile.Content("SSH-"))
+    for bad in ("alert tcp any any -> any any (sid:1; pcre:\"/x/\";)", "drop tcp any any -> any any (sid:1;)", "alert tcp 10.0.0.1 any -> any any (sid:1;)",
+                "alert tcp any any -> any any (content:x; sid:1;)"):
+        with pytest.raises(ValueError):
+            rulefile.parse_rule(bad)
+    with pytest.raises(ValueError):
+        rulefile.parse_rules(["alert tcp any any -> any any (sid:1;)"] * 2)
+
+
+def test_rules_with_several_contents(spark):
+    rules_ = rulefile.parse_rules([
+        '# contents of several fields', '',
+        'alert http any any -> any any (msg:"both"; content:"/admin"; http_uri; content:"CURL"; http_user_agent; nocase; sid:1; rev:1;)',
+        'alert http any any -> any any (msg:"one, not the other"; content:"/admin"; http_uri; content:!"curl"; http_user_agent; sid:2; rev:1;)',
+        'alert http any any -> any 80 (msg:"port only"; sid:3; rev:1;)'])
+    rows = [flow(proto="http", http_uri="/ADMIN", user_agent="Curl", dest_port=80), flow(proto="http", http_uri="/a/admin", user_agent="curl/8"),
+            flow(proto="http", http_uri="/admin", user_agent="x"), flow(proto="http", http_uri="/admin", user_agent=None), flow(proto="tcp", payload="/admin")]
+    found = rulefile.match_rules(spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(rows)], schema.HTTP_FLOWS), rules_)
+    assert {(r.flow_id, r.sid) for r in found.collect()} == {(0, 3), (1, 1), (2, 2)}
+
+
 def test_signature_list():
     assert len({s[0] for s in fixed.SIGNATURES}) == 25
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logwarden import fixed_values as fixed
 from logwarden import schema
 from logwarden.functions import clock, net, severity, text
-from logwarden.operators import clean, correlate, detect, enrich, rules, signatures
+from logwarden.operators import clean, correlate, detect, enrich, rulefile, rules, signatures
 from logwarden.operators.parse import fields_from_json, fields_json, parse, response_bytes
 from logwarden.plans import jobs, reports
 from logwarden.sources import fastlog, snapshots, store
@@ -484,6 +484,39 @@ def _(spark, folder):
     return signatures.class_counts(_hits(spark, folder))
 
 
+def _rule_line(s: tuple) -> str:
+    """A signature in the language of rule files."""
+    sid, msg, proto, port, field, pattern, nocase, negated, class_ = s
+    if field in ("icmp_type", "tcp_flags"):
+        test = f"itype:{pattern};" if field == "icmp_type" else f"flags:{pattern};"
+    else:
+        shown = "".join(f"|{ord(c):02x}|" if c in "|;\"\\" else c for c in pattern)
+        place = {"http_uri": " http_uri;", "user_agent": " http_user_agent;", "payload": ""}[field]
+        test = f"content:{'!' if negated else ''}\"{shown}\";{place}{' nocase;' if nocase else ''}"
+    return f"alert {proto} any any -> any {port or 'any'} (msg:\"{msg}\"; {test} classtype:{class_}; sid:{sid}; rev:1;)"
+
+
+@query("signature_rules_from_text", SIG + "SELECT flow_id, src_ip, dest_ip, sid FROM hits")
+def _(spark, folder):
+    text = ["# web", "", *[_rule_line(s) for s in fixed.SIGNATURES]]
+    found = rulefile.match_rules(lines(spark, folder, derived.FLOWS), rulefile.parse_rules(text))
+    return found.select("flow_id", "src_ip", "dest_ip", "sid")
+
+
+# A thousand contents: pages by number, every third one in any case and at one port only.
+@query("signature_many_contents", f"WITH flows AS ({derived.for_duckdb(derived.FLOWS)}), k AS (SELECT unnest(range(1000)) AS k) "
+       "SELECT flow_id, CAST(9000 + k AS INT) AS sid FROM flows JOIN k ON proto = 'http' AND CASE WHEN k % 3 = 0 THEN dest_port = 5000 AND "
+       "contains(lower(http_uri), 'page/' || k) ELSE contains(http_uri, 'page/' || k) END "
+       "AND NOT (k % 5 = 0 AND contains(user_agent, 'Mozilla'))")
+def _(spark, folder):
+    text = []
+    for k in range(1000):
+        content = f'content:"PAGE/{k}"; http_uri; nocase;' if k % 3 == 0 else f'content:"page|2f|{k}"; http_uri;'
+        not_for = 'content:!"Mozilla"; http_user_agent;' if k % 5 == 0 else ""
+        text.append(f'alert http any any -> any {5000 if k % 3 == 0 else "any"} (msg:"Page \\"{k}\\""; {content} {not_for} classtype:web; sid:{9000 + k}; rev:2;)')
+    return rulefile.match_rules(lines(spark, folder, derived.FLOWS), rulefile.parse_rules(text)).select("flow_id", "sid")
+
+
 # --- Windows -----------------------------------------------------------------------------
 
 
