@@ -167,18 +167,37 @@ def test_loser_tree():
         assert list(warc.LoserTree(runs)) == sorted(x for run in runs for x in run)
 
 
-def test_search(spark, monkeypatch):
+@pytest.mark.parametrize("travelling", [20_000, 0])
+def test_search(spark, monkeypatch, travelling):
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(size=6).tolist()) for k in range(300)] + [(400 + k, [0.5] * 6) for k in range(60)]
     rows += [(None, [1.0] * 6), (500, None), (501, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (502, [float("nan")] * 6), (550, [float("inf")] * 6), (600, [0.25] * 6),
              (600, [0.25] * 6), (601, [3.0, 1.0])]
     monkeypatch.setattr(search, "LEAF_ROWS", 32)
-    monkeypatch.setattr(search, "PART_LEAVES", 3)
+    monkeypatch.setattr(search, "PART_GROUPS", 3)
+    monkeypatch.setattr(search, "TRAVELLING", travelling)
     given = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, node int")
     padded = [(i, v if not v or len(v) == 6 else [*v, 0.0, 0.0, 0.0, 0.0]) for i, v in rows]
     same(search.top(given, 50, 5), ["query_id", "rank", "vec_id", "score"], brute.top_k(padded))
 
 
+def test_search_prunes_clusters(spark, monkeypatch):
+    """Clusters apart from each other: a group of queries visits few leaves, and the rows stay exact."""
+    rng = np.random.default_rng(6)
+    centres = 40 * np.eye(40)
+    rows = [(k, (centres[k % 40] + rng.normal(size=40) / 4).tolist()) for k in range(4000)]
+    monkeypatch.setattr(search, "LEAF_ROWS", 40)
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    vectors = search.stage(search.integers(given), "vectors")
+    placed, nodes = search.tree(vectors, 40)
+    assert nodes.select("parent").distinct().count() > 10 and nodes.agg(F.max("node")).first()[0] > 16 ** 2
+    lowest = nodes.join(nodes.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
+    held = search.stage(search.leaves(placed, lowest, 50, 5, 40), "leaves")
+    groups, leaves = held.filter(F.length("query_ids") > 0).count(), held.count()
+    assert held.agg(F.max(F.length("ids"))).first()[0] <= 8 * 80 and search.visits_of(held, nodes).count() < groups * leaves / 10
+    same(search.top(given), ["query_id", "rank", "vec_id", "score"], brute.top_k(rows))
+
+
 def test_search_with_few_rows(spark):
     given = spark.createDataFrame([(0, [1.0]), (3, [2.0]), (50, [-1.0])], "vec_id long, embedding array<float>")
     same(search.top(given), ["query_id", "rank", "vec_id", "score"], brute.top_k([(0, [1.0]), (3, [2.0]), (50, [-1.0])]))
