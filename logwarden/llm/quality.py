@@ -5,11 +5,13 @@ compares two histograms of a document with the reference of its language by Jens
 distance: character classes, and the language's common words with one bin for all others.
 
 References come from the corpus: the common words of a language are those in most of its
-documents, the histograms are sums over all its documents that pass the base rules. Every language
-has a reference of its own, whatever its size. Documents without a language are judged against that
-of all documents, in any language or none. The references are joined by language; they are broadcast
-only if they were counted and are few. Short documents say
-little about a distribution: below MIN_CHARS or MIN_WORDS the comparison is not made.
+documents, the histograms are sums over all its documents that pass the base rules. A document is taken
+out of its own reference, so that none is compared with itself. Every language has a reference of its
+own; where fewer than FEW other documents are left in it, the character classes of all documents make up
+for those that lack, and words are not compared. Documents without a language are judged against all
+documents, in any language or none. The references are joined by language; they are broadcast only if
+they were counted and are few. Short documents say little about a distribution: below MIN_CHARS or
+MIN_WORDS the comparison is not made.
 
 Cases: null and empty texts have no words and fail the base rules; repeated rows are judged each;
 extra columns are ignored; an empty table gives no rows.
@@ -27,6 +29,7 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED = 20  # percent of the words
 COMMON = 12
+FEW = 2  # other documents from which a language's reference stands for itself
 MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.36
 LEAST_WORDS, MAX_WORD_DISTANCE = 100, 0.26
 ALL = ""
@@ -147,7 +150,7 @@ def references(counted: DataFrame, every: bool) -> DataFrame:
 
     def sums(of: str) -> list[Column]:
         return ([F.sum(f"classes.{c}").alias(f"ref_{c}") for c in CLASSES] + [F.sum(F.col(of)[k]).alias(f"ref_{k}") for k in range(COMMON)]
-                + [F.sum("n_words").alias("ref_words")])
+                + [F.sum("n_words").alias("ref_words"), F.count("*").alias("ref_docs")])
 
     own = passing.filter(F.col("ref") != ALL).groupBy("ref").agg(*sums("common"))
     return own.unionByName(passing.groupBy(F.lit(ALL).alias("ref")).agg(*sums("shared"))) if every else own
@@ -175,16 +178,39 @@ def histograms(prefix: str, words: str) -> list[Column]:
     return [chars, F.array(*common, F.col(words) - sum(common[1:], common[0]))]
 
 
+def mixed(own: Column, others: Column, weight: Column) -> Column:
+    """Shares of two histograms of counts, the first with the given weight; an empty one adds nothing."""
+    def shares(parts: Column, scale: Column) -> Column:
+        return let(F.aggregate(parts, F.lit(0.0), lambda held, x: held + x),
+                   lambda n: F.transform(parts, lambda x: F.when(n > 0, scale * x / n).otherwise(F.lit(0.0))))
+
+    return F.zip_with(shares(own, weight), shares(others, 1 - weight), lambda a, b: a + b)
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """Counts, distances and the verdict ``kept`` of every row."""
-    every = not docs.filter(language(docs) == ALL).isEmpty()  # otherwise no row needs the sums of all
+    every = not docs.filter(language(docs) == ALL).isEmpty()  # otherwise no row needs the words of all
     counted = stage(features(docs, stage(common_words(docs, every), "common"), every), "features")
+    whole = counted.filter("not base_failed").agg(*[F.sum(f"classes.{c}").alias(c) for c in CLASSES]).first()
     joined = counted.join(sized(stage(references(counted, every), "references")), "ref", "left")
     own = joined.select("*", *[F.col("classes")[c].alias(f"own_{c}") for c in CLASSES], *[F.col("common")[k].alias(f"own_{k}") for k in range(COMMON)])
-    chars, words = map(distance, histograms("own_", "n_words"), histograms("ref_", "ref_words"))
+    held = F.when(F.col("base_failed"), 0).otherwise(1)  # whether the reference holds the document
+
+    def without(reference: Column, values: list[Column]) -> Column:
+        return F.array(*[reference[k] - v.cast("double") * held for k, v in enumerate(values)])
+
+    (chars, words), (ref_chars, ref_words) = histograms("own_", "n_words"), histograms("ref_", "ref_words")
+    classes = [F.col(f"own_{c}") for c in CLASSES]
+    others = F.coalesce(F.col("ref_docs"), F.lit(0)) - held
+    every_char = F.array(*[F.lit(float(whole[c] or 0)) for c in CLASSES])
+    of_language = F.when(others > 0, without(ref_chars, classes)).otherwise(F.array(*[F.lit(0.0)] * len(CLASSES)))
+    reference = mixed(of_language, without(every_char, classes), F.least(others, F.lit(FEW)) / FEW)
+    rest = F.col("n_words") - sum([F.col(f"own_{k}") for k in range(1, COMMON)], F.col("own_0"))
+    common = without(ref_words, [*[F.coalesce(f"own_{k}", F.lit(0)) for k in range(COMMON)], rest])
     size = sum([F.col(f"classes.{c}") for c in CLASSES[1:]], F.col("classes.lower"))
     return own.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.when(size >= MIN_CHARS, chars).alias("char_distance"), F.when(F.col("n_words") >= LEAST_WORDS, words).alias("word_distance"),
+        F.when(size >= MIN_CHARS, distance(chars, reference)).alias("char_distance"),
+        F.when((F.col("n_words") >= LEAST_WORDS) & (others >= FEW), distance(words, common)).alias("word_distance"),
     ).withColumn("kept", ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE)
                  & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE))

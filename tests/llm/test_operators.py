@@ -346,6 +346,31 @@ def test_quality_references_of_small_and_no_languages(docs):
     assert kept == {k: True for k, *_ in plain + wide} | {k: False for k, *_ in junk} | {300: True}
 
 
+def test_quality_takes_a_document_out_of_its_own_reference(docs):
+    """Junk that is alone in its language is not its own measure; distances equal those computed by hand."""
+    rng = random.Random(13)
+    plain = [(k, " ".join(rng.choice(["the", "of", "and", "to", "in", words(rng, 1)]) for _ in range(200)), "en") for k in range(8)]
+    junk = [(20, " ".join(f"{rng.getrandbits(40):X}#" for _ in range(200)), "xx"), (21, plain[0][1], "yy"), (22, plain[1][1], "zz"), (23, plain[2][1], "zz")]
+    given = docs([]).sparkSession.createDataFrame(plain + junk, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in quality.judge(given).collect()}
+    assert [k for k, r in found.items() if not r["kept"]] == [20] and found[20]["char_distance"] > 0.5
+    assert found[21]["word_distance"] is None and found[22]["word_distance"] is None and found[0]["word_distance"] is not None
+
+    def classes(text):
+        kinds = ["digit" if c.isdigit() else "upper" if c.isupper() else "lower" if c.islower() else "blank" if c.isspace() else "symbol" for c in text]
+        return np.array([kinds.count(k) for k in ("lower", "upper", "digit", "symbol", "blank")], float)
+
+    own = {k: classes(t) for k, t, _ in plain + junk}
+    shares = lambda x: x / x.sum()
+    for k, same_language in ((0, [n for n in range(1, 8)]), (22, [23]), (20, [])):
+        rest = shares(sum(v for n, v in own.items() if n != k))
+        weight = min(len(same_language), 2) / 2
+        q = weight * shares(sum(own[n] for n in same_language)) + (1 - weight) * rest if same_language else rest
+        p, m = shares(own[k]), (shares(own[k]) + q) / 2
+        expected = np.sqrt(sum(x * np.log2(x / y) for u in (p, q) for x, y in zip(u, m) if x) / 2)
+        assert found[k]["char_distance"] == pytest.approx(expected, abs=1e-9)
+
+
 def test_redact_whole_private_keys(docs):
     rng = random.Random(12)
     def body(lines, end="\n"):
