@@ -1,6 +1,6 @@
 """The IDS one-line alert log."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logwarden.functions import text
@@ -14,18 +14,20 @@ LINE = (
 
 def parse_fastlog(lines: DataFrame) -> DataFrame:
     """Typed columns of the well-formed lines in ``raw``."""
-    raw = F.col("raw")
     kept = [c for c in lines.columns if c != "raw"]
-    parts = ["gid", "sid", "rev", "msg", "class", "priority", "proto", "src", "dest"]
-    columns = [
-        text.extract(raw, LINE, n).try_cast("int" if name in ("gid", "sid", "rev", "priority") else "string").alias(name)
-        for n, name in enumerate(parts, 2)
-    ]
-    seen = F.try_to_timestamp(text.extract(raw, LINE, 1), F.lit("MM/dd/yyyy-HH:mm:ss.SSSSSS"))
-    return (
-        lines.select(*kept, seen.cast("timestamp_ntz").alias("seen_at"), *columns, "raw")
-        .filter(F.col("sid").isNotNull())
-    )
+    names = ["seen_at", "gid", "sid", "rev", "msg", "class", "priority", "proto", "src", "dest"]
+    # one run of the pattern; Spark keeps the joined groups as a column of their own
+    joined = lines.withColumn("_joined", text.join_groups(F.col("raw"), LINE, tuple(range(1, len(names) + 1))))
+    parts = joined.withColumn("_parts", text.split_groups(F.col("_joined"), F.col("raw"), len(names)))
+
+    def value(place: int, name: str) -> Column:
+        part = F.get("_parts", F.lit(place))
+        if name == "seen_at":
+            return F.try_to_timestamp(part, F.lit("MM/dd/yyyy-HH:mm:ss.SSSSSS")).cast("timestamp_ntz")
+        return part.try_cast("int") if name in ("gid", "sid", "rev", "priority") else part
+
+    columns = [value(n, name).alias(name) for n, name in enumerate(names)]
+    return parts.filter(F.col("_parts").isNotNull()).select(*kept, *columns, "raw").filter(F.col("sid").isNotNull())
 
 
 def with_word(lines: DataFrame, word: str) -> DataFrame:

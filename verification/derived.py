@@ -68,6 +68,13 @@ SELECT event_id, ts, source,
 FROM (SELECT *, CHR(27) AS ESC FROM (@LOGS@) l) m
 """
 
+# IDS records whose HTTP part stands at the top level, as the IDS writes it.
+EVE = """
+SELECT event_id, ts, source, CASE WHEN source = 'suricata' AND event_id % 12 < 6 THEN
+  replace(raw, '"proto":"TCP",', '"proto":"TCP","http":{"http_method":"POST","http_uri":"/top/' || CAST(event_id % 9 AS STRING) || '"},') ELSE raw END AS raw
+FROM (@LOGS@) l
+"""
+
 FLOWS = f"""
 SELECT event_id AS flow_id, @TS@ AS ts,
  CASE WHEN event_type IN ('click','view','purchase') THEN 'http' WHEN event_type = 'error' THEN 'tcp'

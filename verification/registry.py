@@ -91,6 +91,18 @@ _fields_of("syslog", "priority, message")
 _fields_of("generic", "message")
 
 
+_EVE = oracle.base(upto="ev", logs=derived.for_duckdb(derived.EVE)) + """SELECT event_id, signature_id,
+ coalesce(json_extract_string(raw, '$.alert.http.http_method'), json_extract_string(raw, '$.http.http_method'), '') AS http_method,
+ coalesce(json_extract_string(raw, '$.alert.http.http_uri'), json_extract_string(raw, '$.http.http_uri'), '') AS http_uri
+FROM ev WHERE category = 'suricata'"""
+
+
+@query("suricata_fields_documented", _EVE)
+def _(spark, folder):
+    parsed = parse(lines(spark, folder, derived.EVE), documented_http=True)
+    return parsed.filter(F.col("category") == "suricata").select("event_id", "signature_id", "http_method", "http_uri")
+
+
 @query("url_decode_query", EV + "SELECT event_id, split_part(full_uri, '?', 2) AS encoded, query FROM ev WHERE category = 'web'")
 def _(spark, folder):
     web = events(spark, folder).filter(F.col("category") == "web")
