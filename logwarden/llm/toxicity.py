@@ -9,13 +9,16 @@ Three parts are learned:
   toxic documents that hold none of those,
 * the chance that a document without any of them is toxic.
 
-A word that looks disguised (a digit or sign inside or before letters, a letter three times in a
-row) is a noisy form of a plain word. Its lattice holds for each character the letters it may
-stand for, or nothing where it repeats or separates; Viterbi finds the likeliest letters under the
-trigram model mixed with the lexicon's own. Three or more single characters spaced out are one run,
-whatever its length; each gap of it may be a border of words or nothing, so a run may hold several
-words, plain or not, and a word of the lexicon may be written at the cost of choosing it. Every
-restored word is looked up like a plain one. Each distinct word or run of a batch is handled once.
+A word that looks disguised (a digit or sign inside or before letters or in their place, a letter three
+times in a row, letters of another script among Latin ones) is a noisy form of a plain word. Its lattice
+holds for each character the letters it may stand for (any letter for one odd mark), or nothing where it
+repeats or separates; Viterbi finds the likeliest letters under the trigram model mixed with the lexicon's
+own. Three or more single characters spaced out are one run, whatever its length; each gap of it may be a
+border of words or nothing, so a run may hold several words, plain or not, and a word of the lexicon may be
+written at the cost of choosing it. A word of the lexicon that one space divides is found by its two parts,
+unless both are words of clean texts. Every restored word is looked up like a plain one, and whole words
+also within it; words joined by marks are also looked up one by one. Each distinct word or run of a batch
+is handled once.
 
 Cases: null and empty texts hold no word and score as such; rows without id are never held out;
 repeated rows score alike; of repeated labels of an id the toxic one counts; without labels all
@@ -24,6 +27,7 @@ score zero; extra columns are ignored or kept by ``keep_clean``; an empty table
 
 import dataclasses
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -47,8 +51,15 @@ REMEMBERED, REMEMBERED_RUNS = 200_000, 2_000
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i",
         "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i"}
 SEPARATORS = set(".-_*~'’·")
+# Letters of other scripts that look like Latin ones.
+ALIKE = {"а": "a", "в": "b", "е": "e", "ё": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i",
+         "ѕ": "s", "ԁ": "d", "ј": "j", "ɡ": "g", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"}
+WILD = set("#%^&=?×¤°§")  # marks that may hide any letter
+JOINTS = re.compile(r"[/|\\,;:+&]+")
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+WITHIN = 5  # letters of a word that is also found inside a decoded one
 STRIPPED = "".join(map(chr, range(33, 48))) + ":;<=>?[\\]^_`{|}~¿«»“”…„"
-LEET_COST, DROP_COST, REPEAT_COST = math.log(0.3), math.log(0.2), math.log(0.6)
+LEET_COST, DROP_COST, REPEAT_COST, ALIKE_COST, WILD_COST = math.log(0.3), math.log(0.2), math.log(0.6), math.log(0.5), math.log(0.01)
 
 # Trigram alphabet: 0 is a word's edge, 1 to 26 letters, 27 any other character.
 EDGE, OTHER, SIZE = 0, 27, 28
@@ -77,6 +88,7 @@ class Model:
     plain_logit: float  # of texts without any feature
     prior: float  # of texts with some, before their weights
     trigrams: np.ndarray  # log chances, by the two characters before
+    fragments: dict[tuple[str, str], str] = dataclasses.field(default_factory=dict)  # words by two parts, one of which is no word
 
     def logit(self, word: str) -> tuple[str, float] | None:
         """The strongest feature of a word."""
@@ -98,12 +110,21 @@ def plain(word: str) -> str:
 def disguised(word: str) -> str | None:
     """The part of a word to decode, or None if it looks plain."""
     word = word.lower().rstrip(STRIPPED.replace("$", "").replace("!", "") + "!").lstrip("\"'([{<¿«“„*_-.,:;#%&=?/\\")
-    if len(word) < 3 or not any("a" <= c <= "z" for c in word):
+    if len(word) < 3:
         return None
+    if not any("a" <= c <= "z" for c in word):  # signs for letters alone, but no number or sum of money
+        return word if SIGNS.fullmatch(word) and not MONEY.fullmatch(word) else None
     if word.isalpha():
-        return word if any(word[k] == word[k - 1] == word[k - 2] for k in range(2, len(word))) else None
+        mixed = any(c in ALIKE for c in word)
+        return word if mixed or any(word[k] == word[k - 1] == word[k - 2] for k in range(2, len(word))) else None
     odd = [c for c in word if not c.isalpha()]
-    return word if all(c in LEET or c in SEPARATORS for c in odd) else None
+    hidden = sum(c in WILD for c in odd)
+    known = all(c in LEET or c in SEPARATORS or c in WILD for c in odd)
+    return word if known and (not hidden or hidden == 1 and len(word) > WITHIN - 1 and word[0] not in WILD and word[-1] not in WILD) else None
+
+
+SIGNS = re.compile(r"[0-9]*[@$][0-9@$!|+(<]*[@$][0-9@$!|+(<]*|[@$][0-9@$!|+(<]{2,}|[0-9]+[@$][0-9@$!|+(<]+")
+MONEY = re.compile(r"[$€£]*[0-9.,]+[$€£%!]*|[@$!|+(<]+")
 
 
 class Lexicon:
@@ -126,6 +147,18 @@ class Lexicon:
 NO_WORDS = Lexicon(())
 
 
+def choices(char: str) -> list[tuple[float, str]]:
+    """(cost, letter) of what a character may stand for."""
+    if char in WILD:
+        return [(WILD_COST, c) for c in LETTERS]
+    found = [(LEET_COST, c) for c in LEET.get(char, "")]
+    if char in ALIKE:
+        found.append((ALIKE_COST, ALIKE[char]))
+    if char.isalpha():
+        found.append((0.0, char))
+    return found
+
+
 def decode(word: str, trigrams, lexicon: Lexicon = NO_WORDS) -> str:
     """The likeliest letters behind ``word``, where a space may be a border of words or nothing.
 
@@ -159,9 +192,7 @@ def decode(word: str, trigrams, lexicon: Lexicon = NO_WORDS) -> str:
                     reach((EDGE, EDGE, 0), score, (" ", path))
             best = following
             continue
-        options = [(LEET_COST, c) for c in LEET.get(char, "")]
-        if char.isalpha():
-            options.append((0.0, char))
+        options = choices(char)
         nothing = None
         if char in SEPARATORS or (char in LEET and not char.isdigit()):
             nothing = DROP_COST
@@ -218,6 +249,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
 
 
+def fragments(sample: DataFrame, weights: dict[str, float]) -> dict[tuple[str, str], str]:
+    """Lexicon words by the two parts a space may leave, where not both parts are words of clean texts."""
+    splits = {(word[:k], word[k:]): word for word in weights if len(word) >= WITHIN - 1 and not word.endswith("+") for k in range(1, len(word))}
+    parts = {p for pair in splits for p in pair}
+
+    def seen(batches):
+        for batch in batches:
+            held: Counter = Counter()
+            for text in batch.column("text").to_pylist():
+                held.update(parts & {plain(w) for w in (text or "").split()})
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["part", "n"])
+
+    counted = sample.filter("toxic = 0").select("text").mapInArrow(arrays.tidy(seen), "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    words = {row["part"] for row in counted.filter(F.col("n") >= LEAST_DOCS).collect()}  # at most the parts of LEXICON entries
+    return {pair: word for pair, word in splits.items() if not (pair[0] in words and pair[1] in words)}
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = stage(training_rows(docs, labels), "training")
 
@@ -259,6 +307,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return (counts + k) / (counts + k).sum(axis=2, keepdims=True)
     model = Model(weights, 0.0, prior, np.log(0.5 * chances(corpus, 1.0) + 0.5 * chances(own, 0.01)))
 
+    model = dataclasses.replace(model, fragments=fragments(sample, weights))
+
     # what is left without any feature
     plain_rows = scored(sample, model).filter("hits = 0").agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     chance = (plain_rows["toxic"] + 0.02) / (plain_rows["n"] + 1.0) if bad else 1e-9
@@ -273,6 +323,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         memory: dict[bytes, tuple[str, float] | None] = {}
         runs: dict[str, set[tuple[str, float]]] = {}
         lexicon, fast = Lexicon(model.weights), dataclasses.replace(model, trigrams=model.trigrams.tolist())
+        first_parts, last_parts = {a for a, _ in model.fragments}, {b for _, b in model.fragments}
         for batch in arrays.pieces(batches):
             data, offsets = arrays.plain(batch.column("text"))
             starts, ends, first = arrays.words(data, offsets)
@@ -295,6 +346,15 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 at = np.flatnonzero(marked[index])
                 row = np.searchsorted(first, at, "right") - 1
                 pairs = {(r, found[i]) for r, i in zip(row.tolist(), index[at].tolist())}
+                if model.fragments:
+                    shown = [plain(word.decode("utf-8", "replace").strip()) for word in distinct]
+                    left = np.array([w in first_parts for w in shown], bool)[index]
+                    right = np.array([w in last_parts for w in shown], bool)[index]
+                    for n in np.flatnonzero(left[:-1] & right[1:]).tolist():
+                        r = int(np.searchsorted(first, n, "right")) - 1
+                        joined = model.fragments.get((shown[index[n]], shown[index[n + 1]]))
+                        if joined and n + 1 < first[r + 1]:
+                            pairs.add((r, model.logit(joined)))
                 if len(runs) + len(spelled) > REMEMBERED_RUNS:
                     runs.clear()
                 for r, run in spelled:
@@ -312,12 +372,25 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def look_up(word: str, model: Model) -> tuple[str, float] | None:
+    """The strongest feature of a word as written, as decoded, inside what was decoded, or of its parts."""
     hit = model.logit(plain(word))
     if hit is None and (noisy := disguised(word)):
-        hit = model.logit(decode(noisy, model.trigrams))
+        clear = decode(noisy, model.trigrams)
+        hit = model.logit(clear) or inside(clear, model)
+    if hit is None and JOINTS.search(word):
+        hits = [h for part in JOINTS.split(word) if part != word and (h := look_up(part, model))]
+        hit = max(hits, key=lambda h: (h[1], h[0]), default=None)
     return hit
 
 
+def inside(clear: str, model: Model) -> tuple[str, float] | None:
+    """The strongest whole word of at least WITHIN letters within decoded letters."""
+    longest = max(map(len, model.weights), default=0)
+    found = {clear[a:b] for a in range(len(clear)) for b in range(a + WITHIN, min(len(clear), a + longest) + 1)}
+    hits = [(model.weights[w], w) for w in found if w in model.weights]
+    return (max(hits)[1], max(hits)[0]) if hits else None
+
+
 def look_up_run(run: str, model: Model, lexicon: Lexicon) -> set[tuple[str, float]]:
     """Features of the words behind spaced characters: the run as one word, and as the words it is cut into."""
     found = {look_up(run.replace(" ", ""), model)}

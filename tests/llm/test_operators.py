@@ -309,6 +309,49 @@ def test_toxicity(spark, docs):
     assert kept.columns == docs(rows).columns and {r["doc_id"] for r in kept.collect()} == {k for k, _ in rows if k % 5}
 
 
+def test_toxicity_of_disguises(spark, docs):
+    """Gaps within a word, joints, marks for letters, letters of other scripts, letters around; and plain look-alikes of these."""
+    rows, labels = toxic_table(spark, docs)
+    model = toxicity.fit(docs(rows), labels)
+    bad = ["you gr onk now", "a gro nk", "x gr0nk/blarg y", "this gr#nk here", "a grоnk", "xxgr0nkxx", "blarg,zwiebl", "z w i e b l", "a bl a rg b l a r g"]
+    good = ["grand onkel", "$100 and 1,000 or 50%", "a/b and/or c", "#1 #tag ### $$$ @@", "gro wth nk", "1984", "grow onk", "е-mail о", "100$ 3.50$ @5"]
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs([(2000 + n, t) for n, t in enumerate(bad + good)]), labels, model).collect()}
+    assert {n: found[2000 + n] for n in range(len(bad + good))} == {n: int(n < len(bad)) for n in range(len(bad + good))}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_decoding_is_the_best_path(seed):
+    """Short words against every path of letters, drops and repetitions."""
+    rng, chances = random.Random(seed), np.random.default_rng(seed)
+    trigrams = np.log(chances.dirichlet(np.full(toxicity.SIZE, 0.3), (toxicity.SIZE, toxicity.SIZE)) + 1e-9).tolist()
+
+    def value(letters, cost):
+        line = [toxicity.EDGE, toxicity.EDGE, *map(toxicity.code, letters), toxicity.EDGE]
+        return cost + sum(trigrams[a][b][c] for a, b, c in zip(line, line[1:], line[2:]))
+
+    for _ in range(60):
+        word = "".join(rng.choice("abno01@$!.-*#о") for _ in range(rng.randrange(1, 6)))
+        paths = [("", 0.0)]
+        for k, char in enumerate(word):
+            nothing = toxicity.DROP_COST if char in toxicity.SEPARATORS or (char in toxicity.LEET and not char.isdigit()) else None
+            if k and word[k - 1] == char:
+                nothing = toxicity.REPEAT_COST
+            more = [(letters + c, cost + own) for letters, cost in paths for own, c in toxicity.choices(char)]
+            more += [(letters, cost + nothing) for letters, cost in paths if nothing is not None and letters]
+            paths = more or paths
+        best = max(value(*path) for path in paths)
+        found = toxicity.decode(word, trigrams)
+        assert max(value(*path) for path in paths if path[0] == found) == pytest.approx(best)
+
+
+def test_scores_follow_from_the_weights(docs):
+    model = toxicity.Model({"gronk": 4.0, "blar+": 2.0, "zwiebl": 3.0}, -5.0, -1.5, np.zeros((toxicity.SIZE,) * 3), {("zwi", "ebl"): "zwiebl"})
+    rows = [(1, "gronk, Gronk! other"), (2, "blarg blarp gronk"), (3, "nothing"), (4, "zwi ebl"), (5, "zwi xx ebl"), (6, "gronk zwi\nebl")]
+    sums = {1: -1.5 + 4, 2: -1.5 + 2 + 4, 3: -5.0, 4: -1.5 + 3, 5: -5.0, 6: -1.5 + 4 + 3}
+    found = {r["doc_id"]: r["score"] for r in toxicity.scored(docs(rows).select("doc_id", "text"), model).collect()}
+    assert found == {k: pytest.approx(1 / (1 + np.exp(-v))) for k, v in sums.items()}
+
+
 def test_empty_tables(spark, docs):
     empty = docs(ROWS[:1]).filter("doc_id is null")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
