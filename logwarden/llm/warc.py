@@ -7,7 +7,8 @@ any file system that Spark writes serves; they are read as whole files, whose si
 number of write tasks, and parsed by Content-Length.
 
 Index: every archive has its captures sorted by URL key and time as one run. Spark deals the runs
-to key ranges (split inside a frequent key by time and id), and each range merges its k runs by a
+to key ranges whose number follows the counted captures (split inside a frequent key by time, id and
+archive), and each range merges its k runs by a
 loser tree, which gives the histories of all URLs in one global order without sorting again.
 
 Cases: null html is an empty payload; a null url has no target header and an empty key; control
@@ -16,7 +17,6 @@ never the one referred to, and is a response unless an id holds the same payload
 the smallest page_id are all responses; extra columns are ignored; an empty table gives no rows.
 """
 
-import bisect
 import hashlib
 import re
 import zlib
@@ -27,13 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden import staging
-from logwarden.llm.common import LOWEST, few, stage, text_of
+from logwarden.llm import arrays
+from logwarden.llm.common import LOWEST, stage, text_of
 
 LEAST = 100
 VERSION = b"WARC/1.1"
 FIRST_DATE = 1_704_067_200  # of page_id 0, a second for each id, anew after 10**9 of them
 FILE_BYTES = 24_000_000  # payload of one archive
-SAMPLE = 20_000  # keys that set the ranges, of which there are as many as shuffle partitions
+RANGE_ROWS = 200_000  # captures that one task merges
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
 CAPTURE = ("url_key string, place long, page_id long, url string, ts long, record_type string, refers_to long, payload_bytes long, payload_digest string, "
            "archive string, position long, record_bytes long")
@@ -182,42 +183,35 @@ class LoserTree:
             self._play(winner)
 
 
-def _borders(index: DataFrame, ranges: int) -> list[tuple]:
-    """Borders (url_key, ts, page_id) between ranges of about equal size, from SAMPLE rows at most."""
-    some = few(index.select("url_key", "ts", "page_id"), SAMPLE, "url_key", "ts", "page_id")
-    keys = sorted((r[0], r[1], LOWEST if r[2] is None else r[2]) for r in some)
-    return [keys[len(keys) * k // ranges] for k in range(1, ranges)] if keys else []
-
-
 def histories(index: DataFrame) -> DataFrame:
     """All captures with ``range`` and ``place``: ordered by (range, place) they are ordered by URL
-    key, time and id over the whole table. ``index`` holds sorted runs as ``read_archives`` does."""
+    key, time and id over the whole table. ``index`` holds sorted runs as ``read_archives`` does.
+
+    Spark deals them to ranges of about RANGE_ROWS; archive and place split captures that are level in
+    all three, so a range stays small however often one is repeated."""
     index = stage(index, "index")
-    borders = _borders(index, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    least = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(least, -(-index.count() // RANGE_ROWS))
     names = index.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema)
 
-    def keys(rows):
-        page = rows.column("page_id").to_pylist()
-        return list(zip(rows.column("url_key").to_pylist(), rows.column("ts").to_pylist(), [LOWEST if p is None else p for p in page]))
-
-    def deal(batches):
-        for batch in batches:
-            where = [bisect.bisect_right(borders, key) for key in keys(batch)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(where, pa.int32())], [*names, "range"])
-
-    def merge(rows: pa.Table) -> pa.Table:
+    def merge(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        page = [LOWEST if p is None else p for p in rows.column("page_id").to_pylist()]
+        keys = zip(rows.column("url_key").to_pylist(), rows.column("ts").to_pylist(), page)
         runs: dict[str, list] = {}
-        rows = rows.combine_chunks()
         # a run may arrive in pieces; its places are its order
-        for n, (archive, place, key) in enumerate(zip(rows.column("archive").to_pylist(), rows.column("place").to_pylist(), keys(rows))):
+        for n, (archive, place, key) in enumerate(zip(rows.column("archive").to_pylist(), rows.column("place").to_pylist(), keys)):
             runs.setdefault(archive, []).append((place, key, n))
-        held = [[(key, n) for _, key, n in sorted(run)] for run in runs.values()]
-        order = [n for _, n in LoserTree(held)]
+        order = [n for _, n in LoserTree([[(key, n) for _, key, n in sorted(run)] for run in runs.values()])]
         merged = rows.take(pa.array(order, pa.int64()))
-        return merged.set_column(names.index("place"), "place", pa.array(range(len(order)), pa.int64()))
+        yield from merged.set_column(names.index("place"), "place", pa.array(range(len(order)), pa.int64())).to_batches()
 
-    return index.mapInArrow(deal, f"{kinds}, range int").groupBy("range").applyInArrow(merge, f"{kinds}, range int")
+    dealt = index.repartitionByRange(ranges, "url_key", "ts", "page_id", "archive", "place").withColumn("range", F.spark_partition_id())
+    return dealt.mapInArrow(arrays.tidy(merge), f"{kinds}, range int")
 
 
 def archive(pages: DataFrame, least: int = LEAST) -> DataFrame:
