@@ -1,7 +1,7 @@
 """SimHash near-duplicates with a covering code as anchors.
 
-Fingerprints within ``bits`` differ by at most ``bits // blocks`` in one of ``blocks`` parts. In
-each part the anchors are a covering code: Hamming code [15, 11] on the lowest 15 bits, all
+Fingerprints within ``bits`` differ by at most ``bits // blocks`` in one of ``blocks`` parts, whose
+number follows the counted fingerprints. In each part the anchors are a covering code: Hamming code [15, 11] on the lowest 15 bits, all
 words on the rest; its covering radius is 1. A fingerprint lives at its nearest anchor and is
 replicated to every anchor that can be home to a fingerprint within the part's threshold, which
 all lie within covering radius plus threshold. Residents and visitors are compared per anchor.
@@ -16,6 +16,7 @@ are ignored; an empty table gives no rows.
 """
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ BITS = 4
 SEED = 42
 CODED = 15
 HOME_ROWS = 65_536
+WIDE = 1 << 26  # fingerprints up to which three parts of 2**17 anchors hold few residents each
+ROWS = 2_048  # fingerprints replicated at once
 PAIRS = 1 << 21  # compared at once
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
@@ -75,9 +78,14 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select(*named_by(), "text").mapInArrow(arrays.tidy(every), "doc_id long, key long, other long, fp long")
 
 
-def _parts(bits: int) -> list[tuple[int, int]]:
-    """(shift, width) of the parts: as few as leave each a threshold of one bit."""
-    number = max(1, bits // 2 + 1)
+def parts_for(bits: int, n: int) -> int:
+    """Number of parts: as few as leave each a threshold of one bit, and for many fingerprints fewer and
+    wider ones with a threshold of two, whose anchors are that many more."""
+    return max(1, bits // 2 + 1 if n <= WIDE else bits // 3 + 1)
+
+
+def _parts(number: int) -> list[tuple[int, int]]:
+    """(shift, width) of the parts."""
     cuts = [64 * k // number for k in range(number + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
@@ -91,13 +99,14 @@ def _home(values: np.ndarray) -> np.ndarray:
     return np.where(syndrome > 0, values ^ (np.uint64(1) << (np.maximum(syndrome, np.uint64(1)) - np.uint64(1))), values)
 
 
-def replicas(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def replicas(fps: np.ndarray, bits: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, anchor, resident) of every place of the given fingerprints."""
     rows, anchors, residents = [], [], []
-    for part, (shift, width) in enumerate(_parts(bits)):
+    for part, (shift, width) in enumerate(_parts(number)):
         value = (fps >> np.uint64(shift)) & np.uint64((1 << width) - 1)
         tag = np.uint64(part) << np.uint64(58)
-        around = np.stack([_home(value)] + [_home(value ^ np.uint64(1 << b)) for b in range(width)], 1) | tag
+        flips = [sum(1 << b for b in some) for k in range(bits // number + 1) for some in itertools.combinations(range(width), k)]
+        around = np.stack([_home(value ^ np.uint64(flip)) for flip in flips], 1) | tag
         rows.append(np.arange(len(fps)))
         anchors.append(around[:, 0])
         residents.append(np.ones(len(fps), bool))
@@ -131,12 +140,14 @@ def _compare(anchor, fp, visitor, bits):
 
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints within ``bits`` of each other."""
+    number = parts_for(bits, fps.count())
+
     def place(batches):
         for batch in batches:
-            row, anchor, resident = replicas(np.asarray(batch.column("fp")).view(np.uint64), bits)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), batch.column("fp").take(pa.array(row)), pa.array(~resident)],
-                ["anchor", "fp", "visitor"])
+            for at in range(0, batch.num_rows, ROWS):
+                fp = batch.column("fp").slice(at, ROWS)
+                row, anchor, resident = replicas(np.asarray(fp).view(np.uint64), bits, number)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), fp.take(pa.array(row)), pa.array(~resident)], ["anchor", "fp", "visitor"])
 
     placed = fps.select("fp").mapInArrow(arrays.tidy(place), "anchor long, fp long, visitor boolean")
     crowded = (placed.filter("not visitor").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOME_ROWS)

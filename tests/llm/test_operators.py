@@ -71,8 +71,9 @@ def test_simhash(docs):
     same(found, ["doc_id", "fp", "component_id"], brute.simhash(ROWS))
 
 
-@pytest.mark.parametrize("home_rows", [2, 65_536])
-def test_simhash_links_lose_none(spark, monkeypatch, home_rows):
+@pytest.mark.parametrize("home_rows, wide", [(2, 1 << 26), (65_536, 1 << 26), (65_536, 0)])
+def test_simhash_links_lose_none(spark, monkeypatch, home_rows, wide):
+    monkeypatch.setattr(simhash, "WIDE", wide)
     rng = random.Random(5)
     centres = [rng.getrandbits(64) for _ in range(20)]
     fps = sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(7))) for c in centres for _ in range(12)})
