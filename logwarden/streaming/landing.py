@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from logwarden import schema
 from logwarden.functions.clock import MICROS, micros
@@ -67,10 +68,9 @@ def landed(tables: RunTables) -> DataFrame:
 
 def late_lines(tables: RunTables) -> DataFrame:
     """Lines that came too late, with the run that brought them and the reason."""
-    layout = schema.RAW_LOGS.add("run", "long")
-    files, folder = store.file_at(tables.spark, tables.path("late"))
-    if not files.exists(folder):
-        return tables.spark.createDataFrame([], layout.add("reason", "string"))
+    layout = StructType([*schema.RAW_LOGS.fields, StructField("run", LongType())])
+    if not store.exists(tables.spark, tables.path("late")):
+        return tables.spark.createDataFrame([], layout).withColumn("reason", F.lit(LATE))
     return tables.spark.read.schema(layout).parquet(tables.path("late")).withColumn("reason", F.lit(LATE))
 
 
