@@ -1,7 +1,7 @@
 """SQL statements for DuckDB, written independently of the DataFrame code they check."""
 
 from logwarden import fixed_values as fixed
-from verification import derived
+from verification import constants, derived
 
 
 def quote(value) -> str:
@@ -22,8 +22,8 @@ LOGS = derived.for_duckdb(derived.LOGS)
 
 def parsed(logs: str = "logs") -> str:
     """Typed events of a table of log lines."""
-    auth, web = quote(fixed.AUTH_LINE), quote(fixed.WEB_LINE)
-    kernel, pri = quote(fixed.KERNEL_LINE), quote(fixed.PRIORITY_LINE)
+    auth, web = quote(constants.AUTH_LINE), quote(constants.WEB_LINE)
+    kernel, pri = quote(constants.KERNEL_LINE), quote(constants.PRIORITY_LINE)
     return f"""
 SELECT event_id, ts, source, category, raw,
   CASE category WHEN 'auth' THEN regexp_extract(raw, {auth}, 4) END AS process,
@@ -70,21 +70,21 @@ def entropy(x: str) -> str:
 
 
 TLS = f"""
-SELECT event_id, regexp_extract(raw, '{fixed.TLS_JA3}', 1) AS ja3, regexp_extract(raw, '{fixed.TLS_SNI}', 1) AS sni,
-  regexp_extract(raw, '{fixed.TLS_VERSION}', 1) AS tls_version FROM ev WHERE contains(raw, 'TLS_EVENT')
+SELECT event_id, regexp_extract(raw, '{constants.TLS_JA3}', 1) AS ja3, regexp_extract(raw, '{constants.TLS_SNI}', 1) AS sni,
+  regexp_extract(raw, '{constants.TLS_VERSION}', 1) AS tls_version FROM ev WHERE contains(raw, 'TLS_EVENT')
 """
 
 PATTERNS = {
     "AUTH-001": "category = 'auth' AND contains(lower(message), 'failed') AND contains(lower(process), 'ssh')",
-    "AUTH-002": f"category = 'auth' AND regexp_matches(message, '(?i)' || {quote(fixed.ROOT_ATTEMPT)})",
-    "AUTH-003": f"category = 'auth' AND regexp_matches(message, '(?i)' || {quote(fixed.ROOT_ACCEPTED)})",
+    "AUTH-002": f"category = 'auth' AND regexp_matches(message, '(?i)' || {quote(constants.ROOT_ATTEMPT)})",
+    "AUTH-003": f"category = 'auth' AND regexp_matches(message, '(?i)' || {quote(constants.ROOT_ACCEPTED)})",
     "AUTH-004": "category = 'auth' AND process = 'sudo' AND contains(lower(message), 'command')",
     "AUTH-005": "category = 'auth' AND contains(lower(message), 'failed')",
-    "AUTH-006": f"category = 'auth' AND regexp_matches(message, '(?i)' || {quote(fixed.LOGIN_ACCEPTED)})",
-    "WEB-001": f"category = 'web' AND regexp_matches(path, '(?i)' || {quote(fixed.TRAVERSAL)})",
+    "AUTH-006": f"category = 'auth' AND regexp_matches(message, '(?i)' || {quote(constants.LOGIN_ACCEPTED)})",
+    "WEB-001": f"category = 'web' AND regexp_matches(path, '(?i)' || {quote(constants.TRAVERSAL)})",
     "WEB-002": "category = 'web' AND status BETWEEN 400 AND 499",
     "WEB-003": "category = 'web' AND (" + " OR ".join(
-        f"regexp_matches({c}, '(?i)' || {quote(fixed.SQL_INJECTION)})" for c in ("path", "query", "full_uri")) + ")",
+        f"regexp_matches({c}, '(?i)' || {quote(constants.SQL_INJECTION)})" for c in ("path", "query", "full_uri")) + ")",
     "WEB-004": "category = 'web' AND status BETWEEN 400 AND 499",
     "SYS-001": "category = 'kernel' AND contains(lower(message), 'oom')",
     "SYS-002": "category = 'kernel' AND contains(lower(message), 'segfault')",
@@ -92,7 +92,7 @@ PATTERNS = {
                r"OR regexp_matches(tls_version, '^TLSv1($|\.1)'))",
     "NET-002": f"event_id IN (SELECT event_id FROM tls WHERE {entropy(chr(34) + 'lab' + chr(34))} > 3.8)",
     "NET-003": "event_id IN (SELECT event_id FROM tls WHERE ja3 IN ("
-               + ", ".join(quote(j) for j, _ in fixed.BAD_JA3) + "))",
+               + ", ".join(quote(j) for j, _ in constants.BAD_JA3) + "))",
 }
 COUNTED = {
     "reference": {"AUTH-001": ("ssh_n", 5), "AUTH-005": ("fail_n", 10), "WEB-002": ("2 * web_n - 1", 20),
@@ -100,7 +100,9 @@ COUNTED = {
     "documented": {"AUTH-001": ("ssh_n", 5), "AUTH-005": ("fail_n", 10), "WEB-002": ("web_n", 20),
                    "WEB-004": ("web_n", 50)},
 }
-RULE_ROWS = rows([(n, *r) for n, r in enumerate(fixed.RULES, 1)])
+# texts as in the catalogue; what they stand for from here
+TEXTS = {r[0]: r[1:3] for r in fixed.RULES}
+RULE_ROWS = rows([(n, rule, *TEXTS[rule], *kind) for n, (rule, kind) in enumerate(constants.RULE_KINDS.items(), 1)])
 RULES_CTE = f"rules(position, id, name, description, severity, category, mitre) AS ({RULE_ROWS})"
 
 
@@ -203,8 +205,8 @@ def json(x: str) -> str:
 
 
 def payload(brand: str = "Security log analytics") -> str:
-    mark = "CASE severity " + " ".join(f"WHEN '{s}' THEN '{m}'" for s, m in fixed.SEVERITY_MARKS.items()) + " ELSE '⚪' END"
-    colour = "CASE severity " + " ".join(f"WHEN '{s}' THEN {c}" for s, c in fixed.SEVERITY_COLOURS.items()) + " ELSE 8947848 END"
+    mark = "CASE severity " + " ".join(f"WHEN '{s}' THEN '{m}'" for s, m in constants.SEVERITY_MARKS.items()) + " ELSE '⚪' END"
+    colour = "CASE severity " + " ".join(f"WHEN '{s}' THEN {c}" for s, c in constants.SEVERITY_COLOURS.items()) + " ELSE 8947848 END"
     place = "coalesce(nullif(concat_ws(', ', nullif(city, ''), nullif(region, ''), nullif(country, '')), ''), 'Unknown')"
 
     def field(name, value):

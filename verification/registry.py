@@ -21,7 +21,7 @@ from logwarden.streaming import jobs as streams
 from logwarden.streaming import landing
 from logwarden.streaming.counted import CountedAdmission
 from logwarden.streaming.upserts import KeyedCounts
-from verification import derived, oracle
+from verification import constants, derived, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,7 +111,7 @@ def _(spark, folder):
 
 
 @query("response_bytes", EV + "SELECT event_id, CAST(nullif(trim(regexp_extract(raw, "
-       f"{oracle.quote(fixed.WEB_LINE)}, 6)), '') AS BIGINT) AS bytes FROM ev WHERE category = 'web'")
+       f"{oracle.quote(constants.WEB_LINE)}, 6)), '') AS BIGINT) AS bytes FROM ev WHERE category = 'web'")
 def _(spark, folder):
     web = events(spark, folder).filter(F.col("category") == "web")
     return web.select("event_id", response_bytes().alias("bytes"))
@@ -587,7 +587,7 @@ def _(spark, folder):
     return found.select("geo_ip", "geo.country", "geo.city")
 
 
-_FAMILIES = oracle.rows(fixed.BAD_JA3)
+_FAMILIES = oracle.rows(constants.BAD_JA3)
 
 
 @query("ja3_blocklist", EV + f"SELECT event_id, b.ja3, family FROM ({oracle.TLS}) t JOIN ({_FAMILIES}) b(ja3, family) ON b.ja3 = t.ja3")
@@ -747,7 +747,7 @@ def _(spark, folder):
     return reports.category_coverage(rules.catalogue(spark), alerts(spark, folder))
 
 
-SCENARIOS = AL.rstrip() + f", sc(scenario, mitre) AS ({oracle.rows(fixed.SCENARIOS)}), hit AS (SELECT scenario, mitre, " \
+SCENARIOS = AL.rstrip() + f", sc(scenario, mitre) AS ({oracle.rows(constants.SCENARIOS)}), hit AS (SELECT scenario, mitre, " \
     "mitre IN (SELECT a.mitre FROM alerts a WHERE a.mitre IS NOT NULL) OR (mitre = 'T1046' AND EXISTS (SELECT 1 FROM ev WHERE category = 'suricata')) " \
     "AS detected FROM sc) "
 
