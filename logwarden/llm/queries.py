@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logwarden.llm import chat, cover_dedup, packing, quality, repair, search, secrets, simhash, suffix_dedup, tokens, toxicity, warc, whitening
 from logwarden.llm.common import stage, table
+from logwarden.llm.sql import ORACLES  # noqa: F401  (read by the driver beside QUERIES)
 
 Query = Callable[[SparkSession, str], DataFrame]
 END_ID = 2
@@ -98,28 +99,3 @@ OP12 = "vec_id long, component int, n long, deviation long, whitened double, exp
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_suffix_dedup, op2_best_fit_packing, op3_quality_rules, op4_simhash, op5_warc, op6_top_k_search, op7_secret_scans,
     op8_toxicity, op9_substring_dedup, op10_byte_bpe, op11_chat_windows, op12_whitening, op13_conversation_repair)}
-ORACLES: dict[str, str] = {
-    "op5_warc": """
-WITH own AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-first AS (SELECT html, min(page_id) AS first FROM own WHERE strlen(html) >= 100 GROUP BY html)
-SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
-  CASE WHEN coalesce(first, page_id) = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN first <> page_id THEN first END AS refers_to
-FROM own LEFT JOIN first USING (html)""",
-    "op6_top_k_search": """
-WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
-      FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
-SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 5""",
-    "op9_substring_dedup": """
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-windows AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d) x),
-again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY win) AS n FROM windows) x WHERE n > 1),
-covered AS (SELECT DISTINCT doc_id, i + k AS i FROM again, (SELECT unnest(range(0, 35)) AS k) r),
-kept AS (SELECT doc_id, i, word FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d) x ANTI JOIN covered USING (doc_id, i)),
-texts AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM kept GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
-  sha256(coalesce(kept, '')) AS kept_sha256
-FROM d LEFT JOIN texts USING (doc_id)""",
-}
