@@ -38,13 +38,14 @@ LEAF_ROWS = 2_048
 ROUNDS = 12
 PART_GROUPS = 256
 TRAVELLING = 20_000  # rows with a vector or a few that are broadcast; more are joined by shuffle
+ROOT = 1
 NONE = np.iinfo(np.int64).max
 EXACT = 2.0 ** 52  # sums of products below this are exact in doubles
 FOUND = "query_id long, vec_id long, score long"
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): components as 64-bit little-endian integers, one row for equal rows."""
+    """(vec_id, v): components as 64-bit little-endian integers, one row for equal rows, all at the root."""
     def convert(batches):
         for batch in batches:
             ids, out = [], []
@@ -58,7 +59,8 @@ def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "v"])
 
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(
-        convert, "vec_id long, v binary").dropDuplicates(["vec_id", "v"])
+        arrays.tidy(convert), "vec_id long, v binary").dropDuplicates(["vec_id", "v"]).select(
+            "vec_id", "v", F.lit(ROOT).cast("long").alias("node"), F.lit(None).cast("double").alias("far"))
 
 
 def matrix(column, width: int) -> np.ndarray:
@@ -165,13 +167,13 @@ def tree(vectors: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
     The root is node 1; the children of node x are x * CHILDREN and following. Nodes of more than
     LEAF_ROWS rows are split round by round; a node whose rows are all one point is not."""
-    rows = vectors.select("vec_id", "v", F.lit(1).cast("long").alias("node"), F.lit(None).cast("double").alias("far"))
-    nodes, sizes = [], vectors.sparkSession.createDataFrame([(1, 1.0, LEAF_ROWS + 1)], "node long, radius double, n long")
+    rows = vectors.select("vec_id", "v", "node", "far")
+    nodes, sizes = [], vectors.sparkSession.createDataFrame([(ROOT, 1.0, LEAF_ROWS + 1)], "node long, radius double, n long")
     for _ in range(ROUNDS):
         big = sizes.filter((F.col("n") > LEAF_ROWS) & (F.col("radius") > 0)).select("node")
         balls = stage(_split(rows, sized(big, TRAVELLING), width), "balls")
         # one centre: the sample was one point, and the rest of the node is dealt among leaves
-        balls = balls.filter((F.length("balls") > 8 * width) | (F.col("node") == 1))
+        balls = balls.filter((F.length("balls") > 8 * width) | (F.col("node") == ROOT))
         if balls.isEmpty():
             break
         rows = stage(_placed(rows, balls, width), "placed")
@@ -237,7 +239,7 @@ def surviving(groups: DataFrame, below: DataFrame) -> DataFrame:
             most = bounds(vectors[0], np.asarray(batch.column("query_radius")), vectors[1], np.asarray(batch.column("radius")))
             yield batch.select(["query_leaf", "node", "leaf"]).filter(pa.array(most >= np.asarray(batch.column("query_kth"))))
 
-    pairs, found = groups.select("query_leaf", F.lit(1).cast("long").alias("node")), []
+    pairs, found = stage(groups.select("query_leaf", F.lit(ROOT).cast("long").alias("node")), "pairs"), []
     while True:
         next_ = pairs.withColumnRenamed("node", "parent").join(below, "parent").join(groups, "query_leaf")
         pairs = stage(next_.mapInArrow(arrays.tidy(keep), kinds), "pairs")
@@ -301,7 +303,7 @@ def search(held: DataFrame, nodes: DataFrame, k: int, width: int) -> DataFrame:
 
     Queries travel, data leaves stay whole: a leaf that many groups visit is repeated to parts of
     PART_GROUPS of them, and in each part the groups stream past the leaf."""
-    longest = max(np.linalg.norm(np.frombuffer(r["centre"])) + r["radius"] for r in nodes.filter("parent = 1").collect())  # at most CHILDREN rows
+    longest = max(np.linalg.norm(np.frombuffer(r["centre"])) + r["radius"] for r in nodes.filter(F.col("parent") == ROOT).collect())  # at most CHILDREN rows
     if longest ** 2 > EXACT:
         raise ValueError("components are too large for exact inner products")
     visits = visits_of(held, nodes)
