@@ -13,7 +13,7 @@ from logwarden.operators.parse import parse
 from logwarden.operators.rules import BUILT_IN
 from logwarden.sources.logs import numbered, submitted, write_lines
 from logwarden.sources.runs import RunTables
-from logwarden.staging import stage
+from logwarden.staging import remove, scratch, stage
 
 
 def located(alerts: DataFrame, ranges: DataFrame | None) -> DataFrame:
@@ -40,11 +40,13 @@ def run_batch(
         folder = tables.new_folder("lines")
         claim = tables.claim(key, write_lines(logs, folder).count(), lines=folder)
     if not tables.is_committed(claim):
-        lines = numbered(tables.spark.read.parquet(claim.lines), claim.first_id)
-        events = stage(parse(clean(lines, limited)), "parsed")
-        alerts = stage(located(detect(events, rules, mode), ranges), "alerts")
-        tables.write(claim, flag_events(events, alerts), alerts)
+        with scratch(tables.spark):
+            lines = numbered(tables.spark.read.parquet(claim.lines), claim.first_id)
+            events = stage(parse(clean(lines, limited)), "parsed")
+            alerts = stage(located(detect(events, rules, mode), ranges), "alerts")
+            tables.write(claim, flag_events(events, alerts), alerts)
         tables.commit(claim)
+        remove(tables.spark, claim.lines)
     return tables.events(), tables.alerts()
 
 

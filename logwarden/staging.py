@@ -2,7 +2,10 @@
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +29,32 @@ def work_folder(spark: SparkSession) -> str:
     return folder
 
 
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are removed at the end, also after a failure: for jobs that
+    write their results, so that a stream that runs for long leaves nothing behind."""
+    outer, _scopes.paths = getattr(_scopes, "paths", None), []
+    try:
+        yield
+    finally:
+        made, _scopes.paths = _scopes.paths, outer
+        for path in made:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(work_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(work_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    if getattr(_scopes, "paths", None) is not None:
+        _scopes.paths.append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -9,7 +9,7 @@ from logwarden.operators.clean import clean
 from logwarden.operators.detect import REFERENCE, describe
 from logwarden.operators.parse import parse
 from logwarden.operators.rules import BUILT_IN, Rule
-from logwarden.staging import stage
+from logwarden.staging import scratch, stage
 from logwarden.streaming.counted import CountedRules
 
 def stream_events(logs: DataFrame) -> DataFrame:
@@ -28,8 +28,9 @@ def counted_alerts(
 def batch_folder(path: str, change: Callable[[DataFrame, int], DataFrame] | None = None):
     """``foreachBatch`` sink: one folder per micro-batch, overwritten when a batch is replayed."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = batch if change is None else change(batch, batch_id)
-        out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        with scratch(batch.sparkSession):
+            out = batch if change is None else change(batch, batch_id)
+            out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return write
 
 

@@ -26,7 +26,7 @@ from logwarden.plans.jobs import located
 from logwarden.sources import store
 from logwarden.sources.logs import numbered, write_lines
 from logwarden.sources.runs import RunTables
-from logwarden.staging import stage
+from logwarden.staging import remove, scratch, stage
 from logwarden.streaming.counted import CountedAdmission, CountedRules
 
 Batch = Callable[[DataFrame, int], None]
@@ -56,6 +56,7 @@ def land(tables: RunTables, name: str = "lines", delay: int = 10) -> Batch:
                 chosen.drop("_late").write.parquet(draft)
                 tables.publish(draft, tables.path(label, f"run={claim.number}"))
         tables.commit(claim)
+        remove(tables.spark, claim.lines)
     return write
 
 
@@ -94,9 +95,10 @@ def detect_into(
         claim = tables.claim(f"{name}/{batch_id}")
         if tables.is_committed(claim):
             return
-        lines = strip_lines(batch)
-        events = stage(parse(tidy_lines(admission.admit(lines, batch_id) if limited else lines)), "parsed")
-        alerts = stage(located(describe(counted.fire(events, batch_id), rules), ranges), "alerts")
-        tables.write(claim, flag_events(events, alerts), alerts)
+        with scratch(tables.spark):
+            lines = strip_lines(batch)
+            events = stage(parse(tidy_lines(admission.admit(lines, batch_id) if limited else lines)), "parsed")
+            alerts = stage(located(describe(counted.fire(events, batch_id), rules), ranges), "alerts")
+            tables.write(claim, flag_events(events, alerts), alerts)
         tables.commit(claim)
     return write

@@ -1,14 +1,16 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from logwarden import schema
+from logwarden import schema, staging
 from logwarden.functions.clock import hour_label
 from logwarden.operators.clean import rate_limit
 from logwarden.operators.detect import detect
 from logwarden.operators.parse import parse
 from logwarden.plans.reports import events_by_hour
+from logwarden.sources import logs
 from logwarden.sources.logs import stream_lines
 from logwarden.sources.runs import RunTables
 from logwarden.streaming import jobs, landing
@@ -112,6 +114,25 @@ def test_late_rows_are_data_and_ids_outlive_a_replay(spark, tmp_path):
         (0, 4, 0), (1, 3, 0), (2, 3, 2), (3, 1, 0), (4, 0, 0), (5, 4, 2)]
 
 
+def test_a_text_stream_leaves_nothing_behind(spark, tmp_path):
+    """Files to tables in several micro-batches; intermediate tables and landed lines go, limits and counts go on."""
+    made = []
+    whole = staging.work_folder(spark)
+    before = set(os.listdir(whole))
+    tables = RunTables(spark, str(tmp_path / "tables"))
+    source = tmp_path / "in"
+    source.mkdir()
+    for n in range(3):
+        (source / f"{n}.log").write_text("".join(f"Mar  1 12:00:00 gate sshd[{n}{k}]: Failed password for bob from 9.9.9.9\n" for k in range(3)))
+        stream = logs.read_watched(spark, [(str(source), "auth")], stream=True, ts=F.lit(START + dt.timedelta(seconds=n)).cast("timestamp_ntz"))
+        jobs.finish(jobs.start(stream, landing.land(tables), str(tmp_path / "landing"), available_now=True))
+        jobs.finish(jobs.start(landing.landed(tables), landing.detect_into(tables, limited=True), str(tmp_path / "detection"), available_now=True))
+        made.append(tables.events().count())
+    assert made == [3, 6, 9] and tables.alerts().filter("rule_id = 'AUTH-001'").count() == 5
+    assert {r.event_id for r in tables.events().filter("has_alert = 1").collect()} == {r.event_id for r in tables.alerts().collect()} == set(range(4, 9))
+    assert set(os.listdir(whole)) == before and not list((tmp_path / "tables" / "_pending").glob("*"))
+
+
 def test_text_files_as_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.log").write_text(" [1.0] segfault \n\n")
