@@ -27,6 +27,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def relieve(spark: SparkSession) -> None:
+    """Ask the executors for a full collection, so that heap which one job grew is given back before the
+    next one's Python workers need the memory. A few tasks reach each executor that has a free core."""
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
