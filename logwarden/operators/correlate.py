@@ -7,6 +7,10 @@ tail of the cell before.  Heads and tails are bounded per cell and cut down on t
 so no task ever receives all rows of a busy key or of a busy cell.
 """
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -120,6 +124,15 @@ def not_supported(
     return joined.filter(~F.coalesce(supported, F.lit(False))).select("event_id")
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """End marks of a range up to each of its marks, which come in order."""
+    seen = 0
+    for batch in batches:
+        inside = seen + np.cumsum(np.asarray(batch.column("is_end")), dtype=np.int64)
+        seen = int(inside[-1]) if len(inside) else seen
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(inside)], [*batch.schema.names, "inside"])
+
+
 def trailing_count(
     rows: DataFrame, key: str, ts_us: Column, seconds: int, event_id: str = "event_id"
 ) -> DataFrame:
@@ -129,7 +142,8 @@ def trailing_count(
     the number of end marks between the two in the order (key, time).  The marks are cut into
     ranges of that order by sampled bounds, which split a busy key and even a busy instant,
     and counts before a range are carried by one small row per range.  ``rows`` is read twice
-    (once for the sample), so it should be a written table.
+    (once for the sample), so it should be a written table.  The marks travel once to their range and
+    once to their row; inside a range they are counted as they stream by in order.
     """
     end = F.struct(F.col("_us").alias("at"), F.lit(1).alias("is_end"))
     start = F.struct((F.col("_us") - seconds * MICROS).alias("at"), F.lit(0).alias("is_end"))
@@ -137,16 +151,17 @@ def trailing_count(
     marks = (
         rows.select(F.col(key).alias("_key"), ts_us.alias("_us"), F.col(event_id).alias("_id"))
         .select("_key", "_id", F.inline(F.array(end, start)))
-        .repartitionByRange(*order)
-        .withColumn("part", F.spark_partition_id())
+        .repartitionByRange(*order).sortWithinPartitions(*order)
+        .select("_id", "is_end", F.spark_partition_id().alias("part"))
     )
-    marks = stage(marks, "marks")  # range bounds are sampled: fix them before the two uses below
-    inside = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    # range bounds are sampled: written once before the two uses below, with the counts inside a range
+    kind = rows.schema[event_id].dataType.simpleString()
+    marks = stage(marks.mapInArrow(_running, f"_id {kind}, is_end int, part int, inside bigint"), "marks")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         marks.groupBy("part").agg(F.sum("is_end").alias("n"))
         .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
-    ranked = marks.withColumn("inside", F.sum("is_end").over(inside)).join(F.broadcast(offsets), "part")
+    ranked = marks.join(F.broadcast(offsets), "part")  # one small row for each shuffle range
     signed = (F.col("inside") + F.col("offset")) * F.when(F.col("is_end") == 1, 1).otherwise(-1)
     return ranked.groupBy(F.col("_id").alias(event_id)).agg(F.sum(signed).alias("recent"))
