@@ -130,10 +130,21 @@ def scan_new(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> N
     release(spark)
 
 
+def found_in(spark: SparkSession, ledger: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, spans) of blobs with findings of these rules. The ledger tells places and versions; what a
+    version is called, and its order, is what the rules say now."""
+    place = {r.version: (n, r.kind) for n, r in reversed(list(enumerate(rules)))}
+    named = F.create_map(*[x for version, (n, kind) in place.items() for x in (
+        F.lit(version), F.struct(F.lit(n).alias("rank"), F.lit(kind).alias("kind")))])
+    rows = read_ledger(spark, ledger).filter(F.col("version").isin(list(place)) & (F.size("spans") > 0)).withColumn("rule", F.try_element_at(named, F.col("version")))
+    spans = F.transform("spans", lambda s: F.struct(
+        s["start"].alias("start"), F.col("rule.rank").alias("rank"), F.col("rule.kind").alias("kind"), s["stop"].alias("stop")))
+    return rows.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(spans))).alias("spans"))
+
+
 def findings(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every row of ``docs`` (doc_id) with all spans of its text, by start, then rule."""
-    known = (read_ledger(docs.sparkSession, ledger).filter(F.col("version").isin([r.version for r in rules]) & (F.size("spans") > 0))
-             .groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans")))
+    known = found_in(docs.sparkSession, ledger, rules)
     paths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text_of().cast("binary"), 256)).alias("blob"))
     return paths.join(known, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
@@ -158,8 +169,7 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
     """``docs`` with every found span, overlaps as one, replaced by ``[secret]``."""
     ledger = ledger or new_ledger(docs.sparkSession)
     scan_new(docs, ledger, rules)
-    known = (read_ledger(docs.sparkSession, ledger).filter(F.col("version").isin([r.version for r in rules]) & (F.size("spans") > 0))
-             .groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans")))
+    known = found_in(docs.sparkSession, ledger, rules)
     names, places = docs.columns, [f"c{n}" for n in range(len(docs.columns))]  # columns may have any name
     blob, spans, text = "blob", "spans", F.col(places[names.index("text")])
     parts = F.aggregate(

@@ -1,5 +1,6 @@
 """Operators against their brute-force versions on messy rows, and on empty tables."""
 
+import dataclasses
 import random
 import zlib
 
@@ -139,6 +140,22 @@ def test_secret_ledger_scans_only_what_is_new(spark, docs):
     assert pairs.count() == pairs.dropDuplicates(["blob", "version"]).count()
 
 
+def test_kinds_and_order_are_those_of_the_rules_now(spark, docs):
+    """Spans of every kind at known places; renamed and reordered rules need no new scan."""
+    jwt = "eyJ" + "a" * 8 + ".eyJ" + "b" * 9 + ".c-_"
+    text = f"é ghp_{'A' * 36} xoxb-{'1' * 10} {jwt} AKIA{'B' * 16} token: {'f' * 24} -----BEGIN RSA PRIVATE KEY-----\nQUJD\n-----END RSA PRIVATE KEY-----"
+    ledger = secrets.new_ledger(spark)
+    spans = secrets.scan(docs([(1, text)]), ledger).select(secrets.listed(F.col("spans")).alias("s")).first()["s"]
+    at = {kind: text.index(start) for kind, start in (("github", "ghp_"), ("slack", "xoxb"), ("jwt", "eyJ"), ("access", "AKIA"), ("assign", "token"), ("hex", "f" * 24), ("pem", "-----B"))}
+    size = {"github": 40, "slack": 15, "jwt": len(jwt), "access": 20, "assign": 31, "hex": 24, "pem": len(text) - at["pem"]}
+    assert spans == ",".join(f"{k}:{at[k]}:{at[k] + size[k]}" for k in sorted(at, key=at.get))
+    before = secrets.read_ledger(spark, ledger).count()
+    renamed = tuple(dataclasses.replace(r, kind=r.kind.upper()) for r in reversed(secrets.RULES))
+    again = secrets.scan(docs([(1, text)]), ledger, renamed).select("spans").first()["spans"]
+    assert secrets.read_ledger(spark, ledger).count() == before
+    assert [(s["kind"], s["rank"]) for s in again] == [(k.upper(), [r.kind for r in renamed].index(k.upper())) for k in sorted(at, key=at.get)]
+
+
 def test_redact(docs):
     text = "é token = abcdefgh. ghp_" + "a" * 36 + " end"
     out = {r["doc_id"]: r["text"] for r in secrets.redact(docs([(1, text), (2, None), (3, "clean"), (4, "password=" + "a" * 30)])).collect()}
