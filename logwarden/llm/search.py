@@ -90,8 +90,12 @@ def nearest(points: np.ndarray, balls: np.ndarray) -> np.ndarray:
 def _best(query_ids, queries, ids, data, k, held):
     """The k best (score, id) of each query among ``data`` and what it holds already."""
     scores = queries @ data.T
+    most = scores.max(axis=1, initial=-np.inf)
     out = []
     for q, row in enumerate(scores):
+        if len(held[q]) == k and most[q] < -held[q][-1][0]:
+            out.append(held[q])  # nothing here is as good as its worst
+            continue
         if len(row) > k:
             # everything level with the kth stays for the tie-break
             floor = np.partition(row, len(row) - k - 1)[len(row) - k - 1]  # own row may be among them
