@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logwarden import fixed_values as fixed
 from logwarden import schema
 from logwarden.operators import rulefile, rules, signatures
-from logwarden.operators.detect import detect
+from logwarden.operators.detect import detect, flag_events
 from logwarden.operators.parse import parse
 from logwarden.plans import reports
 
@@ -33,6 +33,16 @@ def test_overrides_reach_detection(spark, make_logs):
     assert found == [("SYS-002", "Crash", "CRITICAL")]
 
 
+def test_all_rules_switched_off(spark, make_logs):
+    logs = make_logs([(0, "k", "[1.0] segfault"), (1, "a", "Mar  1 1:00 h sshd[1]: failed root")])
+    off = spark.createDataFrame([(r.id, False, None, None, None) for r in rules.BUILT_IN], schema.RULE_OVERRIDES)
+    edited = rules.with_overrides(off)
+    found = detect(parse(logs), edited)
+    assert edited == () and found.collect() == []
+    assert found.columns == detect(parse(logs)).columns
+    assert [r.has_alert for r in flag_events(parse(logs), found).collect()] == [0, 0]
+
+
 def flow(**given):
     base = dict(flow_id=1, ts=None, proto="http", src_ip="a", dest_ip="b", dest_port=5000, http_uri="/", user_agent="Mozilla",
                 tcp_flags=None, icmp_type=None, payload=None)
