@@ -118,6 +118,17 @@ def test_text_files_are_stored_whole(spark, tmp_path):
     assert events.select("raw").distinct().count() == 2000
 
 
+def test_numbered_lines_of_one_split_reach_many_tasks(spark, tmp_path):
+    """Most lines come in one split; numbering deals them out and changes neither order nor ids."""
+    given = spark.range(200_000, numPartitions=1).unionByName(spark.range(200_000, 200_010, numPartitions=1))
+    written = logs.write_lines(given.select(F.md5(F.col("id").cast("string")).alias("raw"), "id"), str(tmp_path / "lines"))
+    found = logs.numbered(written, 7)
+    assert found.filter(F.col("event_id") != F.col("id") + 7).count() == 0 and found.count() == 200_010
+    found.write.parquet(str(tmp_path / "numbered"))
+    sizes = [r["n"] for r in spark.read.parquet(str(tmp_path / "numbered")).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 4 and max(sizes) < 80_000
+
+
 def test_flags_say_what_the_alerts_hold(spark, make_logs):
     events = parse(make_logs(LINES))
     alerts = detect(events).filter("severity = 'HIGH'")
