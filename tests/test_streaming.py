@@ -17,6 +17,7 @@ from logwarden.streaming import jobs, landing
 from logwarden.streaming.counted import CountedAdmission, CountedRules
 from logwarden.streaming.upserts import KeyedCounts
 from test_correlate import START, random_rows, table
+from verification import registry
 
 
 @pytest.fixture
@@ -138,3 +139,14 @@ def test_text_files_as_stream(spark, tmp_path):
     (tmp_path / "in" / "1.log").write_text(" [1.0] segfault \n\n")
     out, _ = run(stream_lines(spark, str(tmp_path / "in"), "kernel").filter(F.col("raw") != ""), tmp_path)
     assert [(r.source, r.raw) for r in out.collect()] == [("kernel", "[1.0] segfault")]
+
+
+def test_a_round_of_a_stream_comes_in_many_files(spark, tmp_path):
+    """Rounds are stretches of ids; each is spread over files that are read by tasks of their own."""
+    given = spark.range(400_000, numPartitions=4).select(F.col("id").alias("event_id"), F.md5(F.col("id").cast("string")).alias("raw"))
+    rows = registry._in_rounds(given, 4)
+    for k in range(4):
+        path = str(tmp_path / f"round{k}")
+        registry._arrive(rows.filter(F.col("round") == k).drop("round"), path)
+        sizes = [r["n"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 100_000 and len(sizes) >= 4 and max(sizes) < 50_000
