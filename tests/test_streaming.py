@@ -150,3 +150,11 @@ def test_a_round_of_a_stream_comes_in_many_files(spark, tmp_path):
         registry._arrive(rows.filter(F.col("round") == k).drop("round"), path)
         sizes = [r["n"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
         assert sum(sizes) == 100_000 and len(sizes) >= 4 and max(sizes) < 50_000
+
+
+def test_landed_lines_of_one_split_are_read_by_many_tasks(spark, tmp_path):
+    tables = RunTables(spark, str(tmp_path / "tables"))
+    raw = F.md5(F.col("id").cast("string"))
+    landing.land(tables)(spark.range(200_000, numPartitions=1).select(F.lit(START).cast("timestamp_ntz").alias("ts"), F.lit("app").alias("source"), raw.alias("raw")), 0)
+    files = spark.read.parquet(tables.path("landed")).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in files) == 200_000 and len(files) >= 4 and max(r["n"] for r in files) < 80_000
