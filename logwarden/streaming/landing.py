@@ -44,7 +44,7 @@ def land(tables: RunTables, name: str = "lines", delay: int = 10) -> Batch:
             late = F.lit(False) if border is None else F.coalesce(micros(F.col("ts")) < border, F.lit(False))
             folder = tables.new_folder("lines")
             written = write_lines(batch.withColumn("_late", late), folder)
-            rows, behind, newest = written.agg(F.count("*"), F.count_if("_late"), F.max(micros(F.col("ts")))).first()
+            rows, behind, newest = written.agg(F.count("*"), F.count_if("_late"), micros(F.max("ts"))).first()
             newest = max([t for t in (newest, before and before.newest) if t is not None], default=None)
             claim = tables.claim(key, rows, late=behind, newest=newest, lines=folder)
         if tables.is_committed(claim):
@@ -98,7 +98,9 @@ def detect_into(
         with scratch(tables.spark):
             lines = strip_lines(batch)
             events = stage(parse(tidy_lines(admission.admit(lines, batch_id) if limited else lines)), "parsed")
-            alerts = stage(located(describe(counted.fire(events, batch_id), rules), ranges), "alerts")
-            tables.write(claim, flag_events(events, alerts), alerts)
+            # what fired is written once as it is; names and texts of the rules are added where the alerts are stored
+            fired = stage(counted.fire(events, batch_id), "fired")
+            alerts = located(describe(fired, rules), ranges)
+            tables.write(claim, flag_events(events, fired), alerts)
         tables.commit(claim)
     return write

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logwarden import fixed_values as fixed
 from logwarden import schema
+from logwarden.functions import text
 from logwarden.operators import rulefile, rules, signatures
 from logwarden.operators.detect import detect, flag_events
 from logwarden.operators.parse import parse
@@ -152,3 +153,18 @@ def test_stats_document(spark, make_logs):
         "by_category": {"kernel": 1, "web": 1}, "events_by_hour": [{"hour": "2024-03-01T12:00:00", "count": 2}],
         "top_src_ips": [{"ip": "1.1.1.1", "count": 1}],
     }
+
+
+def test_words_in_any_case_are_those_of_the_lower_case_text(spark):
+    texts = ["Failed x", "FAILED", "fa iled", "", None, "FAİLED", "ä FaIlEd", "Kernel failed", "a.b", "A.B é", "axb"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for word in ("failed", "Kernel", "a.b", "É"):
+        wanted = F.contains(F.lower("t"), F.lit(word.lower()))
+        assert rows.filter(~text.has_any_case(F.col("t"), word).eqNullSafe(wanted)).count() == 0
+
+
+def test_injection_in_a_part_that_the_uri_lacks(spark):
+    rows = spark.createDataFrame([
+        (0, "web", "/a", "", "/a"), (1, "web", "/a", "x=sleep", "/a?x=%73leep"), (2, "web", "/Union", "", "/b"), (3, "web", "/a", "", "/a?DROP table"),
+        (4, "web", None, "a--b", None), (5, "auth", "/union", "", "/union")], "id int, category string, path string, query string, full_uri string")
+    assert sorted(r.id for r in rows.filter(rules._sql_injection()).collect()) == [1, 2, 3, 4]

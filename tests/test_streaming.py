@@ -158,3 +158,21 @@ def test_landed_lines_of_one_split_are_read_by_many_tasks(spark, tmp_path):
     landing.land(tables)(spark.range(200_000, numPartitions=1).select(F.lit(START).cast("timestamp_ntz").alias("ts"), F.lit("app").alias("source"), raw.alias("raw")), 0)
     files = spark.read.parquet(tables.path("landed")).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()
     assert sum(r["n"] for r in files) == 200_000 and len(files) >= 4 and max(r["n"] for r in files) < 80_000
+
+
+def test_a_micro_batch_writes_what_fired_without_the_texts_of_the_rules(spark, tmp_path, monkeypatch):
+    staged = []
+    monkeypatch.setattr(landing, "stage", lambda rows, label: staged.append(rows.columns) or staging.stage(rows, label))
+    tables = RunTables(spark, str(tmp_path / "tables"))
+    landing.detect_into(tables)(table(spark, [(n * 1_000_000, n, "9.9.9.9", "ssh_fail") for n in range(8)]), 0)
+    assert len(staged) == 2 and not any("description" in columns for columns in staged)
+    found = tables.alerts().filter("rule_id = 'AUTH-001'").collect()
+    assert sorted(r.event_id for r in found) == [4, 5, 6, 7] and all(r.description for r in found)
+    assert {r.event_id for r in tables.events().filter("has_alert = 1").collect()} == {r.event_id for r in tables.alerts().collect()}
+
+
+def test_dealt_rows_are_the_rounds_of_the_lines(spark, tmp_path):
+    given = spark.range(500).selectExpr("id AS event_id", "id % 17 AS user_id", "element_at(array('error', 'view', 'other'), CAST(id % 3 + 1 AS INT)) AS event_type", "CAST(id AS DOUBLE) AS value")
+    given.unionByName(given.limit(20)).write.parquet(str(tmp_path / "events.parquet"))
+    wanted = registry._in_rounds(registry.lines(spark, str(tmp_path)), 16).select("event_id", "source", "raw", "round")
+    assert sorted(registry._dealt(spark, str(tmp_path), 16).collect()) == sorted(wanted.collect())
